@@ -35,19 +35,15 @@ def phone(c: str) -> str:
     return f"CASE WHEN length({digits(c)}) BETWEEN 7 AND 15 THEN {digits(c)} ELSE '' END"
 
 
-def byte_values(c: str) -> str:
-    """The 32 scaled SHA-256 bytes of a text."""
-    hexes = f"sha256({c})"
-    digit = "(strpos('0123456789abcdef', substr({h}, (i * 2 + {o})::BIGINT, 1)) - 1)"
-    value = f"({digit.format(h=hexes, o=1)} * 16 + {digit.format(h=hexes, o=2)})"
-    return f"list_transform(range(32), lambda i: {value}::DOUBLE / 255 * 2 - 1)"
-
-
-def hash_vector(v: str) -> str:
-    """768 elements from the 32 values, scaled to unit length."""
-    size = f"sqrt(list_sum(list_transform({v}, lambda x: x * x * 24)))"
-    block = f"list_transform({v}, lambda x: x / {size})"
-    return f"flatten(list_transform(range(24), lambda j: {block}))"
+def hashed(source: str, key: str, c: str) -> str:
+    """``(key, v)``: 768 elements from the SHA-256 bytes of a text, scaled to unit length."""
+    digit = "(strpos('0123456789abcdef', substr(h, (i * 2 + {o})::BIGINT, 1)) - 1)"
+    byte = f"({digit.format(o=1)} * 16 + {digit.format(o=2)})"
+    return f"""SELECT {key}, flatten(list_transform(range(24), lambda j: u)) AS v FROM (
+        SELECT {key}, list_transform(b, lambda x: (x / n)::FLOAT) AS u FROM (
+        SELECT {key}, b, sqrt(list_sum(list_transform(b, lambda x: x * x * 24))) AS n FROM (
+        SELECT {key}, list_transform(range(32), lambda i: {byte}::DOUBLE / 255 * 2 - 1) AS b FROM (
+        SELECT {key}, sha256({c}) AS h FROM {source}))))"""
 
 
 def cut(c: str, n: int = 200) -> str:
@@ -167,19 +163,17 @@ BLOCKS = {
     ),
     "hashed_docs": (
         ("mails",),
-        f"""SELECT doc_id, list_transform({hash_vector('v')}, lambda x: x::FLOAT::DOUBLE) AS v FROM
-            (SELECT doc_id, {byte_values("'document: ' || substr(subject || ' ' || body_content, 1, 512)")} AS v FROM mails)""",
+        hashed("mails", "doc_id", "'document: ' || substr(subject || ' ' || body_content, 1, 512)"),
     ),
     "hashed_queries": (
         ("searches",),
-        f"""SELECT qid, list_transform({hash_vector('v')}, lambda x: x::FLOAT::DOUBLE) AS v FROM
-            (SELECT qid, {byte_values("'query: ' || query_text")} AS v FROM searches WHERE query_text <> '')""",
+        hashed("(SELECT * FROM searches WHERE query_text <> '')", "qid", "'query: ' || query_text"),
     ),
     "semantic": (
         ("hashed_docs", "hashed_queries"),
         f"""SELECT qid, doc_id, rank FROM (
             SELECT qid, doc_id, {rank('score')} AS rank FROM (
-              SELECT qid, doc_id, list_cosine_similarity(d.v, q.v) AS score FROM hashed_docs d CROSS JOIN hashed_queries q))
+              SELECT qid, doc_id, list_cosine_similarity(d.v::DOUBLE[], q.v::DOUBLE[]) AS score FROM hashed_docs d CROSS JOIN hashed_queries q))
           JOIN searches USING (qid) WHERE rank <= max_results""",
     ),
     "vecs": ((), "SELECT vec_id AS doc_id, embedding::DOUBLE[] AS vec, label FROM embeddings"),
@@ -382,8 +376,7 @@ ORACLE.update(
     ),
     query_normalise=sql("searches", "SELECT * FROM searches"),
     hit_snippet=f"SELECT doc_id, {cut('text')} AS snippet FROM documents",
-    hash_embedding=f"WITH h AS (SELECT doc_id, {byte_values('text')} AS b FROM documents), v AS (SELECT doc_id, {hash_vector('b')} AS v FROM h) "
-    + elements("v", "doc_id", "list_transform(v, lambda x: x::FLOAT)", 5),
+    hash_embedding=elements(f"({hashed('documents', 'doc_id', 'text')})", "doc_id", "v", 5),
     l2_normalise=sql(
         "vecs",
         "SELECT doc_id, pos::INTEGER AS pos, round((CASE WHEN n < 1e-12 THEN x ELSE x / n END)::FLOAT::DOUBLE, 5) AS value FROM "
@@ -412,7 +405,7 @@ ORACLE.update(
         """SELECT term, doc_id, count(*)::INTEGER AS tf, any_value(dl)::INTEGER AS dl, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM
             (SELECT *, count(*) OVER (PARTITION BY doc_id) AS dl FROM tokens) GROUP BY term, doc_id""",
     ),
-    doc_lengths=sql("tokens", "SELECT doc_id, count(*)::INTEGER AS dl FROM tokens GROUP BY doc_id"),
+    doc_lengths=sql("tokens", "SELECT doc_id, count(term)::INTEGER AS dl FROM mails LEFT JOIN tokens USING (doc_id) GROUP BY doc_id"),
     term_stats=sql("dfs", "SELECT * FROM dfs"),
     corpus_stats=sql("corpus", "SELECT n_docs, round(avgdl, 6) AS avgdl FROM corpus"),
     quantise_int8=sql(
@@ -495,8 +488,9 @@ ORACLE.update(
     match_phrase=sql(
         "tokens", "phrase_words",
         """SELECT qid, doc_id, count(*)::INTEGER AS n_places FROM (
-            SELECT qid, doc_id, pos - place AS start FROM tokens JOIN phrase_words USING (term) GROUP BY ALL
-            HAVING count(*) = (SELECT count(*) FROM phrase_words w WHERE w.qid = phrase_words.qid)) GROUP BY ALL""",
+            SELECT qid, doc_id, start FROM (SELECT qid, doc_id, pos - place AS start FROM tokens JOIN phrase_words USING (term))
+            JOIN (SELECT qid, count(*) AS n FROM phrase_words GROUP BY qid) USING (qid)
+            GROUP BY qid, doc_id, start, n HAVING count(*) = n) GROUP BY ALL""",
     ),
     match_phrase_slop=sql(
         "tokens", "few_words",
@@ -504,8 +498,8 @@ ORACLE.update(
         near_starts AS (SELECT DISTINCT a.qid, a.doc_id, a.s, b.place FROM (SELECT DISTINCT qid, doc_id, s FROM starts) a
             JOIN starts b ON a.qid = b.qid AND a.doc_id = b.doc_id AND b.s BETWEEN a.s AND a.s + 3)
         SELECT qid::BIGINT AS qid, doc_id, count(*)::INTEGER AS n_places FROM (
-            SELECT qid, doc_id, s FROM near_starts GROUP BY ALL
-            HAVING count(*) = (SELECT count(*) FROM few_words f WHERE f.qid = near_starts.qid)) GROUP BY ALL""",
+            SELECT qid, doc_id, s FROM near_starts JOIN (SELECT qid, count(*) AS n FROM few_words GROUP BY qid) USING (qid)
+            GROUP BY qid, doc_id, s, n HAVING count(*) = n) GROUP BY ALL""",
     ),
     match_prefix=sql("posted", "SELECT DISTINCT doc_id FROM posted WHERE starts_with(term, 'aich')"),
     match_wildcard=sql("posted", "SELECT DISTINCT doc_id FROM posted WHERE term LIKE 'a_ch%en'"),

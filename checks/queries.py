@@ -260,7 +260,7 @@ def hit_snippet(spark, sf_dir):
 def _long(df, key, column, digits=None):
     """One row per vector element."""
     value = F.col("value").cast("double")
-    return df.select(key, F.posexplode(column).alias("pos", "value")).select(
+    return df.select(key, F.posexplode_outer(column).alias("pos", "value")).select(
         key, "pos", (F.round(value, digits) if digits else F.col("value")).alias("value")
     )
 
@@ -313,7 +313,7 @@ def _word_vocab(spark, sf_dir):
 @query
 def token_ids(spark, sf_dir):
     coded = embed.encode_tokens(r.documents(spark, sf_dir), "text", _word_vocab(spark, sf_dir))
-    return coded.select("doc_id", F.posexplode("ids").alias("pos", "id"))
+    return coded.select("doc_id", F.posexplode_outer("ids").alias("pos", "id"))
 
 
 def _remainder_model():
@@ -324,7 +324,7 @@ def _remainder_model():
 def model_embed_batch(spark, sf_dir):
     coded = embed.encode_tokens(r.documents(spark, sf_dir), "text", _word_vocab(spark, sf_dir))
     run = embed.model_embed(coded.select("doc_id", "ids"), "ids", _remainder_model, pool=False)
-    return run.select("doc_id", F.posexplode("vec").alias("pos", "v")).select(
+    return run.select("doc_id", F.posexplode_outer("vec").alias("pos", "v")).select(
         "doc_id", "pos", *[F.get("v", F.lit(i)).cast("double").alias(f"v{i}") for i in range(3)]
     )
 
@@ -409,7 +409,7 @@ def corpus_stats(spark, sf_dir):
 def quantise_int8(spark, sf_dir):
     rows = r.vectors(spark, sf_dir)
     codes = quantise.quantise_int8(rows, quantise.value_bounds(rows))
-    return codes.select("doc_id", F.posexplode("codes").alias("pos", "code"))
+    return codes.select("doc_id", F.posexplode_outer("codes").alias("pos", "code"))
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailrank.functions.binding import let
 from mailrank.functions.text import STRIP_CHARS, fill_blank, now_millis, strip_ws
 
 # Day and month names of a mail date.
@@ -13,8 +14,8 @@ MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 
 _BLANK_IN_LINE = r"\x00-\x09\x0b-\x20"  # strip characters other than the line feed
 _DATE = (
-    rf"^({'|'.join(WEEKDAYS)}), (\d{{1,2}}) ({'|'.join(MONTHS)}) (\d{{4}})"
-    r" ([01]\d|2[0-3]):([0-5]\d):([0-5]\d) ([+-])(0\d|1[0-8])([0-5]\d) \([A-Za-z][A-Za-z0-9/_:+-]*\)$"
+    rf"^(?:{'|'.join(WEEKDAYS)}), \d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}}"
+    r" (?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d [+-](?:0\d|1[0-8])[0-5]\d \([A-Za-z][A-Za-z0-9/_:+-]*\)\z"
 )
 
 
@@ -24,24 +25,42 @@ def unix_newlines(c: Column) -> Column:
 
 def message_lines(c: Column) -> Column:
     """Lines of a message, without the empty ones at its end."""
-    text = unix_newlines(c)
-    kept = F.rtrim(text, F.lit("\n"))
-    only_newlines = (kept == "") & (text != "")
-    return F.when(only_newlines, F.array().cast("array<string>")).otherwise(F.split(kept, "\n"))
+
+    def lines(text):
+        kept = F.rtrim(text, F.lit("\n"))
+        only_newlines = (kept == "") & (text != "")
+        return F.when(only_newlines, F.array().cast("array<string>")).otherwise(F.split(kept, "\n"))
+
+    return let(unix_newlines(c), lines)
+
+
+def _gap(text: Column) -> Column:
+    """Where the first empty line begins, 0 if there is none."""
+    return F.locate("\n\n", text)
 
 
 def header_block(c: Column) -> Column:
     """Header lines, each led by a line feed: all text before the first empty line."""
-    text = F.concat(F.lit("\n"), unix_newlines(c))
-    gap = F.locate("\n\n", text)
-    return F.when(gap > 0, F.substr(text, F.lit(1), gap - 1)).otherwise(text)
+    return let(
+        F.concat(F.lit("\n"), unix_newlines(c)),
+        lambda t: F.when(_gap(t) > 0, F.substr(t, F.lit(1), _gap(t) - 1)).otherwise(t),
+    )
 
 
 def body_text(c: Column) -> Column:
     """Everything after the first empty line, stripped; empty when there is no such line."""
-    text = F.concat(F.lit("\n"), unix_newlines(c))
-    gap = F.locate("\n\n", text)
-    return F.when(gap > 0, strip_ws(F.substr(text, gap + 2))).otherwise(F.lit(""))
+    return let(
+        F.concat(F.lit("\n"), unix_newlines(c)),
+        lambda t: F.when(_gap(t) > 0, strip_ws(F.substr(t, _gap(t) + 2))).otherwise(F.lit("")),
+    )
+
+
+def _from_first_key(block: Column) -> Column:
+    """The block from the first line that has a colon."""
+    lead = F.substring_index(block, ":", 1)
+    first_key = F.ltrim(F.substring_index(lead, "\n", -1), F.lit(STRIP_CHARS))
+    opened = F.concat(F.lit("\n"), first_key, F.substr(block, F.length(lead) + 1))
+    return F.when(F.contains(block, F.lit(":")), opened).otherwise(F.lit(""))
 
 
 def unfold_headers(block: Column) -> Column:
@@ -53,13 +72,7 @@ def unfold_headers(block: Column) -> Column:
     colon nor continue a header are dropped, values are stripped, and each
     continuation line is appended to the header above it after one space.
     """
-    lead = F.substring_index(block, ":", 1)
-    first_key = F.ltrim(F.substring_index(lead, "\n", -1), F.lit(STRIP_CHARS))
-    opened = F.when(
-        F.contains(block, F.lit(":")),
-        F.concat(F.lit("\n"), first_key, F.substr(block, F.length(lead) + 1)),
-    ).otherwise(F.lit(""))
-    keyed = F.regexp_replace(opened, r"\n(?![ \t])[^:\n]*+(?=\n|\z)", "")
+    keyed = F.regexp_replace(let(block, _from_first_key), r"\n(?![ \t])[^:\n]*+(?=\n|\z)", "")
     left = F.regexp_replace(keyed, rf"(\n(?![ \t])[^:\n]*+:)[{_BLANK_IN_LINE}]++", "$1")
     right = F.regexp_replace(left, rf"(?<=[^\x00-\x20])[{_BLANK_IN_LINE}]++(?=\n|\z)", "")
     return F.regexp_replace(right, rf"\n[ \t][{_BLANK_IN_LINE}]*+", " ")
@@ -112,28 +125,32 @@ def parse_mail_date(
     Plain date arithmetic, so the session time zone plays no part.
     """
 
-    def part(i):
-        return F.regexp_extract(c, _DATE, i)
-
-    def number(i):
-        return part(i).try_cast("int")
-
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), part(3)).cast("int")
-    # Year 0000 does not exist in this calendar.
-    year = F.when(number(4) > 0, number(4))
-    first = F.when(month > 0, F.make_date(year, month, F.lit(1)))
-    month_end = F.last_day(first)
-    day = F.when(number(2).between(1, 31), F.least(F.date_add(first, number(2) - 1), month_end))
-    names = F.array(*map(F.lit, WEEKDAYS))
-    seconds = (
-        F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint") * 86400
-        + number(5) * 3600
-        + number(6) * 60
-        + number(7)
-        - F.when(part(8) == "-", -1).otherwise(1) * (number(9) * 3600 + number(10) * 60)
-    )
-    good = part(1) == F.try_element_at(names, F.weekday(day) + 1) if strict_weekday else day.isNotNull()
-    millis = F.when(good, seconds * 1000)
+
+    def millis_of(parts):
+        # Weekday, day, month, year, hours, minutes, seconds, offset.
+        def number(i):
+            return F.get(parts, F.lit(i)).cast("int")
+
+        offset = F.get(parts, F.lit(7))
+        month = F.array_position(F.array(*map(F.lit, MONTHS)), F.get(parts, F.lit(2))).cast("int")
+        # There is no year 0, and no day 0.
+        first = F.when(number(3) > 0, F.make_date(number(3), month, F.lit(1)))
+        day_of_month = F.when(number(1).between(1, 31), number(1))
+        minutes = F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 4, 2).cast("int")
+        clock = number(4) * 3600 + number(5) * 60 + number(6)
+
+        def at(day):
+            days = F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint")
+            sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
+            seconds = days * 86400 + clock - sign * minutes * 60
+            weekday = F.get(F.array(*map(F.lit, WEEKDAYS)), F.weekday(day))
+            agrees = F.get(parts, F.lit(0)) == weekday
+            return F.when(agrees, seconds * 1000) if strict_weekday else seconds * 1000
+
+        return let(first, lambda f: let(F.least(F.date_add(f, day_of_month - 1), F.last_day(f)), at))
+
+    well_formed = F.when(c.rlike(_DATE), F.split(c, "[ ,:]+"))
+    millis = let(well_formed, millis_of)
     if on_bad is None:
         return millis
     bad = now_millis() if isinstance(on_bad, str) and on_bad == "now" else on_bad

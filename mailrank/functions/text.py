@@ -20,14 +20,12 @@ MID_NUMBER = (
     r"\x{FE10}\x{FE14}\x{FE50}\x{FE54}\x{FF0C}\x{FF1B}"
 )
 
-_MID = MID_BOTH + MID_LETTER + MID_NUMBER
-# Punctuation that does not sit between two letters or two digits.
-_LOOSE_PUNCTUATION = (
-    rf"[{_MID}]"
-    rf"(?:(?<![\p{{L}}\p{{M}}][{MID_BOTH}{MID_LETTER}])|(?!\p{{L}}))"
-    rf"(?:(?<!\p{{N}}[{MID_BOTH}{MID_NUMBER}])|(?!\p{{N}}))"
+# The same, as far as Latin text uses it, and blocks in which the other ones lie.
+LATIN_BOTH, LATIN_LETTER, LATIN_NUMBER = r".'\x{2018}\x{2019}", r":\x{00B7}", r",;"
+NOT_LATIN = (
+    r"[\x{0370}-\x{07FF}\x{2024}\x{2027}\x{2044}\x{2E80}-\x{A4CF}\x{F900}-\x{FFEF}\x{16FE0}-\x{3FFFF}]"
 )
-_WORD = rf"[\p{{L}}\p{{N}}\p{{Pc}}][\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}{_MID}]*"
+
 # Scripts whose characters are words of their own.
 _SINGLE_CHAR_WORD = r"([\p{IsHan}\p{IsHiragana}])"
 
@@ -108,14 +106,28 @@ def hit_snippet(c: Column, n: int = SNIPPET_CHARS) -> Column:
     return _cut(fill_blank(c), n)
 
 
+def _tokens(c: Column, both: str, letter: str, number: str) -> Column:
+    joining = both + letter + number
+    # Punctuation that does not sit between two letters or two digits.
+    loose = (
+        rf"[{joining}]"
+        rf"(?:(?<![\p{{L}}\p{{M}}][{both}{letter}])|(?!\p{{L}}))"
+        rf"(?:(?<!\p{{N}}[{both}{number}])|(?!\p{{N}}))"
+    )
+    word = rf"[\p{{L}}\p{{N}}\p{{Pc}}][\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}{joining}]*"
+    return F.regexp_extract_all(F.lower(F.regexp_replace(c, loose, " ")), F.lit(word), F.lit(0))
+
+
 def word_tokens(c: Column) -> Column:
     """Lower-cased words in text order, as an array.
 
     Punctuation that does not join two letters or two digits is blanked first, so
     that the second pattern is a flat character class and a very long dotted run
-    cannot exhaust the regex engine's stack.
+    cannot exhaust the regex engine's stack. Text that stays within Latin script is
+    matched with short character classes, which are several times as fast.
     """
-    spaced = F.regexp_replace(fill_blank(c), _SINGLE_CHAR_WORD, " $1 ")
-    return F.regexp_extract_all(
-        F.lower(F.regexp_replace(spaced, _LOOSE_PUNCTUATION, " ")), F.lit(_WORD), F.lit(0)
-    )
+    text = fill_blank(c)
+    spaced = F.regexp_replace(text, _SINGLE_CHAR_WORD, " $1 ")
+    return F.when(
+        text.rlike(NOT_LATIN), _tokens(spaced, MID_BOTH, MID_LETTER, MID_NUMBER)
+    ).otherwise(_tokens(text, LATIN_BOTH, LATIN_LETTER, LATIN_NUMBER))

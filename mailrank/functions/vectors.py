@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailrank.functions.binding import let
 from mailrank.functions.text import blank
 
 # Fixed values.
@@ -15,11 +14,6 @@ HASH_BYTES = 32
 TINY_NORM = 1e-12
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it inside ``body``, also from within lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def norm(v: Column) -> Column:
     squares = F.transform(v, lambda x: x.cast("double") * x.cast("double"))
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
@@ -46,9 +40,12 @@ def hash_embedding(c: Column, dim: int = VECTOR_DIM) -> Column:
     scaled and normalised once, then repeated, with no Python in the path.
     """
     digest = F.sha2(c.cast("binary"), 256)
-    values = F.transform(
-        F.sequence(F.lit(0), F.lit(HASH_BYTES - 1)),
-        lambda i: F.conv(F.substr(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1,
+    values = let(
+        digest,
+        lambda h: F.transform(
+            F.sequence(F.lit(0), F.lit(HASH_BYTES - 1)),
+            lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1,
+        ),
     )
     rounds, rest = divmod(dim, HASH_BYTES)
 

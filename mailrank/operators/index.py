@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailrank.functions.binding import let
 from mailrank.functions.text import (
     fill_blank,
     flag_to_int,
@@ -14,7 +15,6 @@ from mailrank.functions.text import (
     with_role,
     word_tokens,
 )
-from mailrank.functions.vectors import let
 from mailrank.operators.embed import Embedder, embed_column
 
 
@@ -48,14 +48,18 @@ def exact_terms(emails: DataFrame, normalise: bool = False) -> DataFrame:
         F.struct(F.lit("sender_email").alias("field"), sender.alias("term")),
         F.struct(F.lit("phone_num").alias("field"), fill_blank(phone_digits(F.col("body_content"))).alias("term")),
     )
-    return emails.select("doc_id", F.inline(F.filter(entries, lambda e: e["term"] != ""))).select(
-        "field", "term", "doc_id"
+    # The outer generators of this module spare Spark a filter that repeats their input.
+    return (
+        emails.select("doc_id", F.inline_outer(F.filter(entries, lambda e: e["term"] != "")))
+        .where(F.col("term").isNotNull())
+        .select("field", "term", "doc_id")
     )
 
 
 def body_tokens(docs: DataFrame, text_col: str = "body_content") -> DataFrame:
     """``(doc_id, pos, term)``: every word of every text."""
-    return docs.select("doc_id", F.posexplode(word_tokens(F.col(text_col))).alias("pos", "term"))
+    words = F.posexplode_outer(word_tokens(F.col(text_col))).alias("pos", "term")
+    return docs.select("doc_id", words).where(F.col("term").isNotNull())
 
 
 def _term_runs(tokens: Column) -> Column:
@@ -91,23 +95,27 @@ def _term_runs(tokens: Column) -> Column:
 
 
 def doc_terms(docs: DataFrame, text_col: str = "body_content") -> DataFrame:
-    """``(doc_id, dl, runs)`` of every text that has a word."""
-    tokens = docs.select("doc_id", word_tokens(F.col(text_col)).alias("_tokens"))
-    return tokens.where(F.size("_tokens") > 0).select(
-        "doc_id", F.size("_tokens").alias("dl"), _term_runs(F.col("_tokens")).alias("runs")
+    """``(doc_id, dl, runs)``; ``runs`` is null for a text without words."""
+    return docs.select("doc_id", word_tokens(F.col(text_col)).alias("_tokens")).select(
+        "doc_id",
+        F.size("_tokens").alias("dl"),
+        F.when(F.size("_tokens") > 0, _term_runs(F.col("_tokens"))).alias("runs"),
     )
 
 
 def postings(docs: DataFrame, text_col: str = "body_content") -> DataFrame:
     """``(term, doc_id, tf, dl, positions)``; the document length rides along for scoring."""
-    return doc_terms(docs, text_col).select("doc_id", "dl", F.inline("runs")).select(
-        "term", "doc_id", "tf", "dl", "positions"
+    return (
+        doc_terms(docs, text_col)
+        .select("doc_id", "dl", F.inline_outer("runs"))
+        .where(F.col("term").isNotNull())
+        .select("term", "doc_id", "tf", "dl", "positions")
     )
 
 
 def doc_lengths(docs: DataFrame, text_col: str = "body_content") -> DataFrame:
-    """``(doc_id, dl)``: words per text, for texts that have any."""
-    return docs.select("doc_id", F.size(word_tokens(F.col(text_col))).alias("dl")).where("dl > 0")
+    """``(doc_id, dl)``: words per text."""
+    return docs.select("doc_id", F.size(word_tokens(F.col(text_col))).alias("dl"))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:
@@ -121,8 +129,6 @@ def field_stats(exact: DataFrame) -> DataFrame:
 
 
 def corpus_stats(doc_len: DataFrame) -> DataFrame:
-    """One row ``(n_docs, avgdl)``."""
-    return doc_len.agg(
-        F.count(F.lit(1)).alias("n_docs"),
-        (F.sum("dl").cast("double") / F.count(F.lit(1))).alias("avgdl"),
-    )
+    """One row ``(n_docs, avgdl)`` over the texts that have words."""
+    n_docs = F.count_if(F.col("dl") > 0)
+    return doc_len.agg(n_docs.alias("n_docs"), F.try_divide(F.sum("dl").cast("double"), n_docs).alias("avgdl"))

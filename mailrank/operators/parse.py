@@ -26,7 +26,8 @@ def parse_headers(raw: DataFrame) -> DataFrame:
 
 def headers_long(raw: DataFrame) -> DataFrame:
     """One row per header: ``(file, pos, k, v)``, ``pos`` counted from 1."""
-    return parse_headers(raw).select("file", F.posexplode("headers").alias("at", "h")).select(
+    each = parse_headers(raw).select("file", F.posexplode_outer("headers").alias("at", "h"))
+    return each.where(F.col("at").isNotNull()).select(
         "file", (F.col("at") + 1).alias("pos"), F.col("h.k").alias("k"), F.col("h.v").alias("v")
     )
 
