@@ -427,7 +427,7 @@ ORACLE.update(
     ),
     match_sender=sql("exact", "wanted", "SELECT qid, doc_id FROM exact JOIN wanted USING (field, term) WHERE field = 'sender_email'"),
     match_phone=sql(
-        "exact", "SELECT a.doc_id AS qid, b.doc_id FROM exact a JOIN exact b USING (field, term) WHERE field = 'phone_num'"
+        "exact", "SELECT min(doc_id) OVER (PARTITION BY term) AS qid, doc_id FROM exact WHERE field = 'phone_num'"
     ),
     bm25_any=sql(
         "posted", "dfs", "corpus", "text_wanted",

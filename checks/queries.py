@@ -477,18 +477,20 @@ def knn_int8_rescored(spark, sf_dir):
 def match_sender(spark, sf_dir):
     tables = r.search_tables(spark, sf_dir)
     terms = target_terms(normalise_queries(r.searches(spark, sf_dir)))
-    return keyword.match_exact(tables.exact_terms, terms, "sender_email").select("qid", "doc_id")
+    return keyword.match_exact(tables.exact_terms, terms, "sender_email", tables.term_buckets).select("qid", "doc_id")
 
 
 @query
 def match_phone(spark, sf_dir):
-    """Every body with digits asks for the documents of its number."""
+    """Every number found in a body asks for the documents it occurs in."""
     tables = r.search_tables(spark, sf_dir)
-    asked = r.documents(spark, sf_dir).select(
-        F.col("doc_id").alias("qid"), F.lit("").alias("query_text"),
-        F.concat(F.lit("tel. "), F.regexp_replace("text", "[^0-9]+", "-")).alias("target"), F.lit(20).alias("max_results"),
+    numbers = r.documents(spark, sf_dir).select("doc_id", text.phone_digits(F.col("text")).alias("phone"))
+    asked = numbers.where("phone != ''").groupBy("phone").agg(F.min("doc_id").alias("qid")).select(
+        "qid", F.lit("").alias("query_text"), F.regexp_replace("phone", "^(...)", "($1) ").alias("target"),
+        F.lit(20).alias("max_results"),
     )
-    return keyword.match_exact(tables.exact_terms, target_terms(asked), "phone_num").select("qid", "doc_id")
+    found = keyword.match_exact(tables.exact_terms, target_terms(asked), "phone_num", tables.term_buckets)
+    return found.select("qid", "doc_id")
 
 
 def _bm25(spark, sf_dir, **options):

@@ -118,9 +118,10 @@ def doc_lengths(docs: DataFrame, text_col: str = "body_content") -> DataFrame:
     return docs.select("doc_id", F.size(word_tokens(F.col(text_col))).alias("dl"))
 
 
-def term_stats(postings: DataFrame) -> DataFrame:
-    """``(term, df)``: documents per term. Also serves ``exact_terms`` of one field."""
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_stats(rows: DataFrame) -> DataFrame:
+    """``(term, df)`` of postings, ``(field, term, df)`` of exact terms: documents per term."""
+    keys = [c for c in ("term_bucket", "field", "term") if c in rows.columns]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
 
 
 def field_stats(exact: DataFrame) -> DataFrame:

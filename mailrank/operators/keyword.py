@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrank.operators.queries import target_terms
-from mailrank.session import SMALL_ROWS, settle
+from mailrank.session import Settled, one_of, settle
 
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
-PUSHED_TERMS = 1_000  # as many literal terms go into the scan filter
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -35,52 +34,61 @@ def length_norm(dl: Column, lossy: bool) -> Column:
     return F.when(dl < 24, dl.cast("double")).otherwise(24 + F.floor(over / step) * step)
 
 
-def with_terms(postings: DataFrame, terms: DataFrame, small: bool, buckets: int | None = None) -> DataFrame:
-    """Rows of ``postings`` whose term is asked for, joined to the asking rows.
+def ask(terms: DataFrame, buckets: int | None = None) -> Settled:
+    """Settle the rows that ask for terms, with the bucket of each term noted."""
+    return settle(terms.withColumn("_bucket", term_bucket(F.col("term"), buckets or 1)))
 
-    A small ask is broadcast, so postings never move, and its terms (with the
-    partitions they live in, for bucketed postings) are filtered in the scan.
-    A large ask is an ordinary join.
+
+def with_terms(
+    rows: DataFrame, asked: Settled, joined: DataFrame | None = None, buckets: int | None = None
+) -> DataFrame:
+    """Rows of an index table whose term is asked for, joined to the asking rows.
+
+    ``asked`` comes from :func:`ask`; it has ``term``, and ``field`` where the index table
+    has one. A small ask is broadcast, so the index never moves, and its terms (with the
+    partitions they live in, for tables written by bucket) are filtered in the scan. A
+    large ask is an ordinary join. ``joined`` is joined in place of ``asked``; it has at
+    most its rows.
     """
-    if small:
-        found = [r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-        if len(found) <= PUSHED_TERMS:
-            postings = postings.where(F.col("term").isin(found))
-            if buckets:
-                spark = postings.sparkSession
-                homes = spark.createDataFrame([(t,) for t in found], "term STRING").select(
-                    term_bucket(F.col("term"), buckets).alias("b")
-                )
-                postings = postings.where(F.col("term_bucket").isin([r.b for r in homes.distinct().collect()]))
-        terms = F.broadcast(terms)
-    return postings.join(terms, "term")
-
-
-def match_exact(exact: DataFrame, query_terms: DataFrame, field: str | None = None) -> DataFrame:
+    joined = asked.df.drop("_bucket") if joined is None else joined
+    keys = [c for c in ("field", "term") if c in rows.columns and c in joined.columns]
+    if asked.small and buckets:
+        rows = rows.where(F.col("term_bucket").isin(asked.values("_bucket")))
+    terms = asked.values("term")
+    if terms is not None:
+        rows = rows.where(one_of(F.col("term"), terms))
+    return rows.join(F.broadcast(joined) if asked.small else joined, keys)
+
+
+def match_exact(
+    exact: DataFrame, query_terms: DataFrame, field: str | None = None, buckets: int | None = None
+) -> DataFrame:
     """``(qid, doc_id, field, term)`` of documents whose exact field equals a query's key."""
-    asked = query_terms.select("qid", "field", "term")
+    asked = query_terms.select("qid", "field", "term").where("field != 'body_text'")
     if field:
         asked, exact = (d.where(F.col("field") == field) for d in (asked, exact))
-    asked, _ = settle(asked)
-    return exact.join(asked, ["field", "term"]).select("qid", "doc_id", "field", "term")
-
-
-def exact_scores(exact: DataFrame, stats: DataFrame, query_terms: DataFrame, k1: float = K1) -> DataFrame:
-    """``(qid, doc_id, score)`` of exact matches: ``idf / (1 + k1)`` per matching field."""
-    asked, small = settle(query_terms.where("field != 'body_text'").select("qid", "field", "term"))
-    if small:
-        # The fields are few and the counts one row per asked term.
-        hits = exact.join(F.broadcast(asked.select("field", "term").distinct()), ["field", "term"], "left_semi")
-    else:
-        hits = exact.join(asked, ["field", "term"], "left_semi")
-    df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    return with_terms(exact, ask(asked, buckets), buckets=buckets).select("qid", "doc_id", "field", "term")
+
+
+def exact_scores(
+    exact: DataFrame,
+    stats: DataFrame,
+    fields: DataFrame,
+    query_terms: DataFrame,
+    k1: float = K1,
+    buckets: int | None = None,
+) -> DataFrame:
+    """``(qid, doc_id, score)`` of exact matches: ``idf / (1 + k1)`` per matching field.
+
+    ``stats`` is ``(field, term, df)``, ``fields`` one row per field with its documents.
+    """
+    asked = ask(query_terms.where("field != 'body_text'").select("qid", "field", "term"), buckets)
     weighted = (
-        asked.join(df, ["field", "term"])
-        .join(F.broadcast(stats), "field")
+        with_terms(stats, asked, buckets=buckets)
+        .join(F.broadcast(fields), "field")  # as many rows as there are exact fields
         .select("qid", "field", "term", (idf(F.col("n_docs"), F.col("df")) / (1 + k1)).alias("score"))
     )
-    weighted, _ = settle(weighted)
-    return exact.join(weighted, ["field", "term"]).select("qid", "doc_id", "score")
+    return with_terms(exact, asked, weighted, buckets).select("qid", "doc_id", "score")
 
 
 def bm25(
@@ -96,21 +104,17 @@ def bm25(
     """``(qid, doc_id, score)`` of documents with any of a query's words.
 
     ``query_terms`` is ``(qid, term, n)``; a word asked ``n`` times counts ``n`` times.
-    Term weights are settled first (one row per asked word), so the large side is one
-    filtered scan of the postings and a pre-aggregated sum.
+    Term weights are one row per asked word, so the large side is one filtered scan of
+    the postings and a pre-aggregated sum.
     """
-    asked, small = settle(query_terms.select("qid", "term", "n"))
-    counts = with_terms(stats, asked.select("term").distinct(), small).select("term", "df")
-    size = corpus.first()
-    if not size or not size.n_docs:
-        return asked.limit(0).select("qid", F.lit(0).cast("bigint").alias("doc_id"), F.lit(0.0).alias("score"))
-    weight = F.col("n") * idf(F.lit(float(size.n_docs)), F.col("df"))
-    weights = asked.join(counts, "term").select("qid", "term", weight.alias("weight"))
-    weights, small = settle(weights)
+    asked = ask(query_terms.select("qid", "term", "n"), buckets)
+    n_docs, avgdl = (corpus.select(c).scalar() for c in ("n_docs", "avgdl"))
+    weight = F.col("n") * idf(n_docs, F.col("df"))
+    weights = with_terms(stats, asked, buckets=buckets).select("qid", "term", weight.alias("weight"))
     dl = length_norm(F.col("dl"), lossy_length)
-    pull = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / size.avgdl))
+    pull = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / avgdl))
     return (
-        with_terms(postings.select("term", "doc_id", "tf", "dl", *(["term_bucket"] if buckets else [])), weights, small, buckets)
+        with_terms(postings, asked, weights, buckets)
         .select("qid", "doc_id", (F.col("weight") * pull).alias("part"))
         .groupBy("qid", "doc_id")
         .agg(F.sum("part").alias("score"))
@@ -143,11 +147,13 @@ def sum_clauses(clauses: list[DataFrame], weights: list[float] | None = None) ->
 
 def keyword_scores(tables, queries: DataFrame, mode: str = "words", weights=None, **options) -> DataFrame:
     """Scores of every document that matches a query's target in any field."""
-    terms, _ = settle(target_terms(queries, mode), SMALL_ROWS)
+    terms = settle(target_terms(queries, mode)).df
     words = terms.where("field = 'body_text'")
     return sum_clauses(
         [
-            exact_scores(tables.exact_terms, tables.field_stats, terms),
+            exact_scores(
+                tables.exact_terms, tables.exact_stats, tables.field_stats, terms, buckets=tables.term_buckets
+            ),
             bm25(
                 tables.postings, tables.term_stats, tables.corpus_stats, words,
                 buckets=tables.term_buckets, **options,

@@ -14,13 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailrank.session import settle
 
 SCORE_DIGITS = 9  # scores are ranked after rounding, so the order of summing cannot show
-QUERY_FLOATS = 16_000_000  # query matrix sent to every worker: 64 MB of float32
+QUERY_ROWS = 20_000  # query vectors sent to every worker,
+QUERY_FLOATS = 16_000_000  # and numbers in them: 128 MB as doubles
 CHUNK_ROWS = 32_768  # vectors and queries per cell of the shuffled way
 BLOCK_QUERIES = 4_096
 SCORES_AT_ONCE = 4_000_000
@@ -202,10 +204,10 @@ def _grid(
 
 def _small_queries(queries: DataFrame, query_floats: int) -> pa.Table | None:
     """The query vectors as a local table, or None when they are more than the bound."""
-    first = queries.select(F.size("vec")).first()
-    room = query_floats // max(1, first[0] if first else 1)
-    head = queries.select(F.col("qid").cast("bigint").alias("qid"), "vec").limit(room + 1).toArrow()
-    return head if head.num_rows <= room else None
+    rows = min(QUERY_ROWS, query_floats)
+    head = queries.select(F.col("qid").cast("bigint").alias("qid"), "vec").limit(rows + 1).toArrow()
+    held = pc.sum(pc.list_value_length(head["vec"])).as_py() or 0
+    return head if head.num_rows <= rows and held <= query_floats else None
 
 
 def _candidates(vectors, queries, kernel, probes=None, query_floats=QUERY_FLOATS, **grid):
@@ -296,10 +298,13 @@ def knn_int8(
     coded = codes.select("doc_id", F.col("codes").alias("vec"))
     found = top_k(_candidates(coded, query_vectors, kernel, None, query_floats, **grid), take)
     if vectors is not None:
-        few, _ = settle(found.select("qid", "doc_id"))
-        queries, _ = settle(query_vectors.select(F.col("qid").cast("bigint").alias("qid"), F.col("vec").alias("_q")))
+        few = settle(found.select("qid", "doc_id")).df
+        asked = query_vectors.select(F.col("qid").cast("bigint").alias("qid"), F.col("vec").alias("_q"))
+        queries = settle(asked, query_floats // 1_024).df
         found = (
-            vectors.select("doc_id", "vec").join(few, "doc_id").join(queries, "qid")
+            vectors.select("doc_id", "vec")
+            .join(few, "doc_id")
+            .join(queries, "qid")
             .select("qid", "doc_id", F.round(cosine(F.col("vec"), F.col("_q")), SCORE_DIGITS).alias("score"))
         )
     return top_k(found.drop("rank"), k, limits=limits)

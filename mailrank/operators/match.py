@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailrank.operators.keyword import with_terms
-from mailrank.session import settle
+from mailrank.operators.keyword import ask, with_terms
+from mailrank.session import Settled
 
 
 def query_words(spark, terms: dict[int, list[str]]) -> DataFrame:
@@ -20,25 +20,30 @@ def query_words(spark, terms: dict[int, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "qid BIGINT, term STRING, place INT")
 
 
+def _sizes(asked: Settled) -> DataFrame:
+    """``(qid, n_terms)``, at most one row per asked term."""
+    sizes = asked.df.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
+    return F.broadcast(sizes) if asked.small else sizes
+
+
 def match_all(postings: DataFrame, query_terms: DataFrame, buckets: int | None = None) -> DataFrame:
     """``(qid, doc_id)`` of documents that hold every word of a query."""
-    asked, small = settle(query_terms.select("qid", "term").distinct())
-    sizes = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
-    sizes, _ = settle(sizes)
-    matched = with_terms(postings, asked, small, buckets).groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n_found"))
+    asked = ask(query_terms.select("qid", "term").distinct(), buckets)
+    sizes = _sizes(asked)
+    matched = with_terms(postings, asked, buckets=buckets).groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n_found"))
     return matched.join(sizes, "qid").where("n_found = n_terms").select("qid", "doc_id")
 
 
 def match_any(postings: DataFrame, query_terms: DataFrame, buckets: int | None = None) -> DataFrame:
     """``(qid, doc_id)`` of documents that hold at least one word of a query."""
-    asked, small = settle(query_terms.select("qid", "term").distinct())
-    return with_terms(postings, asked, small, buckets).select("qid", "doc_id").distinct()
+    asked = ask(query_terms.select("qid", "term").distinct(), buckets)
+    return with_terms(postings, asked, buckets=buckets).select("qid", "doc_id").distinct()
 
 
 def match_none(ranked: DataFrame, postings: DataFrame, query_terms: DataFrame, buckets: int | None = None) -> DataFrame:
     """Rows of ``ranked`` whose document holds none of the query's words."""
-    asked, small = settle(query_terms.select("qid", "term").distinct())
-    held = with_terms(postings, asked, small, buckets).select("qid", "doc_id")
+    asked = ask(query_terms.select("qid", "term").distinct(), buckets)
+    held = with_terms(postings, asked, buckets=buckets).select("qid", "doc_id")
     return ranked.join(held, ["qid", "doc_id"], "left_anti")
 
 
@@ -51,11 +56,11 @@ def match_phrase(
     document brings one row per phrase word, with its positions moved back by ``place``; the
     phrase starts where all of them agree. With ``slop`` they may differ by that much.
     """
-    asked, small = settle(query_terms.select("qid", "term", "place"))
-    sizes, _ = settle(asked.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms")))
+    asked = ask(query_terms.select("qid", "term", "place"), buckets)
+    sizes = _sizes(asked)
     starts = F.transform("positions", lambda p: p - F.col("place"))
     per_doc = (
-        with_terms(postings, asked, small, buckets)
+        with_terms(postings, asked, buckets=buckets)
         .select("qid", "doc_id", starts.alias("starts"))
         .groupBy("qid", "doc_id")
         .agg(F.count(F.lit(1)).alias("n_found"), F.collect_list("starts").alias("all_starts"))
@@ -153,5 +158,5 @@ def match_fuzzy(
     buckets: int | None = None,
 ) -> DataFrame:
     """``(doc_id, edits)``: documents with a word close to ``term`` and the fewest edits it takes."""
-    near, small = settle(fuzzy_terms(stats, term, distance, swaps))
-    return with_terms(postings, near, small, buckets).groupBy("doc_id").agg(F.min("edits").alias("edits"))
+    near = ask(fuzzy_terms(stats, term, distance, swaps), buckets)
+    return with_terms(postings, near, buckets=buckets).groupBy("doc_id").agg(F.min("edits").alias("edits"))

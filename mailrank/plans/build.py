@@ -21,6 +21,7 @@ class SearchTables:
     docs: DataFrame
     vectors: DataFrame
     exact_terms: DataFrame
+    exact_stats: DataFrame
     field_stats: DataFrame
     postings: DataFrame
     term_stats: DataFrame
@@ -28,7 +29,7 @@ class SearchTables:
     term_buckets: int | None = None
 
 
-TABLES = ("docs", "vectors", "exact_terms", "field_stats", "postings", "term_stats", "corpus_stats")
+TABLES = ("docs", "vectors", "exact_terms", "exact_stats", "field_stats", "postings", "term_stats", "corpus_stats")
 
 
 def derive_search_tables(emails: DataFrame, embedder: Embedder, normalise: bool = False) -> SearchTables:
@@ -40,6 +41,7 @@ def derive_search_tables(emails: DataFrame, embedder: Embedder, normalise: bool
         docs=docs,
         vectors=index.vector_table(emails, embedder),
         exact_terms=exact,
+        exact_stats=index.term_stats(exact),
         field_stats=index.field_stats(exact),
         postings=posted,
         term_stats=index.term_stats(posted),
@@ -56,34 +58,38 @@ def build_search_tables(
 ) -> SearchTables:
     """Write the search tables below ``path``, replacing what was there, and open them.
 
-    The stored fields are written first and everything else is read from them, so the
-    messages are parsed once. Postings are partitioned by a hash bucket of their term and
-    sorted by term inside: a query reads a few buckets, and of those the row groups that
-    can hold its words. A rebalancing shuffle splits a bucket with a very frequent word
-    over several tasks and files.
+    The stored fields are written first, sorted by ``doc_id`` within their files, and
+    everything else is read from them, so the messages are parsed once. Tables that are
+    looked up by term are partitioned by a hash bucket of the term and sorted by term
+    inside: a query reads a few buckets, and of those the row groups that can hold its
+    words. A rebalancing shuffle splits a bucket with a very frequent term over several
+    tasks and files.
     """
     spark = emails.sparkSession
 
-    def save(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(by) if by else writer).parquet(f"{path}/{name}")
+    def save(df: DataFrame, name: str, *by: str) -> DataFrame:
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    docs = save(index.stored_fields(emails), "docs")
-    save(index.vector_table(docs, embedder), "vectors")
-    exact = save(index.exact_terms(docs, normalise), "exact_terms", "field")
-    save(index.field_stats(exact), "field_stats")
-    bucketed = (
-        index.postings(docs)
-        .withColumn("term_bucket", term_bucket(F.col("term"), term_buckets))
-        .hint("rebalance", "term_bucket")
-        .sortWithinPartitions("term_bucket", "term", "doc_id")
+    def by_term(df: DataFrame) -> DataFrame:
+        bucketed = df.withColumn("term_bucket", term_bucket(F.col("term"), term_buckets))
+        return bucketed.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "doc_id")
+
+    docs = save(index.stored_fields(emails).sortWithinPartitions("doc_id"), "docs")
+    exact = save(by_term(index.exact_terms(docs, normalise)), "exact_terms", "term_bucket")
+    posted = save(by_term(index.postings(docs)), "postings", "term_bucket")
+    sizes = index.corpus_stats(index.doc_lengths(docs)).withColumn("term_buckets", F.lit(term_buckets))
+    return SearchTables(
+        docs=docs,
+        vectors=save(index.vector_table(docs, embedder), "vectors"),
+        exact_terms=exact,
+        exact_stats=save(index.term_stats(exact), "exact_stats", "term_bucket"),
+        field_stats=save(index.field_stats(exact), "field_stats"),
+        postings=posted,
+        term_stats=save(index.term_stats(posted), "term_stats", "term_bucket"),
+        corpus_stats=save(sizes, "corpus_stats"),
+        term_buckets=term_buckets,
     )
-    posted = save(bucketed, "postings", "term_bucket")
-    save(index.term_stats(posted), "term_stats")
-    sizes = index.corpus_stats(index.doc_lengths(docs))
-    save(sizes.withColumn("term_buckets", F.lit(term_buckets)), "corpus_stats")
-    return open_search_tables(spark, path)
 
 
 def open_search_tables(spark: SparkSession, path: str) -> SearchTables:

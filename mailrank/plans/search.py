@@ -15,7 +15,7 @@ from mailrank.operators.keyword import keyword_scores
 from mailrank.operators.knn import knn, top_k
 from mailrank.operators.queries import normalise_queries
 from mailrank.plans.build import SearchTables
-from mailrank.session import SMALL_ROWS, settle
+from mailrank.session import settle_texts
 
 # Takes (query vectors, k, limits) and returns (qid, doc_id, score, rank).
 VectorLeg = Callable[[DataFrame, int, DataFrame], DataFrame]
@@ -52,25 +52,24 @@ def hybrid_search(
 
     Each leg is cut to a query's ``max_results`` before the two are fused. A blank query
     text or target leaves its leg out; a query with neither has no hits. Equal fused
-    scores are ordered by ``doc_id``. ``leg`` replaces the exact vector leg.
+    scores are ordered by ``doc_id``. ``leg`` replaces the exact vector leg. The ranking is
+    computed at once; what the returned DataFrame still does is fetch the ranked documents.
     """
-    queries, small = settle(normalise_queries(queries))
+    queries = settle_texts(normalise_queries(queries), ["query_text", "target"]).df
     size = queries.agg(
         F.max("max_results"),
-        F.count(F.lit(1)),
         F.count_if(~blank(F.col("query_text"))),
         F.count_if(~blank(F.col("target"))),
     ).first()
     k = size[0] or 1
     legs = {}
-    if size[2] or not size[3]:
+    if size[1] or not size[2]:
         legs["semantic"] = semantic_search(tables, queries, embedder, k, leg)
-    if size[3]:
+    if size[2]:
         legs["keyword"] = keyword_search(tables, queries, k, **options)
     fused = rrf_fuse(legs, rrf_k, weights)
     for name in {"semantic", "keyword"} - set(legs):
         fused = fused.withColumn(f"{name}_rank", F.lit(None).cast("int"))
     # Two unrounded terms give the same sum in either order, so nothing is rounded here.
     ranked = top_k(fused, k, score="rrf_score", limits=queries, digits=None)
-    bounded = small and size[1] * k <= SMALL_ROWS
-    return project_hits(hydrate(ranked, tables.docs, small=bounded), on_bad_millis)
+    return project_hits(hydrate(ranked, tables.docs), on_bad_millis)

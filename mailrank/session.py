@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have before it is no longer pulled or broadcast.
+# What a side may hold before it is no longer pulled or broadcast.
 SMALL_ROWS = 50_000
+SMALL_BYTES = 64 * 1024 * 1024
+PUSHED_VALUES = 1_000  # as many literal values go into a scan filter
+SEPARATE_VALUES = 60
+VALUES_PER_LIST = 10  # longer IN lists reach a Parquet scan only as their smallest and largest value
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +48,55 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+@dataclass(frozen=True)
+class Settled:
+    """A DataFrame that was checked for size. ``rows`` holds its rows when it is small."""
+
+    df: DataFrame
+    rows: pa.Table | None
+
+    @property
+    def small(self) -> bool:
+        return self.rows is not None
+
+    def values(self, column: str) -> list | None:
+        """The distinct values of a column, sorted, unless there are too many to push down."""
+        if self.rows is None:
+            return None
+        found = pc.unique(self.rows[column]).to_pylist()
+        return sorted(found) if len(found) <= PUSHED_VALUES else None
+
+
+def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> Settled:
     """Replace ``df`` by a local, broadcast-hinted copy if it has at most ``max_rows`` rows.
 
     Above that bound ``df`` comes back untouched, so its joins are shuffled joins.
-    The second value tells which of the two happened.
+    For rows of numbers and words; rows with texts go through :func:`settle_texts`.
     """
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
-        return df, False
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), True
+        return Settled(df, None)
+    return Settled(F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), head)
+
+
+def settle_texts(
+    df: DataFrame, texts: list[str], max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES
+) -> Settled:
+    """:func:`settle` for rows with texts, whose bytes are added up before any is pulled."""
+    size = F.lit(0).cast("bigint")
+    for c in texts:
+        size = size + F.octet_length(c)
+    n, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return settle(df, max_rows) if n <= max_rows and held <= max_bytes else Settled(df, None)
+
+
+def one_of(c: Column, values: list) -> Column:
+    """``c`` is one of ``values``, as a filter that a Parquet scan can use to skip row groups.
+
+    A few values are pushed down one by one, as short lists joined by OR. With many, most
+    row groups hold some of them, and one hashed list costs less per row.
+    """
+    if not values or len(values) > SEPARATE_VALUES:
+        return c.isin(values)
+    lists = [values[i : i + VALUES_PER_LIST] for i in range(0, len(values), VALUES_PER_LIST)]
+    return reduce(or_, [c.isin(part) for part in lists])

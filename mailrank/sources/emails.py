@@ -37,14 +37,16 @@ def with_row_id(df: DataFrame, order_by: list[str], name: str = "id", start: int
     """Number rows ``start, start+1, ...`` in the order of ``order_by``, without one big window.
 
     Rows are range-partitioned and sorted; each partition is numbered from the row
-    counts of the partitions before it, of which there is one small row each. A hash
-    of the row ends the sort key, so that equal keys can be split over partitions.
+    counts of the partitions before it, of which there is one small row each. A hash of
+    the row and its place in the input end the sort key, so that neither equal keys nor
+    copies of one row have to share a partition.
     The sorted rows are checkpointed first: a task that is re-run must not see other
     range bounds than the counts did.
     """
     tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    keys = [*map(F.col, order_by), F.col("_tie")]
-    ranged = df.withColumn("_tie", tie).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys = [*map(F.col, order_by), F.col("_tie"), F.col("_came")]
+    came = F.monotonically_increasing_id()
+    ranged = df.withColumns({"_tie": tie, "_came": came}).repartitionByRange(*keys).sortWithinPartitions(*keys)
     # Low 33 bits of the generated id are the row's place in its partition.
     placed = checkpointed(ranged).select(
         *df.columns,
