@@ -14,9 +14,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrank.functions.text import blank, fill_blank, strip_ws
+from mailrank.functions.text import blank, fill_blank, strip_ws, with_role
 from mailrank.functions.vectors import VECTOR_DIM, hash_embedding, l2_normalise
-from mailrank.session import SMALL_ROWS
 
 # Fixed values.
 BOS, EOS = "<bos>", "<eos>"
@@ -268,10 +267,8 @@ def dim_report(vectors: DataFrame, expected: int = VECTOR_DIM, vec_col: str = "v
     )
 
 
-def query_vectors(queries: DataFrame, embedder: Embedder, max_rows: int = SMALL_ROWS) -> DataFrame:
+def query_vectors(queries: DataFrame, embedder: Embedder) -> DataFrame:
     """``(qid, vec)`` of the queries that have a text."""
-    from mailrank.functions.text import with_role
-
     asked = queries.where(~blank(F.col("query_text"))).select(
         "qid", with_role(F.col("query_text"), "query").alias("_text")
     )

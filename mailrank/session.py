@@ -67,12 +67,13 @@ class Settled:
         return sorted(found) if len(found) <= PUSHED_VALUES else None
 
 
-def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> Settled:
+def settle(df: DataFrame, max_rows: int | None = None) -> Settled:
     """Replace ``df`` by a local, broadcast-hinted copy if it has at most ``max_rows`` rows.
 
     Above that bound ``df`` comes back untouched, so its joins are shuffled joins.
     For rows of numbers and words; rows with texts go through :func:`settle_texts`.
     """
+    max_rows = SMALL_ROWS if max_rows is None else max_rows
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
         return Settled(df, None)
@@ -80,9 +81,10 @@ def settle(df: DataFrame, max_rows: int = SMALL_ROWS) -> Settled:
 
 
 def settle_texts(
-    df: DataFrame, texts: list[str], max_rows: int = SMALL_ROWS, max_bytes: int = SMALL_BYTES
+    df: DataFrame, texts: list[str], max_rows: int | None = None, max_bytes: int = SMALL_BYTES
 ) -> Settled:
     """:func:`settle` for rows with texts, whose bytes are added up before any is pulled."""
+    max_rows = SMALL_ROWS if max_rows is None else max_rows
     size = F.lit(0).cast("bigint")
     for c in texts:
         size = size + F.octet_length(c)
