@@ -620,13 +620,13 @@ def match_none(spark, sf_dir):
 @query
 def match_phrase(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_phrase(t.postings, _benchmark_words(spark, sf_dir), buckets=t.term_buckets)
+    return match.match_phrase(t.postings, _benchmark_words(spark, sf_dir), buckets=t.term_buckets, stats=t.term_stats)
 
 
 @query
 def match_phrase_slop(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_phrase(t.postings, match.query_words(spark, WORDS), 3, t.term_buckets)
+    return match.match_phrase(t.postings, match.query_words(spark, WORDS), 3, t.term_buckets, t.term_stats)
 
 
 @query

@@ -118,6 +118,14 @@ def doc_lengths(docs: DataFrame, text_col: str = "body_content") -> DataFrame:
     return docs.select("doc_id", F.size(word_tokens(F.col(text_col))).alias("dl"))
 
 
+def posted_lengths(postings: DataFrame) -> DataFrame:
+    """``(doc_id, dl)`` of texts with words, read off their postings.
+
+    One word of each text stands at position 0, so no grouping is needed.
+    """
+    return postings.where(F.get("positions", F.lit(0)) == 0).select("doc_id", "dl")
+
+
 def term_stats(rows: DataFrame) -> DataFrame:
     """``(term, df)`` of postings, ``(field, term, df)`` of exact terms: documents per term."""
     keys = [c for c in ("term_bucket", "field", "term") if c in rows.columns]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailrank.operators.keyword import ask, with_terms
-from mailrank.session import Settled
+from mailrank.session import Settled, settle
 
 
 def query_words(spark, terms: dict[int, list[str]]) -> DataFrame:
@@ -47,24 +47,37 @@ def match_none(ranked: DataFrame, postings: DataFrame, query_terms: DataFrame, b
     return ranked.join(held, ["qid", "doc_id"], "left_anti")
 
 
+def _may_hold(postings: DataFrame, stats: DataFrame, asked: Settled, buckets: int | None) -> DataFrame:
+    """``(qid, doc_id)`` of documents with a query's rarest word: no others can hold them all."""
+    rarest = with_terms(stats, asked, buckets=buckets).groupBy("qid").agg(F.min_by("term", "df").alias("term"))
+    found = with_terms(postings, ask(rarest, buckets), buckets=buckets).select("qid", "doc_id")
+    return settle(found).df
+
+
 def match_phrase(
-    postings: DataFrame, query_terms: DataFrame, slop: int = 0, buckets: int | None = None
+    postings: DataFrame,
+    query_terms: DataFrame,
+    slop: int = 0,
+    buckets: int | None = None,
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """``(qid, doc_id, n_places)`` of documents that hold a query's words one after another.
 
     ``query_terms`` is ``(qid, term, place)``, ``place`` counting the phrase's words from 0. A
     document brings one row per phrase word, with its positions moved back by ``place``; the
     phrase starts where all of them agree. With ``slop`` they may differ by that much.
+    With the term ``stats`` given, only documents with a phrase's rarest word are looked at.
     """
     asked = ask(query_terms.select("qid", "term", "place"), buckets)
-    sizes = _sizes(asked)
+    rows = with_terms(postings, asked, buckets=buckets).select("qid", "doc_id", "place", "positions")
+    if stats is not None:
+        rows = rows.join(_may_hold(postings, stats, asked, buckets), ["qid", "doc_id"], "left_semi")
     starts = F.transform("positions", lambda p: p - F.col("place"))
     per_doc = (
-        with_terms(postings, asked, buckets=buckets)
-        .select("qid", "doc_id", starts.alias("starts"))
+        rows.select("qid", "doc_id", starts.alias("starts"))
         .groupBy("qid", "doc_id")
         .agg(F.count(F.lit(1)).alias("n_found"), F.collect_list("starts").alias("all_starts"))
-        .join(sizes, "qid")
+        .join(_sizes(asked), "qid")
         .where("n_found = n_terms")
     )
     first = F.get("all_starts", F.lit(0))

@@ -45,7 +45,7 @@ def derive_search_tables(emails: DataFrame, embedder: Embedder, normalise: bool
         field_stats=index.field_stats(exact),
         postings=posted,
         term_stats=index.term_stats(posted),
-        corpus_stats=index.corpus_stats(index.doc_lengths(docs)),
+        corpus_stats=index.corpus_stats(index.posted_lengths(posted)),
     )
 
 
@@ -78,7 +78,7 @@ def build_search_tables(
     docs = save(index.stored_fields(emails).sortWithinPartitions("doc_id"), "docs")
     exact = save(by_term(index.exact_terms(docs, normalise)), "exact_terms", "term_bucket")
     posted = save(by_term(index.postings(docs)), "postings", "term_bucket")
-    sizes = index.corpus_stats(index.doc_lengths(docs)).withColumn("term_buckets", F.lit(term_buckets))
+    sizes = index.corpus_stats(index.posted_lengths(posted)).withColumn("term_buckets", F.lit(term_buckets))
     return SearchTables(
         docs=docs,
         vectors=save(index.vector_table(docs, embedder), "vectors"),

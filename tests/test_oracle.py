@@ -14,6 +14,8 @@ def duck(sf_dir):
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query(spark, sf_dir, duck, name):
     df = contract.queries()[name](spark, sf_dir)
+    plan = df._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     statement = contract.oracle_sql().get(name)
     if statement is None:
         assert df.count() > 0
