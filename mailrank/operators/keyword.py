@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrank.operators.queries import target_terms
-from mailrank.session import Settled, one_of, settle
+from mailrank.session import SEPARATE_VALUES, Settled, one_of, settle
 
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
@@ -52,9 +52,11 @@ def with_terms(
     """
     joined = asked.df.drop("_bucket") if joined is None else joined
     keys = [c for c in ("field", "term") if c in rows.columns and c in joined.columns]
-    if asked.small and buckets:
-        rows = rows.where(F.col("term_bucket").isin(asked.values("_bucket")))
-    terms = asked.values("term")
+    homes = asked.values("_bucket") if buckets else None
+    if homes is not None and len(homes) < buckets:
+        rows = rows.where(F.col("term_bucket").isin(homes))
+    # More words than these are in most row groups anyway, and the join drops the rest.
+    terms = asked.values("term", SEPARATE_VALUES)
     if terms is not None:
         rows = rows.where(one_of(F.col("term"), terms))
     return rows.join(F.broadcast(joined) if asked.small else joined, keys)

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 # What a side may hold before it is no longer pulled or broadcast.
 SMALL_ROWS = 50_000
 SMALL_BYTES = 64 * 1024 * 1024
-PUSHED_VALUES = 1_000  # as many literal values go into a scan filter
-SEPARATE_VALUES = 60
+PUSHED_VALUES = 1_000  # as many literal values go into a scan filter,
+SEPARATE_VALUES = 60  # and as many go there one by one
 VALUES_PER_LIST = 10  # longer IN lists reach a Parquet scan only as their smallest and largest value
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 
@@ -29,12 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="mailrank-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="mailrank-")
+    return _own_dirs[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -42,12 +45,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 @dataclass(frozen=True)
 class Settled:
     """A DataFrame that was checked for size. ``rows`` holds its rows when it is small."""
@@ -59,12 +56,12 @@ class Settled:
     def small(self) -> bool:
         return self.rows is not None
 
-    def values(self, column: str) -> list | None:
-        """The distinct values of a column, sorted, unless there are too many to push down."""
+    def values(self, column: str, at_most: int = PUSHED_VALUES) -> list | None:
+        """The distinct values of a column, sorted, unless they are not known or too many."""
         if self.rows is None:
             return None
         found = pc.unique(self.rows[column]).to_pylist()
-        return sorted(found) if len(found) <= PUSHED_VALUES else None
+        return sorted(found) if len(found) <= at_most else None
 
 
 def settle(df: DataFrame, max_rows: int | None = None) -> Settled:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailrank.functions.text import flag_to_int
-from mailrank.session import checkpointed
+from mailrank.session import fresh_path
 
 # The columns of the table, in order.
 EMAIL_COLUMNS = (
@@ -39,23 +39,26 @@ def with_row_id(df: DataFrame, order_by: list[str], name: str = "id", start: int
     Rows are range-partitioned and sorted; each partition is numbered from the row
     counts of the partitions before it, of which there is one small row each. A hash of
     the row and its place in the input end the sort key, so that neither equal keys nor
-    copies of one row have to share a partition.
-    The sorted rows are checkpointed first: a task that is re-run must not see other
-    range bounds than the counts did.
+    copies of one row have to share a partition. The sorted rows are written to the
+    shared folder with their partition and place: a task that is run again must not
+    see other range bounds than the counts did.
     """
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    spark = df.sparkSession
     keys = [*map(F.col, order_by), F.col("_tie"), F.col("_came")]
-    came = F.monotonically_increasing_id()
+    tie, came = F.xxhash64(*[F.col(c) for c in df.columns]), F.monotonically_increasing_id()
     ranged = df.withColumns({"_tie": tie, "_came": came}).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    path = fresh_path(spark, "row-ids")
     # Low 33 bits of the generated id are the row's place in its partition.
-    placed = checkpointed(ranged).select(
+    ranged.select(
         *df.columns,
         F.spark_partition_id().alias("_part"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
-    )
+    ).write.parquet(path)
+    placed = spark.read.parquet(path)
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # As many offsets as there are partitions.
     return placed.join(F.broadcast(offsets), "_part").select(
         (F.col("_before") + F.col("_place") + start).alias(name), *df.columns
     )

@@ -69,8 +69,17 @@ def test_one_of(spark, n):
     assert got == n
 
 
-def test_shared_dir_comes_from_the_session(spark):
-    assert session.fresh_path(spark, "t").startswith(spark.conf.get("spark.checkpoint.dir"))
+def test_shared_dir_comes_from_the_session(spark, monkeypatch):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert session.fresh_path(spark, "t").startswith(named)
+    # Unset: a local master gets a folder of its own, any other must name one.
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    own = session.shared_dir(spark)
+    assert own == session.shared_dir(spark) != named
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError):
+        session.shared_dir(spark)
 
 
 def test_phone_column(spark):
