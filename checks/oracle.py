@@ -521,3 +521,4 @@ ORACLE.update(
 )
 # Probing every cell, and the exact search, give one and the same list.
 ORACLE["knn_ivf"] = ORACLE["knn_exact"]
+ORACLE["knn_cells_int8"] = ORACLE["knn_int8_rescored"]

@@ -11,6 +11,7 @@ from mailrank.operators import embed, fusion, hits, index, ivf, keyword, knn, ma
 from mailrank.operators.queries import normalise_queries, target_terms
 from mailrank.plans.build import build_search_tables
 from mailrank.plans.search import hybrid_search, keyword_search
+from mailrank.plans.vector_index import build_vector_index
 from mailrank.session import fresh_path
 from mailrank.sources import emails as em
 from mailrank.sources.mail_csv import read_mail_csv, write_mail_csv
@@ -458,6 +459,14 @@ def knn_ivf_few_cells(spark, sf_dir):
     return knn.knn_ivf(cells, centroids, _label_queries(spark, sf_dir), 20, 2)
 
 
+@query
+def knn_cells_int8(spark, sf_dir):
+    """Codes laid out by cell, all cells probed, the best ranked again by full vectors."""
+    rows = r.vectors(spark, sf_dir)
+    made = build_vector_index(rows, fresh_path(spark, "vectors"), IVF_CELLS)
+    return made.leg(IVF_CELLS, rows)(_label_queries(spark, sf_dir), 20, None)
+
+
 @query
 def knn_int8(spark, sf_dir):
     rows = r.vectors(spark, sf_dir)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrank.functions.text import SNIPPET_CHARS, flag_from_text, hit_snippet, safe_millis
-from mailrank.session import one_of, settle
+from mailrank.session import fetch, settle
 
 NO_RESULTS = "No results found."
 
@@ -14,14 +14,9 @@ NO_RESULTS = "No results found."
 def hydrate(ranked: DataFrame, docs: DataFrame) -> DataFrame:
     """Add stored fields; a ranked id without a stored document is skipped.
 
-    A bounded ranking is settled first, so that its ids become a filter of the scan:
-    of a large table only the pages with those documents are read.
+    A bounded ranking is settled first, so that its ids become a filter of the scan.
     """
-    found = settle(ranked)
-    ids = found.values("doc_id")
-    if ids is not None:
-        docs = docs.where(one_of(F.col("doc_id"), ids))
-    return docs.join(found.df, "doc_id")
+    return fetch(docs, settle(ranked))
 
 
 def project_hits(hydrated: DataFrame, on_bad_millis: Column | int | None = None, n: int = SNIPPET_CHARS) -> DataFrame:

@@ -13,12 +13,18 @@ from mailrank.functions.vectors import norm
 
 
 def build_ivf(
-    vectors: DataFrame, n_cells: int | None = None, seed: int = 42, max_iter: int = 10
+    vectors: DataFrame,
+    n_cells: int | None = None,
+    seed: int = 42,
+    max_iter: int = 10,
+    train_fraction: float = 1.0,
 ) -> tuple[DataFrame, DataFrame]:
     """``(centroids(cell, center), vectors(doc_id, vec, cell))``.
 
     Centres come from k-means on cosine distance; every vector is then given to its
     nearest centre. ``n_cells`` defaults to the square root of the number of vectors.
+    ``train_fraction`` below 1 finds the centres from a part of the vectors; it moves the
+    centres, while every vector still gets its cell.
     Vectors of no length have no nearest centre and are left out.
     """
     spark = vectors.sparkSession
@@ -27,7 +33,7 @@ def build_ivf(
         n_cells = max(2, math.isqrt(usable.count()))
     features = usable.withColumn("features", array_to_vector(F.col("vec").cast("array<double>")))
     means = KMeans(k=n_cells, distanceMeasure="cosine", seed=seed, maxIter=max_iter, predictionCol="cell")
-    model = means.fit(features)
+    model = means.fit(features if train_fraction >= 1 else features.sample(train_fraction, seed))
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = spark.createDataFrame(centers, "cell INT, center ARRAY<DOUBLE>")
     return centroids, model.transform(features).select("doc_id", "vec", "cell")

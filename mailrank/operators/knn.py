@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailrank.session import settle
+from mailrank.functions.vectors import cosine
+from mailrank.operators.quantise import LEVELS
+from mailrank.session import fetch, settle
 
 SCORE_DIGITS = 9  # scores are ranked after rounding, so the order of summing cannot show
 QUERY_ROWS = 20_000  # query vectors sent to every worker,
@@ -281,30 +283,28 @@ def knn_int8(
     vectors: DataFrame | None = None,
     oversample: int = 4,
     limits: DataFrame | None = None,
+    centroids: DataFrame | None = None,
+    nprobe: int = 1,
     query_floats: int = QUERY_FLOATS,
     **grid,
 ) -> DataFrame:
     """Top-k over int8 codes ``(doc_id, codes)``.
 
     With ``vectors`` given, the best ``k * oversample`` by code are ranked again by their
-    full vectors.
+    full vectors. With ``centroids`` given, ``codes`` carries its ``cell`` and only the
+    ``nprobe`` nearest cells of a query are scored.
     """
-    from mailrank.functions.vectors import cosine
-    from mailrank.operators.quantise import LEVELS
-
     lo, hi = bounds
     take = k if vectors is None else k * oversample
     kernel = Kernel(take, lo, (hi - lo) / LEVELS)
-    coded = codes.select("doc_id", F.col("codes").alias("vec"))
-    found = top_k(_candidates(coded, query_vectors, kernel, None, query_floats, **grid), take)
+    cell = ["cell"] if centroids is not None else []
+    coded = codes.select("doc_id", F.col("codes").alias("vec"), *cell)
+    probes = probe_cells(centroids, query_vectors, nprobe) if cell else None
+    found = top_k(_candidates(coded, query_vectors, kernel, probes, query_floats, **grid), take)
     if vectors is not None:
-        few = settle(found.select("qid", "doc_id")).df
         asked = query_vectors.select(F.col("qid").cast("bigint").alias("qid"), F.col("vec").alias("_q"))
         queries = settle(asked, query_floats // 1_024).df
-        found = (
-            vectors.select("doc_id", "vec")
-            .join(few, "doc_id")
-            .join(queries, "qid")
-            .select("qid", "doc_id", F.round(cosine(F.col("vec"), F.col("_q")), SCORE_DIGITS).alias("score"))
-        )
+        score = F.round(cosine(F.col("vec"), F.col("_q")), SCORE_DIGITS)
+        few = fetch(vectors.select("doc_id", "vec"), settle(found.select("qid", "doc_id")))
+        found = few.join(queries, "qid").select("qid", "doc_id", score.alias("score"))
     return top_k(found.drop("rank"), k, limits=limits)

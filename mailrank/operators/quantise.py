@@ -16,14 +16,14 @@ def value_bounds(vectors: DataFrame, confidence: float = 1.0, accuracy: int = 10
     """
     if confidence >= 1.0:
         row = vectors.agg(F.min(F.array_min("vec")), F.max(F.array_max("vec"))).first()
-        return row[0], row[1]
+        return float(row[0]), float(row[1])
     tail = (1.0 - confidence) / 2
     values = vectors.select(F.explode("vec").alias("x"))
     found = values.agg(F.percentile_approx("x", [tail, 1.0 - tail], accuracy)).first()[0]
-    return found[0], found[1]
+    return float(found[0]), float(found[1])
 
 
-def quantise_int8(vectors: DataFrame, bounds: tuple[float, float]) -> DataFrame:
+def quantise_int8(vectors: DataFrame, bounds: tuple[float, float], keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, codes ARRAY<TINYINT>)``; values outside the bounds take the nearest one."""
     lo, hi = (F.lit(float(b)) for b in bounds)
     scale = LEVELS / (bounds[1] - bounds[0]) if bounds[1] > bounds[0] else 0.0
@@ -32,7 +32,7 @@ def quantise_int8(vectors: DataFrame, bounds: tuple[float, float]) -> DataFrame:
         clipped = F.least(F.greatest(x.cast("double"), lo), hi)
         return F.floor((clipped - lo) * scale + 0.5).cast("tinyint")
 
-    return vectors.select("doc_id", F.transform("vec", code).alias("codes"))
+    return vectors.select("doc_id", F.transform("vec", code).alias("codes"), *keep)
 
 
 def dequantise(codes: DataFrame, bounds: tuple[float, float]) -> DataFrame:

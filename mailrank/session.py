@@ -99,3 +99,14 @@ def one_of(c: Column, values: list) -> Column:
         return c.isin(values)
     lists = [values[i : i + VALUES_PER_LIST] for i in range(0, len(values), VALUES_PER_LIST)]
     return reduce(or_, [c.isin(part) for part in lists])
+
+
+def fetch(rows: DataFrame, asked: Settled, key: str = "doc_id") -> DataFrame:
+    """``rows`` joined to the asking rows by ``key``, of which a bounded number is filtered in the scan.
+
+    Of a large table sorted by ``key`` only the pages with those keys are read.
+    """
+    keys = asked.values(key)
+    if keys is not None:
+        rows = rows.where(one_of(F.col(key), keys))
+    return rows.join(asked.df, key)

@@ -12,6 +12,7 @@ from mailrank.operators import embed, fusion, hits, index, ivf, keyword, knn, ma
 from mailrank.operators.queries import normalise_queries, target_terms
 from mailrank.plans.build import build_search_tables, derive_search_tables, open_search_tables
 from mailrank.plans.search import hybrid_search, keyword_search
+from mailrank.plans.vector_index import build_vector_index
 
 MAILS = [
     (0, "user3@example.com", "the budget meeting the budget"),
@@ -164,13 +165,15 @@ def test_other_vector_legs(tables, queries):
     centroids, cells = ivf.build_ivf(vectors, 3)
     bounds = quantise.value_bounds(vectors)
     codes = quantise.quantise_int8(vectors, bounds)
+    made = build_vector_index(vectors, session.fresh_path(tables.docs.sparkSession, "vectors"), 3)
     legs = [
         None,
+        made.leg(3, vectors, oversample=50),
         lambda q, k, limits: knn.knn_ivf(cells, centroids, q, k, 3, limits=limits),
         lambda q, k, limits: knn.knn_int8(codes, bounds, q, k, vectors=vectors, oversample=50, limits=limits),
     ]
     found = [lists(hybrid_search(tables, queries, embed.hash_embedder(), leg=leg)) for leg in legs]
-    assert found[0] == found[1] == found[2]
+    assert all(f == found[0] for f in found)
 
 
 def test_mixed_case_sender_needs_a_normalised_index(mails, spark):
