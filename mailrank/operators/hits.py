@@ -70,5 +70,6 @@ def format_hits(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     blocks = hits.select("qid", "rank", lines.alias("block"))
     if queries is None:
         return blocks
-    silent = queries.select(F.col("qid").cast("bigint").alias("qid")).join(blocks.select("qid").distinct(), "qid", "left_anti")
+    asked = queries.select(F.col("qid").cast("bigint").alias("qid"))
+    silent = asked.join(blocks.select("qid").distinct(), "qid", "left_anti")
     return blocks.unionByName(silent.select("qid", F.lit(0).alias("rank"), F.lit(NO_RESULTS).alias("block")))

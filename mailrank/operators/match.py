@@ -30,7 +30,8 @@ def match_all(postings: DataFrame, query_terms: DataFrame, buckets: int | None =
     """``(qid, doc_id)`` of documents that hold every word of a query."""
     asked = ask(query_terms.select("qid", "term").distinct(), buckets)
     sizes = _sizes(asked)
-    matched = with_terms(postings, asked, buckets=buckets).groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n_found"))
+    found = with_terms(postings, asked, buckets=buckets)
+    matched = found.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n_found"))
     return matched.join(sizes, "qid").where("n_found = n_terms").select("qid", "doc_id")
 
 
@@ -162,7 +163,8 @@ def fuzzy_terms(stats: DataFrame, term: str, distance: int = 2, swaps: bool = Fa
     near = close.select("term", plain.alias("edits")).where("edits >= 0")
     if swaps:
         swap_distance = F.pandas_udf(_swap_distances, "int")
-        near = near.select("term", swap_distance(F.col("term"), wanted).alias("edits")).where(F.col("edits") <= distance)
+        near = near.select("term", swap_distance(F.col("term"), wanted).alias("edits"))
+        near = near.where(F.col("edits") <= distance)
     return near
 
 
