@@ -13,6 +13,7 @@ from mailrank.session import fresh_path
 
 # ASCII white space: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
+SLICE_BYTES = 4 * 1024 * 1024  # of text that a task works on at once; one longer text is worked on whole
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,6 +49,16 @@ def by_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, column: int, at_most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of rows with some megabytes of one text column, or one longer row."""
+    _, off = utf8(batch.column(column))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(off, off[start] + at_most, side="right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string or binary column; null is empty."""
     if column.null_count:

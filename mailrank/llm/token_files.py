@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import by_arrow, chunks, parts, ranges
+from mailrank.llm.common import by_arrow, chunks, parts, ranges, slices
 from mailrank.session import fresh_path
 
 ROW_GROUP_BYTES = 8 * 1024 * 1024
 PAGE_ROWS = 2_000
-CACHED_WORDS = 400_000  # encodings one Python worker keeps
+CACHED_WORDS = 150_000  # encodings one Python worker keeps
 
 # Pieces of a plain word, as the vocabulary file's own splitting rule has them.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -108,22 +108,21 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start, encoder = TaskContext.get().partitionId(), 0, WordEncoder(vocabulary, end_id)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, n = encoder.column(batch.column(1))
-            ends = np.concatenate([[0], np.cumsum(n)])
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array(np.full(len(n), shard, np.int32)),
-                    pa.array(start + ends[:-1]),
-                    pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
-                ],
-                names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"],
-            )
-            start += int(ends[-1])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                ids, n = encoder.column(batch.column(1))
+                ends = np.concatenate([[0], np.cumsum(n)])
+                yield pa.record_batch(
+                    [
+                        batch.column(0),
+                        pa.array(np.full(len(n), shard, np.int32)),
+                        pa.array(start + ends[:-1]),
+                        pa.array(n),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
+                    ],
+                    names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"],
+                )
+                start += int(ends[-1])
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order, "text")
