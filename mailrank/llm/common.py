@@ -13,7 +13,8 @@ from mailrank.session import fresh_path
 
 # ASCII white space: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
-SLICE_BYTES = 4 * 1024 * 1024  # of text that a task works on at once; one longer text is worked on whole
+SLICE_BYTES = 2 * 1024 * 1024  # of text that a task works on at once; one longer text is worked on whole
+ARROW_BATCH = "8m"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,6 +36,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``ARROW_BATCH`` (or one longer row).
+
+    The default of 64 MB would be held several times over in each worker; the setting is one
+    of the session, and only makes batches of later Python functions smaller too.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return df.mapInArrow(run, schema)
+
+
 def by_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Apply to every Arrow batch the function that ``make`` builds once per task."""
 
@@ -46,7 +57,7 @@ def by_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def slices(batch: pa.RecordBatch, column: int, at_most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import by_arrow, chunks, parts, ranges, slices
+from mailrank.llm.common import by_arrow, chunks, in_arrow, parts, ranges, slices
 from mailrank.session import fresh_path
 
 ROW_GROUP_BYTES = 8 * 1024 * 1024
 PAGE_ROWS = 2_000
-CACHED_WORDS = 150_000  # encodings one Python worker keeps
+CACHED_WORDS = 100_000  # encodings one Python worker keeps
 
 # Pieces of a plain word, as the vocabulary file's own splitting rule has them.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -126,7 +126,7 @@ def write_tokens(
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order, "text")
-    rows = ranged.mapInArrow(run, "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, ids array<int>")
+    rows = in_arrow(ranged, run, "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, ids array<int>")
     (
         rows.write.option("parquet.block.size", row_group_bytes)
         .option("parquet.page.row.count.limit", PAGE_ROWS)
