@@ -13,82 +13,105 @@ by text hash and text. An empty table gives no rows. Extra columns are left out.
 from __future__ import annotations
 
 import itertools
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import by_arrow, chunks, in_arrow, parts, ranges, slices
+from mailrank.llm.common import by_arrow, chunks, in_arrow, parts, ranges, slices, utf8
 from mailrank.session import fresh_path
 
 ROW_GROUP_BYTES = 8 * 1024 * 1024
 PAGE_ROWS = 2_000
-CACHED_WORDS = 100_000  # encodings one Python worker keeps
+CACHED_PIECES = 150_000  # encodings one task keeps
+PIECES_AT_ONCE = 2_000
 
 # Pieces of a plain word, as the vocabulary file's own splitting rule has them.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = re.compile(rb"[\x20-\x7e\t-\r]*\Z")
 
 
 class WordEncoder:
     """Encoder for a BPE with word ends that lower-cases and drops white space; one per task.
 
-    Plain ASCII words are lower-cased and split here and their pieces handed to the library's
-    model one by one, each distinct piece once; all other words go through the whole library.
-    A bounded number of words and pieces is remembered.
+    Distinct plain words (characters below U+0250, which composing leaves alone) are split
+    here by the vocabulary file's rule; the distinct pieces go through the library joined by
+    spaces, and come apart again at the ids that end a word. All other words go through the
+    library one by one. A bounded number of pieces is remembered.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.end_id = end_id
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-
-    def piece(self, p: str) -> bytes:
-        got = self.pieces.get(p)
-        if got is None:
-            got = np.array([t.id for t in self.model.tokenize(p)], np.int32).tobytes()
-            if len(self.pieces) < CACHED_WORDS:
-                self.pieces[p] = got
-        return got
-
-    def encode(self, found: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(found)
-        rest = []
-        for i, w in enumerate(found):
-            if _PLAIN.match(w) and not (b"<|" in w and any(s in w for s in self.special)):
-                out[i] = b"".join([self.piece(p) for p in _PIECES.findall(w.decode("ascii").lower())])
-            else:
-                rest.append(i)
-        if rest:
-            texts = [found[i].decode("utf-8", "replace") for i in rest]
-            for i, e in zip(rest, self.whole.encode_batch_fast(texts, add_special_tokens=False)):
-                out[i] = np.array(e.ids, np.int32).tobytes()
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.whole.get_vocab().items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def pieces(self, found: list[str]) -> list[bytes]:
+        """Ids of each distinct piece, as bytes of int32."""
+        out = [self.known.get(p) for p in found]
+        new = [i for i, x in enumerate(out) if x is None]
+        for a in range(0, len(new), PIECES_AT_ONCE):
+            part = new[a : a + PIECES_AT_ONCE]
+            ids = np.array(self.whole.encode(" ".join([found[i] for i in part]), add_special_tokens=False).ids, np.int32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the vocabulary does not end each piece with one id")
+            held, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
+            for i, x, y in zip(part, at, at[1:]):
+                out[i] = held[x:y]
+            if len(self.known) < CACHED_PIECES:
+                self.known.update((found[i], out[i]) for i in part)
         return out
 
-    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a batch of texts, each text followed by the end id, and how many each text has."""
-        distinct, codes, per_text = chunks(texts)
-        found = distinct.to_pylist()
-        ids = [self.words.get(w) for w in found]
-        missing = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(missing, self.encode([found[i] for i in missing])):
-            ids[i] = x
-            if len(self.words) < CACHED_WORDS:
-                self.words[found[i]] = x
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has."""
+        data, off = utf8(words)
+        n = len(words)
+        after = np.append(data[1:], 0)
+        odd = ((data < 32) & ~((data >= 9) & (data <= 13))) | (data >= 0xC9) | ((data == 60) & (after == 124))
+        odd |= ((data == 0xC2) & ((after == 0x85) | (after == 0xA0))) | ((data == 0xC4) & (after == 0xB0))
+        odd_upto = np.concatenate([[0], np.cumsum(odd)])
+        plain = odd_upto[off[1:]] == odd_upto[off[:-1]]
+        visible = np.concatenate([[0], np.cumsum((data > 32) & ((data & 0xC0) != 0x80))])
+        seen = (visible[off[1:]] - visible[off[:-1]])[plain]
+
+        joined = b" ".join(words.filter(pa.array(plain)).to_pylist()).decode().lower()
+        found = pa.array(_PIECES.findall(joined), pa.string())
+        pieces = found.dictionary_encode()
+        ids = self.pieces(pieces.dictionary.to_pylist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.int32)
-        starts = np.cumsum(sizes) - sizes
+        codes = pieces.indices.to_numpy(zero_copy_only=False)
+        each = sizes[codes]
+        lengths = np.concatenate([[0], np.cumsum(pc.utf8_length(found).to_numpy(zero_copy_only=False).astype(np.int64))])
+        cut = np.searchsorted(lengths, np.concatenate([[0], np.cumsum(seen)]))
+        upto = np.concatenate([[0], np.cumsum(each)])
+        count = np.zeros(n, np.int64)
+        count[plain] = np.diff(upto[cut])
+        own = flat[ranges((np.cumsum(sizes) - sizes)[codes], each)]
+        rest = [x.decode("utf-8", "replace") for x in words.filter(pa.array(~plain)).to_pylist()]
+        if not rest:
+            return own, count
+        more = [e.ids for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)]
+        count[~plain] = list(map(len, more))
+        mine = np.repeat(plain, count)
+        out = np.empty(len(mine), np.int32)
+        out[mine] = own
+        out[~mine] = [i for x in more for i in x]
+        return out, count
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts, each text followed by the end id, and how many each text has."""
+        words, codes, per_text = chunks(texts)
+        flat, sizes = self.distinct(words)
         each = sizes[codes]
         upto = np.concatenate([[0], np.cumsum(each)])
         last = np.cumsum(per_text)
@@ -96,7 +119,7 @@ class WordEncoder:
         out = np.full(int(n.sum()) + len(n), self.end_id, np.int32)
         held = np.ones(len(out), bool)
         held[np.cumsum(n + 1) - 1] = False
-        out[held] = flat[ranges(starts[codes], each)]
+        out[held] = flat[ranges((np.cumsum(sizes) - sizes)[codes], each)]
         return out, n + 1
 
 
@@ -141,7 +164,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The written rows with ``start``, the number of ids of all documents before.
 
     A shard is one written file; the offsets of shards come from ``n_tokens`` alone, and there
-    are as many as tasks that wrote, so one window over them holds no more than that.
+    are as many as tasks that wrote, so neither the window over them nor their broadcast holds more rows than that.
     """
     rows = spark.read.schema(
         "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, ids array<int>"
@@ -149,7 +172,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("held"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("shard", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
-    return rows.join(base, "shard").withColumn("start", F.col("base") + F.col("start_in_shard")).drop("base", "start_in_shard")
+    return rows.join(F.broadcast(base), "shard").withColumn("start", F.col("base") + F.col("start_in_shard")).drop("base", "start_in_shard")
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:
