@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from mailrank.llm.byte_bpe import op10_byte_bpe
 from mailrank.llm.token_files import op3_token_files
 
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {}

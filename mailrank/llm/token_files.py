@@ -46,9 +46,14 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        # For pieces, which are composed, lower-case and split already.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         self.end_id = end_id
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         self.ends[[i for token, i in self.whole.get_vocab().items() if token.endswith("</w>")]] = True
@@ -60,7 +65,8 @@ class WordEncoder:
         new = [i for i, x in enumerate(out) if x is None]
         for a in range(0, len(new), PIECES_AT_ONCE):
             part = new[a : a + PIECES_AT_ONCE]
-            ids = np.array(self.whole.encode(" ".join([found[i] for i in part]), add_special_tokens=False).ids, np.int32)
+            joined = " ".join([found[i] for i in part])
+            ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
                 raise ValueError("the vocabulary does not end each piece with one id")
