@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from mailrank.llm import mixing, quality
 from mailrank.llm.byte_bpe import op10_byte_bpe
 from mailrank.llm.token_files import op3_token_files
 
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op6_source_mixing": mixing.op6_source_mixing,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_source_mixing": mixing.SQL,
+    "op8_quality_rules": quality.SQL,
+}
