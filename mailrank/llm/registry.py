@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from mailrank.llm import mixing, quality
+from mailrank.llm import chat, mixing, quality, vector_search, warc
 from mailrank.llm.byte_bpe import op10_byte_bpe
 from mailrank.llm.token_files import op3_token_files
 
 QUERIES = {
+    "op1_chat_format": chat.op1_chat_format,
     "op3_token_files": op3_token_files,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_exact_topk": vector_search.op7_exact_topk,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_warc_index": warc.op9_warc_index,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat_format": chat.SQL,
     "op6_source_mixing": mixing.SQL,
+    "op7_exact_topk": vector_search.SQL,
     "op8_quality_rules": quality.SQL,
+    "op9_warc_index": warc.SQL,
 }
