@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mailrank.llm import chat, mixing, quality, simhash, vector_search, warc
+from mailrank.llm import chat, mixing, quality, repeats, simhash, vector_search, warc
 from mailrank.llm.byte_bpe import op10_byte_bpe
 from mailrank.llm.token_files import op3_token_files
 
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op3_token_files": op3_token_files,
     "op4_simhash_components": simhash.op4_simhash_components,
+    "op5_suffix_repeats": repeats.op5_suffix_repeats,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_exact_topk": vector_search.op7_exact_topk,
     "op8_quality_rules": quality.op8_quality_rules,
