@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from mailrank.llm import chat, mixing, quality, repeats, simhash, vector_search, warc
+from mailrank.llm import chat, mixing, quality, repeats, simhash, toxicity, vector_search, warc
 from mailrank.llm.byte_bpe import op10_byte_bpe
 from mailrank.llm.token_files import op3_token_files
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_simhash_components": simhash.op4_simhash_components,
     "op5_suffix_repeats": repeats.op5_suffix_repeats,
