@@ -280,3 +280,35 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = Bpe(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digests(encode(docs, bpe), bpe)
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ``ids``, ``n_tokens`` and whether the ids decode to the text (``round_trip``)."""
+    import public_tokenizers as tokenizers
+
+    bpe = Bpe(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    encoded = encode(docs, bpe)
+    sent = spark.sparkContext.broadcast(bpe.tokens)
+    kept = [c for c in encoded.columns if c not in ("n_tokens", "round_trip")]
+    rows = encoded.select(*kept)
+    at, ids_at = kept.index("text"), kept.index("ids")
+
+    def make():
+        vocabulary = pa.array(sent.value, pa.binary())
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = batch.column(ids_at)
+            ends = lists.offsets.to_numpy()
+            n = np.diff(ends).astype(np.int64)
+            data, off = decode(lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], n, vocabulary)
+            text, text_off = utf8(batch.column(at))
+            same = np.diff(off) == np.diff(text_off)
+            if len(data) == len(text) and same.all():
+                upto = np.concatenate([[0], np.cumsum(data != text)])
+                same = upto[off[1:]] == upto[off[:-1]]
+            return pa.record_batch([*batch.columns, pa.array(n), pa.array(same)], names=[*kept, "n_tokens", "round_trip"])
+
+        return step
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return by_arrow(rows, make, f"{fields}, n_tokens bigint, round_trip boolean")

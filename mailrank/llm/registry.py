@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from mailrank.llm import chat, mixing, quality, repeats, simhash, toxicity, vector_search, warc
-from mailrank.llm.byte_bpe import op10_byte_bpe
-from mailrank.llm.token_files import op3_token_files
+import corpus_pipeline
+from mailrank.llm import byte_bpe, chat, mixing, quality, repeats, simhash, token_files, toxicity, vector_search, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
     "op2_toxicity": toxicity.op2_toxicity,
-    "op3_token_files": op3_token_files,
+    "op3_token_files": token_files.op3_token_files,
     "op4_simhash_components": simhash.op4_simhash_components,
     "op5_suffix_repeats": repeats.op5_suffix_repeats,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_exact_topk": vector_search.op7_exact_topk,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_warc_index": warc.op9_warc_index,
-    "op10_byte_bpe": op10_byte_bpe,
+    "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
@@ -26,3 +26,5 @@ ORACLE: dict[str, str] = {
     "op8_quality_rules": quality.SQL,
     "op9_warc_index": warc.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -34,7 +34,7 @@ from mailrank.llm.common import in_arrow, ranges, slices, table, written
 
 EXAMPLES = 8_000
 FEATURES = 4_096
-MIN_RATIO = 10.0
+MIN_RATIO = 15.0
 PREFIXES = (4, 5, 6)
 BLOCK = 64
 NEAREST = 25
