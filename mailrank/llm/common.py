@@ -27,9 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """``df`` as a table written to the shared folder: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.options(compression="zstd", **options).parquet(path)
+    # Shuffle files of the step go once the driver's JVM has collected what held them.
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`written` made and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:

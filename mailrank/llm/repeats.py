@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import in_arrow, parts, slices, strings, table, utf8, written
+from mailrank.llm.common import dropped, in_arrow, parts, slices, strings, table, utf8, written
 from mailrank.llm.suffixes import repeated_windows
 
 LENGTH = 100
@@ -105,6 +105,16 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return r, own, at - off[r], start - off[r], size, m
 
 
+def _anchor_hashes(reps: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0):
+                h = anchors(*utf8(batch.column(0)))[1]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(h).view(np.int64))], names=["h"])
+
+    return in_arrow(reps.select("text"), run, "h bigint")
+
+
 def _anchor_rows(reps: DataFrame) -> DataFrame:
     schema = "h bigint, m bigint, _d bigint, _rid bigint, start int, size int, at int"
 
@@ -245,9 +255,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     copies = written(copies.select("_rid", "_n"), "copies")
     reps = rows.where(F.col("_n") >= LENGTH).select("_d", "_rid", "text").join(copies.select("_rid"), "_rid", "left_anti")
 
-    every = written(_anchor_rows(reps), "anchors")
-    again = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    every = written(every.join(again, "h", "left_semi"), "repeated-anchors")
+    # Anchors are made twice, which is cheaper than keeping those that occur once.
+    again = _anchor_hashes(reps).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = written(again, "repeated-hashes")
+    every = written(_anchor_rows(reps).join(again, "h", "left_semi"), "repeated-anchors")
+    dropped(again)
     place = F.struct("_d", "_rid", "start", "size", "at")
     groups = written(every.groupBy("h", "m").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")), "surroundings")
 
