@@ -224,14 +224,17 @@ def _fitting(cuts: DataFrame) -> list[DataFrame]:
             found.append(later.select("_rid", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("till")).alias("end")))
             return found
         half = (LENGTH - width + 1) // 2
-        sides = F.array(
-            F.struct((F.col("at") - half).alias("at"), F.col("till").alias("till")),
-            F.struct(F.col("at").alias("at"), (F.col("till") + half).alias("till")),
-        )
-        rows = rows.withColumn("side", F.explode(sides)).where((F.col("side.at") >= 0) & (F.col("side.till") <= F.octet_length("held")))
-        gram = F.substring(F.col("held"), F.col("side.at") + 1, F.col("side.till") - F.col("side.at"))
-        rows = rows.withColumn("unit", F.xxhash64("unit", F.col("side.at") - F.col("at"), gram))
-        rows = written(rows.withColumns({"at": F.col("side.at"), "till": F.col("side.till")}).drop("side"), "split-units")
+        split = None
+        for at, till, shift in ((F.col("at") - half, F.col("till"), -half), (F.col("at"), F.col("till") + half, 0)):
+            gram = F.substring(F.col("held"), at + 1, till - at)
+            side = rows.where((at >= 0) & (till <= F.octet_length("held")))
+            side = side.withColumn("unit", F.xxhash64("unit", F.lit(shift), gram)).withColumns({"at": at, "till": till})
+            split = side if split is None else split.unionByName(side)
+        split = written(split, "split-units")
+        # A longer gram that occurs once repeats nothing.
+        again = split.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
+        rows = written(split.join(again, "unit", "left_semi"), "split-units")
+        dropped(split)
         width += half
 
 
