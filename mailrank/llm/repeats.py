@@ -7,9 +7,10 @@ that are equal as a whole are settled by sums alone: all but the first are remov
 surroundings of one anchor are a unit; units are packed into shards, each shard's suffix array
 is built by induced sorting, its common prefixes are computed in text order, and of each run of
 suffixes that share ``LENGTH`` bytes all but the first in the corpus are marked. A unit too
-large for a shard is split by the bytes left and right of its gram (each string that holds the
-gram holds one of the two extensions) until it fits or the gram has the full length, where all
-strings of a unit are equal. Texts that are copies as a whole are taken out before all that.
+large for a shard is dealt to chunks first, which leave only the strings they have first; if
+that is still too much, it is split by the bytes left and right of its gram (each string that
+holds the gram holds one of the two extensions), until it fits or the gram has the full length,
+where all strings of a unit are equal. Whole copies of texts are taken out before all that.
 
 Order: by ``doc_id``, then by the place of the row in the input; null ids are smallest, and null
 texts empty. Repeated rows are copies of the first. Texts shorter than ``LENGTH`` lose nothing.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import dropped, in_arrow, parts, slices, strings, table, utf8, written
+from mailrank.llm.common import dropped, in_arrow, parts, ranges, slices, strings, table, utf8, written
 from mailrank.llm.suffixes import repeated_windows
 
 LENGTH = 100
@@ -155,74 +156,111 @@ def _cut(rows: DataFrame) -> DataFrame:
     return in_arrow(rows.select("_d", "_rid", "text", "asked"), run, schema)
 
 
-def _sorted_shards(rows: DataFrame) -> DataFrame:
-    """Spans to remove, ``_rid, start, end``, from the suffix arrays of units packed into shards."""
-    rows = rows.select("unit", "_d", "_rid", "start", "held")
-    rows = rows.repartition(parts(rows.sparkSession), "unit").sortWithinPartitions("unit")
+_SHARD_COLUMNS = ["shard", "unit", "_d", "_rid", "start", "at", "till", "held"]
 
-    def spans(shard: pa.Table) -> pa.RecordBatch | None:
-        d, rid, start = (shard.column(k).to_numpy() for k in (1, 2, 3))
-        data, off = utf8(shard.column(4).combine_chunks())
+
+def _sorted_shards(rows: DataFrame, key, firsts: bool = False) -> DataFrame:
+    """Spans to remove from the suffix arrays of groups by ``key`` packed into shards, ``_rid, start, end``;
+    with ``firsts`` also the pieces (``held`` not null) whose strings are the first of their group."""
+    rows = rows.withColumn("shard", key).select(*_SHARD_COLUMNS)
+    rows = rows.repartition(parts(rows.sparkSession), "shard").sortWithinPartitions("shard")
+    schema = "_rid bigint, start int, end int, unit bigint, _d bigint, at int, till int, held binary"
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    fields = pa.schema(list(zip([x.split()[0] for x in schema.split(", ")], kinds)))
+
+    def runs(owner: np.ndarray, inside: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last of runs of windows of one row, sorted, with steps of at most ``gap``."""
+        cut = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(inside) > gap)])
+        first = np.flatnonzero(cut)
+        return first, np.append(first[1:], len(owner)) - 1
+
+    def settle(shard: pa.Table) -> Iterator[pa.RecordBatch]:
+        unit, d, rid, start, at, till = (shard.column(k).to_numpy() for k in range(1, 7))
+        data, off = utf8(shard.column(7).combine_chunks())
         order = np.lexsort((rid, d))
         rank = np.empty(len(d), np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], (np.diff(d[order]) != 0) | (np.diff(rid[order]) != 0)]))
         owner, inside = repeated_windows(data, off, (rank << 32) + start, LENGTH)
-        if not len(owner):
-            return None
         order = np.lexsort((inside, owner))
         owner, inside = owner[order], inside[order]
-        cut = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(inside) > LENGTH)])
-        first = np.flatnonzero(cut)
-        last = np.append(first[1:], len(owner)) - 1
-        own = owner[first]
-        begin = (start[own] + inside[first]).astype(np.int32)
-        end = (start[own] + inside[last] + LENGTH).astype(np.int32)
-        return pa.record_batch([pa.array(rid[own]), pa.array(begin), pa.array(end)], names=["_rid", "start", "end"])
+        if len(owner):
+            first, last = runs(owner, inside, LENGTH)
+            own = owner[first]
+            begin, end = start[own] + inside[first], start[own] + inside[last] + LENGTH
+            ends = [pa.array(x.astype(np.int32)) for x in (begin, end)]
+            rest = [pa.nulls(len(own), k) for k in kinds[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(rid[own]), *ends, *rest], schema=fields)
+        if firsts:
+            windows = np.maximum(np.diff(off) - LENGTH + 1, 0)
+            base = np.cumsum(windows) - windows
+            left = np.ones(int(windows.sum()), bool)
+            left[base[owner] + inside] = False
+            left = np.flatnonzero(left)
+            if len(left):
+                own = np.repeat(np.arange(len(d)), windows)[left]
+                spot = left - base[own]
+                first, last = runs(own, spot, 1)
+                own, spot, size = own[first], spot[first], spot[last] - spot[first] + LENGTH
+                held = strings(data[ranges(off[own] + spot, size)], np.concatenate([[0], np.cumsum(size)]), pa.binary())
+                small = [pa.array(x.astype(np.int32)) for x in (start[own] + spot, start[own] + spot + size)]
+                gram = [pa.array((x[own] - spot).astype(np.int32)) for x in (at, till)]
+                columns = [pa.array(rid[own]), *small, pa.array(unit[own]), pa.array(d[own]), *gram, held]
+                yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, unit = [], 0, None
+        waiting, size, now = [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            units = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(units)) + 1).tolist(), batch.num_rows]
+            keys = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
-                if units[a] != unit and size >= SHARD_BYTES:
-                    out = spans(pa.Table.from_batches(waiting))
-                    if out is not None:
-                        yield out
+                if keys[a] != now and size >= SHARD_BYTES:
+                    yield from settle(pa.Table.from_batches(waiting))
                     waiting, size = [], 0
-                unit = units[a]
+                now = keys[a]
                 part = batch.slice(a, b - a)
                 waiting.append(part)
-                size += int(np.diff(utf8(part.column(4))[1]).sum())
+                size += int(np.diff(utf8(part.column(7))[1]).sum())
         if waiting:
-            out = spans(pa.Table.from_batches(waiting))
-            if out is not None:
-                yield out
+            yield from settle(pa.Table.from_batches(waiting))
 
-    return in_arrow(rows, run, "_rid bigint, start int, end int")
+    out = in_arrow(rows, run, schema)
+    return out if firsts else out.select("_rid", "start", "end")
 
 
 def _fitting(cuts: DataFrame) -> list[DataFrame]:
-    """Spans of all units; units of more than ``UNIT_ROWS`` rows are split by longer grams first."""
+    """Spans of all units. A unit of more than ``UNIT_ROWS`` rows is dealt to chunks, each of which
+    leaves only the strings it has first; what still does not fit is split by longer grams."""
     found = []
-    rows = cuts.withColumn("till", F.col("at") + GRAM)
-    width = GRAM
-    while True:
-        crowded = written(rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > UNIT_ROWS).select("unit"), "crowded")
+
+    def fit(rows: DataFrame) -> DataFrame | None:
+        """Settle the units that fit, give back the rows of those that do not, with the unit's rows ``n``."""
+        crowded = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > UNIT_ROWS)
+        crowded = written(crowded, "crowded")
         if not crowded.limit(1).count():
-            found.append(_sorted_shards(rows))
-            return found
-        found.append(_sorted_shards(rows.join(crowded, "unit", "left_anti")))
-        rows = rows.join(crowded, "unit", "left_semi")
+            found.append(_sorted_shards(rows, F.col("unit")))
+            return None
+        found.append(_sorted_shards(rows.join(crowded, "unit", "left_anti"), F.col("unit")))
+        return rows.join(crowded, "unit")
+
+    rows = fit(cuts.withColumn("till", F.col("at") + GRAM))
+    width = GRAM
+    while rows is not None:
+        chunk = F.pmod(F.xxhash64("_rid", "start"), F.ceil(F.col("n") / UNIT_ROWS))
+        chunks = written(_sorted_shards(rows, F.xxhash64("unit", chunk), firsts=True), "chunk-firsts")
+        found.append(chunks.where("held is null").select("_rid", "start", "end"))
+        rows = fit(chunks.where("held is not null").drop("end"))
+        if rows is None:
+            break
+        rows = rows.drop("n")
         if width == LENGTH:
             # All strings of a unit are equal.
             here = F.struct("_d", "_rid", (F.col("start") + F.col("at")).alias("s"))
             first = rows.groupBy("unit").agg(F.min(here).alias("first"))
             later = rows.join(first, "unit").where(here > F.col("first"))
             found.append(later.select("_rid", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("till")).alias("end")))
-            return found
+            break
         half = (LENGTH - width + 1) // 2
         split = None
         for at, till, shift in ((F.col("at") - half, F.col("till"), -half), (F.col("at"), F.col("till") + half, 0)):
@@ -233,9 +271,9 @@ def _fitting(cuts: DataFrame) -> list[DataFrame]:
         split = written(split, "split-units")
         # A longer gram that occurs once repeats nothing.
         again = split.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
-        rows = written(split.join(again, "unit", "left_semi"), "split-units")
-        dropped(split)
+        rows = fit(split.join(again, "unit", "left_semi"))
         width += half
+    return found
 
 
 def numbered(docs: DataFrame) -> DataFrame:
