@@ -1,8 +1,8 @@
 """Chat formatting: whole conversations as one string with its loss mask, by columnar byte assembly.
 
-Each turn is ``### role:text</turn>`` and a line end. Backslash, ``#`` and ``<`` in texts, and
-also ``:`` in roles, get a backslash in front, so no text can form a mark, and a reader gets
-back exactly what was written. A batch is assembled at once: lengths of all segments, their
+Each turn is ``### role:text</turn>`` and a line end. Backslash, ``#``, ``<`` and ``/`` in texts,
+and also ``:`` in roles, get a backslash in front, so neither mark is found in any text, and a
+reader gets back exactly what was written. A batch is assembled at once: lengths of all segments, their
 offsets, and the places every byte goes to, into one buffer.
 
 Rows are ranged by conversation and turn, so one very long conversation is formatted by many
@@ -29,7 +29,7 @@ from mailrank.llm.common import in_arrow, parts, ranges, slices, strings, table,
 
 OPEN, MIDDLE, CLOSE = b"### ", b":", b"</turn>\n"
 ASSISTANT = b"assistant"
-_BACKSLASH, _HASH, _LESS, _COLON = b"\\#<:"
+_BACKSLASH, _HASH, _LESS, _SLASH, _COLON = b"\\#</:"
 
 
 def escaped(data: np.ndarray, off: np.ndarray, marks: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +60,8 @@ def format_batch(batch: pa.RecordBatch, first_part: int) -> pa.RecordBatch:
     """Sorted turns ``conv_id, turn, role, text`` to one row for each conversation in the batch."""
     n = batch.num_rows
     role_data, role_off = utf8(batch.column(2))
-    role = escaped(role_data, role_off, [_BACKSLASH, _HASH, _LESS, _COLON])
-    text = escaped(*utf8(batch.column(3)), [_BACKSLASH, _HASH, _LESS])
+    role = escaped(role_data, role_off, [_BACKSLASH, _HASH, _LESS, _SLASH, _COLON])
+    text = escaped(*utf8(batch.column(3)), [_BACKSLASH, _HASH, _LESS, _SLASH])
     data, starts = assemble([_fixed(OPEN, n), role, _fixed(MIDDLE, n), text, _fixed(CLOSE, n)], n)
 
     conv = batch.column(0)
@@ -211,7 +211,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(4 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + 1
-           + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + 8)::BIGINT AS formatted_chars
+       sum(4 + length(regexp_replace(role, '([\\#</:])', '\\\1', 'g')) + 1
+           + length(regexp_replace(text, '([\\#</])', '\\\1', 'g')) + 8)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
