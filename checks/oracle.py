@@ -256,6 +256,11 @@ BLOCKS = {
         (),
         """SELECT * FROM (VALUES (1, 'the', 0), (1, 'of', 1), (1, 'and', 2), (2, 'de', 0), (2, 'la', 1), (3, 'und', 0), (3, 'der', 1)) AS t(qid, term, place)""",
     ),
+    "double_words": (
+        (),
+        """SELECT * FROM (VALUES (1, 'the', 0), (1, 'the', 1), (2, 'de', 0), (2, 'la', 1), (2, 'de', 2),
+            (3, 'und', 0), (3, 'die', 1), (3, 'und', 2)) AS t(qid, term, place)""",
+    ),
 }
 
 
@@ -288,7 +293,8 @@ ORACLE.update(
         "messages",
         "SELECT file, md5(head || chr(10) || chr(10) || text) AS message_md5, length(head || chr(10) || chr(10) || text)::INTEGER AS n_chars FROM messages",
     ),
-    row_cap=sql("mails", "SELECT doc_id, message_id FROM mails ORDER BY doc_id LIMIT 10000"),
+    mail_csv_two_headers=sql("messages", "SELECT file, md5(head || chr(10) || chr(10) || text) AS message_md5 FROM messages"),
+    row_cap=sql("mails", "SELECT doc_id, message_id FROM mails ORDER BY doc_id LIMIT 100"),
     emails_append=sql("mails", "SELECT message_id, labels, 2::BIGINT AS n_copies FROM mails"),
     emails_row_id=sql("mails", "SELECT row_number() OVER (ORDER BY doc_id) AS id, message_id FROM mails"),
     emails_scan=sql("mails", f"SELECT {MAIL_COLUMNS} FROM mails"),
@@ -313,6 +319,8 @@ ORACLE.update(
               'Snippet:' || chr(10) || body_snippet AS block FROM hits
             UNION ALL SELECT qid, 0, 'No results found.' FROM searches WHERE qid NOT IN (SELECT qid FROM hits)""",
     ),
+    hit_dates="""SELECT doc_id, strftime(make_timestamp((doc_id % 300000 * 100003 + CASE doc_id % 4 WHEN 0 THEN -62135596800000
+        WHEN 1 THEN -2240524800000 WHEN 2 THEN 2335219200000 ELSE 253370764800000 END) * 1000), '%a %b %d %H:%M:%S UTC %Y') AS date FROM documents""",
     parse_empty_message=sql(
         "mails",
         "SELECT "
@@ -387,6 +395,9 @@ ORACLE.update(
     vocab_load="""SELECT DISTINCT token, unicode(token)::BIGINT AS id FROM (SELECT unnest(string_split(text, '')) AS token FROM documents) WHERE token <> ''
         UNION ALL SELECT '<bos>', 2 UNION ALL SELECT '<eos>', 3""",
     token_ids=sql("ids", "SELECT doc_id, pos::INTEGER AS pos, id::BIGINT AS id FROM ids"),
+    token_ids_equal_keys=sql(
+        "ids", "SELECT doc_id % 3 AS doc_id, ids_md5 FROM (SELECT doc_id, md5(string_agg(id::VARCHAR, ' ' ORDER BY pos)) AS ids_md5 FROM ids GROUP BY doc_id)"
+    ),
     model_embed_batch=sql(
         "ids",
         "SELECT doc_id, pos::INTEGER AS pos, (id % 7)::DOUBLE AS v0, (id % 11)::DOUBLE AS v1, 1::DOUBLE AS v2 FROM ids",
@@ -419,6 +430,11 @@ ORACLE.update(
     ),
     ivf_assign="SELECT vec_id AS doc_id, 1::BIGINT AS n_cells, 0::BIGINT AS n_wrong FROM embeddings",
     knn_exact=sql("near", "SELECT qid::BIGINT AS qid, doc_id, score, rank::INTEGER AS rank FROM near"),
+    knn_ragged=sql(
+        "vecs", "centers",
+        f"""SELECT qid::BIGINT AS qid, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, {rank('score')} AS rank FROM (
+            SELECT qid, doc_id, round(list_cosine_similarity(vec, v), 9) AS score FROM vecs CROSS JOIN centers WHERE doc_id % 5 > 1)) WHERE rank <= 20""",
+    ),
     knn_int8=sql("near_codes", "SELECT qid::BIGINT AS qid, doc_id, score, rank::INTEGER AS rank FROM near_codes WHERE rank <= 20"),
     knn_int8_rescored=sql(
         "near_codes",
@@ -501,6 +517,17 @@ ORACLE.update(
             SELECT qid, doc_id, s FROM near_starts JOIN (SELECT qid, count(*) AS n FROM few_words GROUP BY qid) USING (qid)
             GROUP BY qid, doc_id, s, n HAVING count(*) = n) GROUP BY ALL""",
     ),
+    # No phrase holds a word more than twice, so its two places part once both together have two positions.
+    match_phrase_slop_repeats=sql(
+        "tokens", "double_words",
+        """, starts AS (SELECT qid, place, term, doc_id, pos, pos - place AS s FROM tokens JOIN double_words USING (term)),
+        near_starts AS (SELECT a.qid, a.doc_id, a.s, b.term, count(DISTINCT b.place) AS n_found, count(DISTINCT b.pos) AS n_pos
+            FROM (SELECT DISTINCT qid, doc_id, s FROM starts) a
+            JOIN starts b ON a.qid = b.qid AND a.doc_id = b.doc_id AND b.s BETWEEN a.s AND a.s + 3 GROUP BY ALL)
+        SELECT qid::BIGINT AS qid, doc_id, count(*)::INTEGER AS n_places FROM (
+            SELECT qid, doc_id, s FROM near_starts JOIN (SELECT qid, count(*) AS n FROM double_words GROUP BY qid) USING (qid)
+            GROUP BY qid, doc_id, s, n HAVING sum(n_found) = n AND bool_and(n_pos >= n_found)) GROUP BY ALL""",
+    ),
     match_prefix=sql("posted", "SELECT DISTINCT doc_id FROM posted WHERE starts_with(term, 'aich')"),
     match_wildcard=sql("posted", "SELECT DISTINCT doc_id FROM posted WHERE term LIKE 'a_ch%en'"),
     match_regex=sql("posted", "SELECT DISTINCT doc_id FROM posted WHERE regexp_full_match(term, '(un|die)[a-m]{2,4}')"),
@@ -509,7 +536,7 @@ ORACLE.update(
     ),
     match_fuzzy_swaps=sql(
         "posted",
-        "SELECT doc_id, min(damerau_levenshtein(term, 'tehse'))::INTEGER AS edits FROM posted WHERE damerau_levenshtein(term, 'tehse') <= 1 GROUP BY doc_id",
+        "SELECT doc_id, min(damerau_levenshtein(term, 'aihc'))::INTEGER AS edits FROM posted WHERE damerau_levenshtein(term, 'aihc') <= 1 GROUP BY doc_id",
     ),
     match_range=sql("posted", "SELECT DISTINCT doc_id FROM posted WHERE term BETWEEN 'zed' AND 'zz'"),
     match_boost=sql(

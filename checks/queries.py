@@ -14,11 +14,13 @@ from mailrank.plans.search import hybrid_search, keyword_search
 from mailrank.plans.vector_index import build_vector_index
 from mailrank.session import fresh_path
 from mailrank.sources import emails as em
-from mailrank.sources.mail_csv import read_mail_csv, write_mail_csv
+from mailrank.sources.mail_csv import MAIL_CSV_WRITE_OPTIONS, read_mail_csv, write_mail_csv
 
 QUERIES = {}
 IVF_CELLS = 8
 WORDS = {1: ["the", "of", "and"], 2: ["de", "la"], 3: ["und", "der"]}
+DOUBLE_WORDS = {1: ["the", "the"], 2: ["de", "la", "de"], 3: ["und", "die", "und"]}
+CAP = 100
 
 
 def query(fn):
@@ -36,9 +38,19 @@ def mail_csv_read(spark, sf_dir):
     return read_mail_csv(spark, path).select("file", F.md5("message").alias("message_md5"), F.length("message").alias("n_chars"))
 
 
+@query
+def mail_csv_two_headers(spark, sf_dir):
+    """Half of the messages under one order of columns, half under the other and one column more."""
+    raw, paths = r.raw_messages(spark, sf_dir), [fresh_path(spark, "csv"), fresh_path(spark, "csv")]
+    write_mail_csv(raw.where("doc_id % 2 = 0"), paths[0])
+    other = raw.where("doc_id % 2 = 1").select("message", F.col("doc_id").cast("string").alias("extra"), "file")
+    other.write.options(**MAIL_CSV_WRITE_OPTIONS).csv(paths[1])
+    return read_mail_csv(spark, paths).select("file", F.md5("message").alias("message_md5"))
+
+
 @query
 def row_cap(spark, sf_dir):
-    return em.cap_rows(r.mails(spark, sf_dir).select("doc_id", "message_id"), em.ROW_CAP, ["doc_id"])
+    return em.cap_rows(r.mails(spark, sf_dir).select("doc_id", "message_id"), CAP, ["doc_id"])
 
 
 @query
@@ -94,6 +106,16 @@ def hit_report(spark, sf_dir):
     return hits.format_hits(found, searches)
 
 
+@query
+def hit_dates(spark, sf_dir):
+    """Dates of the years 1, 1899, 2044 and 9999, a few odd seconds apart."""
+    n = F.col("doc_id")
+    year = F.pmod(n, F.lit(4))
+    start = F.when(year == 0, -62_135_596_800_000).when(year == 1, -2_240_524_800_000).when(year == 2, 2_335_219_200_000)
+    millis = start.otherwise(253_370_764_800_000) + F.pmod(n, F.lit(300_000)) * 100_003
+    return r.documents(spark, sf_dir).select("doc_id", hits.hit_date(millis).alias("date"))
+
+
 # Message parsing
 
 
@@ -317,6 +339,14 @@ def token_ids(spark, sf_dir):
     return coded.select("doc_id", F.posexplode_outer("ids").alias("pos", "id"))
 
 
+@query
+def token_ids_equal_keys(spark, sf_dir):
+    """Many rows of one ``doc_id`` and a vocabulary that is joined: rows keep their own words."""
+    docs = r.documents(spark, sf_dir).select(F.pmod("doc_id", F.lit(3)).alias("doc_id"), "text")
+    coded = embed.encode_tokens(docs, "text", _word_vocab(spark, sf_dir), vocab_rows=1)
+    return coded.select("doc_id", F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+
+
 def _remainder_model():
     return lambda ids, mask: np.stack([ids % 7, ids % 11, mask], axis=-1).astype(np.float32)
 
@@ -444,6 +474,15 @@ def knn_exact(spark, sf_dir):
     return knn.knn(r.vectors(spark, sf_dir), _label_queries(spark, sf_dir), 20)
 
 
+@query
+def knn_ragged(spark, sf_dir):
+    """Every fifth vector is null, every fifth lacks its last numbers."""
+    kind = F.pmod("doc_id", F.lit(5))
+    vec = F.when(kind == 1, F.slice("vec", 1, 10)).when(kind > 1, F.col("vec"))
+    rows = r.vectors(spark, sf_dir).withColumn("vec", vec)
+    return knn.knn(rows, _label_queries(spark, sf_dir), 20, drop_odd=True)
+
+
 @query
 def knn_ivf(spark, sf_dir):
     """All cells probed, so the result is the exact one."""
@@ -638,6 +677,13 @@ def match_phrase_slop(spark, sf_dir):
     return match.match_phrase(t.postings, match.query_words(spark, WORDS), 3, t.term_buckets, t.term_stats)
 
 
+@query
+def match_phrase_slop_repeats(spark, sf_dir):
+    """Phrases that hold a word twice."""
+    t = r.search_tables(spark, sf_dir)
+    return match.match_phrase(t.postings, match.query_words(spark, DOUBLE_WORDS), 3, t.term_buckets, t.term_stats)
+
+
 @query
 def match_prefix(spark, sf_dir):
     return match.match_prefix(r.search_tables(spark, sf_dir).postings, "aich")
@@ -662,7 +708,7 @@ def match_fuzzy(spark, sf_dir):
 @query
 def match_fuzzy_swaps(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_fuzzy(t.postings, t.term_stats, "tehse", 1, swaps=True, buckets=t.term_buckets)
+    return match.match_fuzzy(t.postings, t.term_stats, "aihc", 1, swaps=True, buckets=t.term_buckets)
 
 
 @query

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from mailrank.functions.text import blank, fill_blank, strip_ws, with_role
 from mailrank.functions.vectors import VECTOR_DIM, hash_embedding, l2_normalise
+from mailrank.session import fresh_path
 
 # Fixed values.
 BOS, EOS = "<bos>", "<eos>"
 UNKNOWN_ID = 1
-VOCAB_ROWS = 2_000_000  # larger vocabularies are joined, not sent to every worker
+# Larger vocabularies are joined, not sent to every worker.
+VOCAB_ROWS = 2_000_000
+VOCAB_BYTES = 64 * 1024 * 1024
 
 TOKENIZER_JSON = (
     "model STRUCT<vocab: MAP<STRING, BIGINT>>, added_tokens ARRAY<STRUCT<content: STRING, id: BIGINT>>"
@@ -123,25 +126,33 @@ def encode_tokens(
     vocab: DataFrame,
     unk: int = UNKNOWN_ID,
     out: str = "ids",
-    key: str = "doc_id",
     vocab_rows: int = VOCAB_ROWS,
+    vocab_bytes: int = VOCAB_BYTES,
 ) -> DataFrame:
     """Add the token ids of a text: start mark, one id per word, end mark.
 
-    A vocabulary of at most ``vocab_rows`` goes to the workers, where a batch's words
-    are looked up at once and no row moves. A larger one is joined: distinct words are
-    looked up first, so a frequent word is one row in that join, then ids are put
-    back in word order per ``key``.
+    A vocabulary of at most ``vocab_rows`` tokens and ``vocab_bytes`` goes to the workers,
+    where a batch's words are looked up at once and no row moves. A larger one is joined:
+    distinct words are looked up first, so a frequent word is one row in that join, then ids
+    are put back in word order per row. Rows are numbered in a written copy for that, so
+    equal rows stay apart. A token listed twice has its smallest id.
     """
-    marks = {
-        r.token: r.id for r in vocab.where(F.col("token").isin(BOS, EOS)).collect()
-    }
-    bos, eos = (F.array(F.lit(marks[m]).cast("bigint")) for m in (BOS, EOS))
-    head = vocab.select("token", F.col("id").cast("bigint")).limit(vocab_rows + 1).toArrow()
-    if head.num_rows <= vocab_rows:
-        sent = df.sparkSession.sparkContext.broadcast(head.combine_chunks())
+    vocab = vocab.groupBy("token").agg(F.min(F.col("id").cast("bigint")).alias("id"))
+    n, held, *marks = vocab.agg(
+        F.count(F.lit(1)),
+        F.coalesce(F.sum(F.octet_length("token") + 12), F.lit(0)),
+        *[F.min(F.when(F.col("token") == m, F.col("id"))) for m in (BOS, EOS)],
+    ).first()
+    if None in marks:
+        raise ValueError(f"the vocabulary lacks {BOS} or {EOS}")
+    bos, eos = (F.array(F.lit(m).cast("bigint")) for m in marks)
+    if n <= vocab_rows and held <= vocab_bytes:
+        sent = df.sparkSession.sparkContext.broadcast(vocab.toArrow().combine_chunks())
         ids = _lookup_udf(sent, unk)(_words(F.col(text_col)))
         return df.withColumn(out, F.concat(bos, ids, eos))
+    spark, path, key = df.sparkSession, fresh_path(df.sparkSession, "numbered"), "_row"
+    df.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    df = spark.read.parquet(path)
     words = df.select(key, F.posexplode(_words(F.col(text_col))).alias("_pos", "token"))
     known = words.select("token").distinct().join(vocab, "token", "left")
     ids = (
@@ -150,7 +161,7 @@ def encode_tokens(
         .agg(F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("id", F.lit(unk)).alias("id")))).alias("_w"))
     )
     inner = F.coalesce(F.col("_w.id").cast("array<bigint>"), F.array().cast("array<bigint>"))
-    return df.join(ids, key, "left").withColumn(out, F.concat(bos, inner, eos)).drop("_w")
+    return df.join(ids, key, "left").withColumn(out, F.concat(bos, inner, eos)).drop("_w", key)
 
 
 def _lookup_udf(sent, unk: int):

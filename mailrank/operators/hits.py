@@ -9,6 +9,8 @@ from mailrank.functions.text import SNIPPET_CHARS, flag_from_text, hit_snippet,
 from mailrank.session import fetch, settle
 
 NO_RESULTS = "No results found."
+DAY_MILLIS = 86_400_000
+DATED_MILLIS = 8_000_000_000_000_000  # a timestamp reaches a little further
 
 
 def hydrate(ranked: DataFrame, docs: DataFrame) -> DataFrame:
@@ -42,10 +44,16 @@ def project_hits(hydrated: DataFrame, on_bad_millis: Column | int | None = None,
 
 
 def hit_date(millis: Column) -> Column:
-    """``Mon May 14 23:39:00 UTC 2001``."""
+    """``Mon May 14 23:39:00 UTC 2001``, in the Gregorian calendar carried back.
+
+    Milliseconds beyond ``DATED_MILLIS`` either way are printed as the number they are.
+    """
     # A timestamp without zone prints the same in every session time zone.
-    at = F.timestamp_add("SECOND", F.floor(millis / 1000).cast("int"), F.lit("1970-01-01").cast("timestamp_ntz"))
-    return F.concat(F.date_format(at, "EEE MMM dd HH:mm:ss"), F.lit(" UTC "), F.date_format(at, "yyyy"))
+    in_day = F.pmod(millis, F.lit(DAY_MILLIS))
+    day = F.timestamp_add("DAY", ((millis - in_day) / DAY_MILLIS).cast("int"), F.lit("1970-01-01").cast("timestamp_ntz"))
+    at = F.timestamp_add("SECOND", F.floor(in_day / 1000).cast("int"), day)
+    date = F.concat(F.date_format(at, "EEE MMM dd HH:mm:ss"), F.lit(" UTC "), F.date_format(at, "yyyy"))
+    return F.when(millis.between(-DATED_MILLIS, DATED_MILLIS), date).otherwise(millis.cast("string"))
 
 
 def format_hits(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:

@@ -65,19 +65,42 @@ def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wide / np.where(size > 0, size, 1.0)[:, None], size > 0
 
 
+def _asked(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which queries have a vector, these as units, and which of them have a length."""
+    sizes = pc.unique(pc.drop_null(pc.list_value_length(column))).to_pylist()
+    if len(sizes) > 1:
+        raise ValueError(f"queries of {sorted(sizes)} numbers")
+    there = pc.is_valid(column)
+    return there.to_numpy(), *_unit(_matrix(column.filter(there)))
+
+
 @dataclass(frozen=True)
 class Kernel:
-    """What a task needs to score vectors: ``k``, and how to read int8 codes."""
+    """What a task needs to score vectors: ``k``, how to read int8 codes, whether vectors
+    of another length than the queries' are left out or end the job."""
 
     k: int
     lo: float | None = None
     step: float = 0.0
+    drop_odd: bool = False
 
     def decode(self, matrix: np.ndarray) -> np.ndarray:
         return matrix if self.lo is None else self.lo + matrix.astype(np.float64) * self.step
 
+    def fitting(self, column, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which vectors are there and have ``dim`` numbers, and those as a matrix."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes = pc.list_value_length(column)
+        fits = pc.fill_null(pc.equal(sizes, dim), False)
+        if not self.drop_odd and pc.any(pc.not_equal(sizes, dim)).as_py():
+            odd = pc.unique(sizes.filter(pc.not_equal(sizes, dim))).to_pylist()
+            raise ValueError(f"vectors of {odd} numbers against queries of {dim}")
+        return fits.to_numpy(zero_copy_only=False), _matrix(column.filter(fits))
+
     def batch(self, ids, vectors, unit_queries):
         """Candidates ``(query, id, score)`` of one batch: at least each query's best ``k``."""
+        if not len(ids) or not len(unit_queries):
+            return _stack([])
         units, good = _unit(self.decode(vectors))
         units, ids = units[good], ids[good]
         found = []
@@ -111,8 +134,8 @@ def _stack(parts):
 def _scan(vectors: DataFrame, queries: pa.Table, kernel: Kernel, probes: pa.Table | None) -> DataFrame:
     """Score every vector in place against a query matrix that fits on a worker."""
     spark = vectors.sparkSession
-    units, good = _unit(_matrix(queries["vec"]))
-    qids = queries["qid"].to_numpy()[good]
+    there, units, good = _asked(queries["vec"])
+    qids = queries["qid"].to_numpy()[there][good]
     wanted = None
     if probes is not None:
         place = {q: i for i, q in enumerate(qids.tolist())}
@@ -129,12 +152,13 @@ def _scan(vectors: DataFrame, queries: pa.Table, kernel: Kernel, probes: pa.Tabl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, matrix = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            fits, matrix = kernel.fitting(batch.column(1), unit_queries.shape[1])
+            ids = batch.column(0).to_numpy()[fits]
             if by_cell is None:
                 parts = [kernel.batch(ids, matrix, unit_queries)]
             else:
                 parts = []
-                cells = batch.column(2).to_numpy()
+                cells = batch.column(2).to_numpy()[fits]
                 for cell in np.unique(cells):
                     rows, asking = cells == cell, by_cell.get(int(cell))
                     if asking is not None:
@@ -187,9 +211,10 @@ def _grid(
         found = _stack([])
         qids = np.zeros(0, np.int64)
         if vector_rows.num_rows and query_rows.num_rows:
-            units, good = _unit(_matrix(query_rows["vec"]))
-            qids = query_rows["qid"].to_numpy()[good]
-            found = kernel.batch(vector_rows["doc_id"].to_numpy(), _matrix(vector_rows["vec"]), units[good])
+            there, units, good = _asked(query_rows["vec"])
+            qids = query_rows["qid"].to_numpy()[there][good]
+            fits, matrix = kernel.fitting(vector_rows["vec"], units.shape[1])
+            found = kernel.batch(vector_rows["doc_id"].to_numpy()[fits], matrix, units[good])
         query, ids, scores = found
         return pa.table(
             {
@@ -236,16 +261,18 @@ def knn(
     k: int,
     limits: DataFrame | None = None,
     query_floats: int = QUERY_FLOATS,
+    drop_odd: bool = False,
     **grid,
 ) -> DataFrame:
     """Exact cosine top-k: ``(qid, doc_id, score, rank)``.
 
     ``vectors`` is ``(doc_id, vec)``, ``query_vectors`` is ``(qid, vec)``. Every query gets
     its ``k`` nearest vectors however far they are; vectors of no length have no angle and
-    are left out. ``query_floats`` bounds what is sent to every worker; more queries are
-    matched by a shuffle instead, with the same result.
+    are left out, and so are null ones. A vector of another length than the queries' ends
+    the job, or with ``drop_odd`` is left out. ``query_floats`` bounds what is sent to every
+    worker; more queries are matched by a shuffle instead, with the same result.
     """
-    found = _candidates(vectors, query_vectors, Kernel(k), None, query_floats, **grid)
+    found = _candidates(vectors, query_vectors, Kernel(k, drop_odd=drop_odd), None, query_floats, **grid)
     return top_k(found, k, limits=limits)
 
 
@@ -263,15 +290,16 @@ def knn_ivf(
     nprobe: int,
     limits: DataFrame | None = None,
     query_floats: int = QUERY_FLOATS,
+    drop_odd: bool = False,
     **grid,
 ) -> DataFrame:
     """Top-k among the vectors of each query's ``nprobe`` nearest cells.
 
     ``vectors`` carries its ``cell``. With ``nprobe`` equal to the number of cells this is
-    :func:`knn`.
+    :func:`knn`, whose rules for null and odd vectors hold here too.
     """
     probes = probe_cells(centroids, query_vectors, nprobe)
-    found = _candidates(vectors, query_vectors, Kernel(k), probes, query_floats, **grid)
+    found = _candidates(vectors, query_vectors, Kernel(k, drop_odd=drop_odd), probes, query_floats, **grid)
     return top_k(found, k, limits=limits)
 
 

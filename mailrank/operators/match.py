@@ -66,31 +66,43 @@ def match_phrase(
 
     ``query_terms`` is ``(qid, term, place)``, ``place`` counting the phrase's words from 0. A
     document brings one row per phrase word, with its positions moved back by ``place``; the
-    phrase starts where all of them agree. With ``slop`` they may differ by that much.
+    phrase starts where all of them agree. With ``slop`` they may differ by that much, and
+    ``n_places`` counts the starts of any word from which each word of the phrase has a
+    position of its own: a word the phrase holds twice must be there twice.
     With the term ``stats`` given, only documents with a phrase's rarest word are looked at.
     """
     asked = ask(query_terms.select("qid", "term", "place"), buckets)
-    rows = with_terms(postings, asked, buckets=buckets).select("qid", "doc_id", "place", "positions")
+    rows = with_terms(postings, asked, buckets=buckets).select("qid", "doc_id", "term", "place", "positions")
     if stats is not None:
         rows = rows.join(_may_hold(postings, stats, asked, buckets), ["qid", "doc_id"], "left_semi")
     starts = F.transform("positions", lambda p: p - F.col("place"))
+    word = F.struct("term", "place", starts.alias("starts"))
     per_doc = (
-        rows.select("qid", "doc_id", starts.alias("starts"))
+        rows.select("qid", "doc_id", word.alias("word"))
         .groupBy("qid", "doc_id")
-        .agg(F.count(F.lit(1)).alias("n_found"), F.collect_list("starts").alias("all_starts"))
+        .agg(F.count(F.lit(1)).alias("n_found"), F.sort_array(F.collect_list("word")).alias("words"))
         .join(_sizes(asked), "qid")
         .where("n_found = n_terms")
     )
-    first = F.get("all_starts", F.lit(0))
     if slop == 0:
-        places = F.aggregate("all_starts", first, lambda acc, s: F.array_intersect(acc, s))
+        places = F.aggregate("words.starts", F.get("words.starts", F.lit(0)), lambda acc, s: F.array_intersect(acc, s))
     else:
-        # A match begins at its smallest start, which belongs to one of the words.
-        every = F.array_distinct(F.flatten("all_starts"))
-        places = F.filter(
-            every,
-            lambda x: F.forall("all_starts", lambda s: F.exists(s, lambda y: (y >= x) & (y <= x + slop))),
-        )
+        # Places of one word are taken from left to right, each the first that is free: their
+        # windows move to the right with the place, so this finds a way whenever there is one.
+        none = F.struct(F.lit("").alias("term"), F.lit(-1).alias("last"), F.lit(True).alias("found"))
+
+        def fill(x):
+            def step(acc, word):
+                low = F.when(acc["term"] == word["term"], acc["last"] - word["place"]).otherwise(x - 1)
+                at = F.array_min(F.filter(word["starts"], lambda s: s.between(x, x + slop) & (s > low)))
+                found = acc["found"] & at.isNotNull()
+                return F.struct(
+                    word["term"].alias("term"), F.coalesce(at + word["place"], F.lit(-1)).alias("last"), found.alias("found")
+                )
+
+            return F.aggregate("words", none, step, lambda acc: acc["found"])
+
+        places = F.filter(F.array_distinct(F.flatten("words.starts")), fill)
     return per_doc.select("qid", "doc_id", F.size(places).alias("n_places")).where("n_places > 0")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
-MAIL_CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+# Without enforceSchema=False a file whose header has another order is read under the first file's names.
+MAIL_CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
 # The CSV writer trims values unless told otherwise.
 MAIL_CSV_WRITE_OPTIONS = {
     "header": True,
@@ -16,14 +19,18 @@ MAIL_CSV_WRITE_OPTIONS = {
 }
 
 
-def read_mail_csv(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Scan ``path`` (a file or a folder of files) into ``(file, message)``.
+def read_mail_csv(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
+    """Scan ``path`` (a file or a folder of files, or a list of those) into ``(file, message)``.
 
     A quoted line break makes a file unsplittable, so each file is one task;
     ``partitions`` spreads its rows over that many tasks before any parsing.
     The two columns are found by name, whatever else the files hold; empty values are ``''``.
+    Files of one path share one header, and the read fails where they do not; each path of a
+    list has its own.
     """
-    raw = spark.read.options(**MAIL_CSV_OPTIONS).csv(path).select("file", "message")
+    paths = [path] if isinstance(path, str) else path
+    found = [spark.read.options(**MAIL_CSV_OPTIONS).csv(p).select("file", "message") for p in paths]
+    raw = reduce(DataFrame.unionByName, found)
     return (raw.repartition(partitions) if partitions else raw).na.fill("")
 
 

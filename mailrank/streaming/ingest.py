@@ -16,8 +16,7 @@ def stream_mail_csv(spark: SparkSession, folder: str) -> DataFrame:
 
     A stream needs its columns named beforehand; the files' headers are checked against them.
     """
-    options = {**MAIL_CSV_OPTIONS, "enforceSchema": False}
-    return spark.readStream.schema(MAIL_CSV_SCHEMA).options(**options).csv(folder).na.fill("")
+    return spark.readStream.schema(MAIL_CSV_SCHEMA).options(**MAIL_CSV_OPTIONS).csv(folder).na.fill("")
 
 
 def ingest_mail_csv(

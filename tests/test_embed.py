@@ -65,6 +65,16 @@ def test_token_ids_with_small_and_large_vocabulary(spark, vocab, rows):
     assert got == {0: [2, 10, 1, 11, 3], 1: [2, 3], 2: [2, 3], 3: [2, 11, 11, 10, 3]}
 
 
+@pytest.mark.parametrize("bounds", [{}, {"vocab_rows": 1}, {"vocab_bytes": 1}])
+def test_token_ids_with_equal_keys_and_a_token_twice(spark, bounds):
+    docs = spark.createDataFrame([(1, "a b"), (1, "b"), (1, "b"), (None, "a")], "doc_id BIGINT, t STRING")
+    vocab = spark.createDataFrame([("<bos>", 2), ("<eos>", 3), ("a", 10), ("b", 12), ("b", 11)], "token STRING, id BIGINT")
+    coded = embed.encode_tokens(docs, "t", vocab, **bounds)
+    assert coded.columns == ["doc_id", "t", "ids"]
+    got = sorted((r.doc_id or 0, r.t, r.ids) for r in coded.collect())
+    assert got == [(0, "a", [2, 10, 3]), (1, "a b", [2, 10, 11, 3]), (1, "b", [2, 11, 3]), (1, "b", [2, 11, 3])]
+
+
 def _toy_model():
     return lambda ids, mask: np.stack([ids, mask * 2], axis=-1).astype(np.float32)
 

@@ -107,3 +107,13 @@ def test_quantile_bounds_are_narrower(data):
     lo, hi = quantise.value_bounds(data[2], 0.9)
     full = quantise.value_bounds(data[2])
     assert full[0] < lo < hi < full[1]
+
+
+@pytest.mark.parametrize("floats", [knn.QUERY_FLOATS, 1])
+def test_null_and_odd_vectors(spark, floats):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 1.0, 0.0]), (5, [1.0, 0.0, 0.0, 0.0]), (6, []), (7, [1.0, None, 0.0])]
+    vectors = spark.createDataFrame(rows, "doc_id BIGINT, vec ARRAY<FLOAT>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, None)], "qid BIGINT, vec ARRAY<FLOAT>")
+    assert lists(knn.knn(vectors, asked, 9, query_floats=floats, drop_odd=True)) == {0: [1, 4]}
+    with pytest.raises(Exception, match="against queries of 3"):
+        knn.knn(vectors, asked, 9, query_floats=floats).collect()

@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter, defaultdict
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,12 +234,15 @@ def test_fused_weights(spark):
 
 
 def places(words, phrase, slop=0):
+    """Starts from which each word of the phrase has a position of its own, by trying all ways."""
     found = {}
     for d, w in words.items():
         starts = [{p - i for p, x in enumerate(w) if x == term} for i, term in enumerate(phrase)]
         if all(starts):
-            every = set().union(*starts)
-            n = sum(all(any(x <= y <= x + slop for y in s) for s in starts) for x in every)
+            n = 0
+            for x in set().union(*starts):
+                near = [[s + i for s in every if x <= s <= x + slop] for i, every in enumerate(starts)]
+                n += any(len(set(way)) == len(phrase) for way in product(*near))
             if n:
                 found[d] = n
     return found
@@ -248,7 +252,7 @@ def places(words, phrase, slop=0):
 @pytest.mark.parametrize("slop,rarest", [(0, False), (0, True), (1, False), (2, True)])
 def test_phrase(monkeypatch, spark, tables, words, slop, rarest, small_rows):
     monkeypatch.setattr(session, "SMALL_ROWS", small_rows)
-    phrases = {1: ["the", "budget"], 2: ["the", "plan"], 3: ["budget", "the", "budget"], 4: ["plan", "the"]}
+    phrases = {1: ["the", "budget"], 2: ["the", "plan"], 3: ["budget", "the", "budget"], 4: ["plan", "the"], 5: ["the", "the"]}
     stats = tables.term_stats if rarest else None
     found = match.match_phrase(tables.postings, match.query_words(spark, phrases), slop, 4, stats)
     got = defaultdict(dict)
@@ -257,6 +261,19 @@ def test_phrase(monkeypatch, spark, tables, words, slop, rarest, small_rows):
     assert dict(got) == {q: want for q, p in phrases.items() if (want := places(words, p, slop))}
 
 
+def test_a_word_does_not_count_for_two(spark):
+    texts = {1: "very good", 2: "very very good", 3: "very nice very good", 4: "very a b c very"}
+    rows = [(t, d, [p for p, x in enumerate(w.split()) if x == t]) for d, w in texts.items() for t in set(w.split())]
+    postings = spark.createDataFrame(rows, "term STRING, doc_id BIGINT, positions ARRAY<INT>")
+    phrases = {1: ["very", "very"], 2: ["very", "good", "very"]}
+    for slop in (1, 2, 3):
+        got = defaultdict(dict)
+        for r in match.match_phrase(postings, match.query_words(spark, phrases), slop).collect():
+            got[r.qid][r.doc_id] = r.n_places
+        assert dict(got) == {q: want for q, p in phrases.items() if (want := places({d: w.split() for d, w in texts.items()}, p, slop))}
+    assert 1 not in got[1]
+
+
 def ids(df):
     return {r.doc_id for r in df.collect()}
 

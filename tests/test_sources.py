@@ -23,6 +23,16 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     assert rows["f1"].replace("\r\n", "\n") == 'Subject: a "b"\n\nbody'
 
 
+def test_csv_headers_of_two_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("file,message\nf1,Subject: a\n")
+    (tmp_path / "b.csv").write_text("message,file\nSubject: b,f2\n")
+    paths = [str(tmp_path / n) for n in ("a.csv", "b.csv")]
+    rows = {r.file: r.message for r in read_mail_csv(spark, paths).collect()}
+    assert rows == {"f1": "Subject: a", "f2": "Subject: b"}
+    with pytest.raises(Exception, match="header"):
+        read_mail_csv(spark, str(tmp_path)).collect()
+
+
 def test_emails_table_appends(spark, tmp_path):
     emails = parse_messages(spark.createDataFrame(RAW, "file STRING, message STRING"), 0)
     for times in (1, 2):
