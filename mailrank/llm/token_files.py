@@ -18,28 +18,66 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import by_arrow, chunks, in_arrow, parts, ranges, slices, utf8
+from mailrank.llm.common import by_arrow, chunks, in_arrow, parts, ranges, slices, strings, utf8
 from mailrank.session import fresh_path
 
 ROW_GROUP_BYTES = 8 * 1024 * 1024
 PAGE_ROWS = 2_000
-CACHED_PIECES = 150_000  # encodings one task keeps
+CACHED_PIECES = 300_000  # encodings one task keeps
 PIECES_AT_ONCE = 2_000
 
-# Pieces of a plain word, as the vocabulary file's own splitting rule has them.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Kinds of characters in the vocabulary file's own splitting rule: 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_RULES = [(SPACE, regex.compile(r"\s")), (LETTER, regex.compile(r"\p{L}")), (DIGIT, regex.compile(r"\p{N}")), (OTHER, regex.compile(r"."))]
+KINDS = np.array([next(k for k, rule in _RULES if rule.fullmatch(chr(c))) for c in range(0x300)], np.uint8)
+
+
+def split(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of plain words, lower-cased, and how many each word has.
+
+    Words hold characters below U+0200, whose lower case has as many bytes. A piece starts
+    where the kind of character changes, at each digit, and around the endings of the rule.
+    """
+    low = np.frombuffer(data.tobytes().decode().lower().encode(), np.uint8)
+    at = np.flatnonzero((low & 0xC0) != 0x80)
+    code = low[at].astype(np.int32)
+    wide = code >= 0xC0
+    code[wide] = ((code[wide] & 31) << 6) | (low[at[wide] + 1] & 63)
+    kind = KINDS[code]
+    word = np.searchsorted(at, off[:-1])
+
+    first = np.ones(len(at) + 3, bool)
+    first[: len(at)] = False
+    first[word] = True
+    start = first.copy()
+    start[1 : len(at)] |= kind[1:] != kind[:-1]
+    start[: len(at)] |= kind == DIGIT
+    quote = np.flatnonzero((code == 39) & start[: len(at)])
+    ahead = np.concatenate([code, [0, 0]])
+    x, y = ahead[quote + 1], ahead[quote + 2]
+    one = np.isin(x, [ord(c) for c in "stmd"]) & ~first[quote + 1]
+    two = (((x == ord("r")) | (x == ord("v"))) & (y == ord("e"))) | ((x == ord("l")) & (y == ord("l")))
+    two &= ~first[quote + 1] & ~first[quote + 2]
+    start[quote[one] + 1] = start[quote[two] + 1] = False
+    start[quote[one] + 2] = start[quote[two] + 3] = True
+
+    seen = kind != SPACE
+    width = 1 + wide.astype(np.int64)
+    held = np.concatenate([[0], np.cumsum(width * seen)])
+    begin = np.flatnonzero(start[: len(at)] & seen)
+    pieces = strings(low[np.repeat(seen, width)], np.append(held[begin], held[-1]), pa.binary())
+    return pieces, np.diff(np.append(np.searchsorted(begin, word), len(begin)))
 
 
 class WordEncoder:
     """Encoder for a BPE with word ends that lower-cases and drops white space; one per task.
 
-    Distinct plain words (characters below U+0250, which composing leaves alone) are split
+    Distinct plain words (characters below U+0200, which composing leaves alone) are split
     here by the vocabulary file's rule; the distinct pieces go through the library joined by
     spaces, and come apart again at the ids that end a word. All other words go through the
     library one by one. A bounded number of pieces is remembered.
@@ -57,15 +95,15 @@ class WordEncoder:
         self.end_id = end_id
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         self.ends[[i for token, i in self.whole.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def pieces(self, found: list[str]) -> list[bytes]:
+    def pieces(self, found: list[bytes]) -> list[bytes]:
         """Ids of each distinct piece, as bytes of int32."""
         out = [self.known.get(p) for p in found]
         new = [i for i, x in enumerate(out) if x is None]
         for a in range(0, len(new), PIECES_AT_ONCE):
             part = new[a : a + PIECES_AT_ONCE]
-            joined = " ".join([found[i] for i in part])
+            joined = b" ".join([found[i] for i in part]).decode()
             ids = np.array(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):
@@ -82,24 +120,20 @@ class WordEncoder:
         data, off = utf8(words)
         n = len(words)
         after = np.append(data[1:], 0)
-        odd = ((data < 32) & ~((data >= 9) & (data <= 13))) | (data >= 0xC9) | ((data == 60) & (after == 124))
+        odd = ((data < 32) & ~((data >= 9) & (data <= 13))) | (data >= 0xC8) | ((data == 60) & (after == 124))
         odd |= ((data == 0xC2) & ((after == 0x85) | (after == 0xA0))) | ((data == 0xC4) & (after == 0xB0))
         odd_upto = np.concatenate([[0], np.cumsum(odd)])
         plain = odd_upto[off[1:]] == odd_upto[off[:-1]]
-        visible = np.concatenate([[0], np.cumsum((data > 32) & ((data & 0xC0) != 0x80))])
-        seen = (visible[off[1:]] - visible[off[:-1]])[plain]
 
-        joined = b" ".join(words.filter(pa.array(plain)).to_pylist()).decode().lower()
-        found = pa.array(_PIECES.findall(joined), pa.string())
+        found, many = split(*utf8(words.filter(pa.array(plain))))
         pieces = found.dictionary_encode()
         ids = self.pieces(pieces.dictionary.to_pylist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.int32)
         codes = pieces.indices.to_numpy(zero_copy_only=False)
         each = sizes[codes]
-        lengths = np.concatenate([[0], np.cumsum(pc.utf8_length(found).to_numpy(zero_copy_only=False).astype(np.int64))])
-        cut = np.searchsorted(lengths, np.concatenate([[0], np.cumsum(seen)]))
         upto = np.concatenate([[0], np.cumsum(each)])
+        cut = np.concatenate([[0], np.cumsum(many)])
         count = np.zeros(n, np.int64)
         count[plain] = np.diff(upto[cut])
         own = flat[ranges((np.cumsum(sizes) - sizes)[codes], each)]

@@ -1,5 +1,6 @@
 """Token files against the library on whole texts."""
 
+import random
 import zlib
 
 import numpy as np
@@ -31,6 +32,16 @@ def test_encoder_gives_the_ids_of_whole_texts():
     assert [x.tolist() for x in cut] == brute(texts)
 
 
+def test_splitting_of_odd_words():
+    """Endings after a quote, digits, marks, letters whose lower case is longer."""
+    rng = random.Random(1)
+    signs = list("sStTrReEvVlLmMdDaz  0139.,-!_<|>\n\t\x7f\x00\x1f") + ["'"] * 9 + list("äÖßéÀ×÷ªº²½ĲŉǅȺȾɐƁʼ\x85\xa0İıſ日本Ω")
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(5_000)]
+    texts += ["'", "''s", "x'll'd", "'re'", "'r e", "'s's", "1'2", "don't WE'VE"]
+    ids, n = tf.WordEncoder(P.path("word_bpe_49k.json"), 1).column(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == brute(texts)
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_files_hold_all_documents_in_order(spark, encoding):
     rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(3, "again", "y"), (3, "again", "y"), (None, "none", "z")]
