@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailrank.functions.binding import let
 from mailrank.functions.text import (
+    EMBED_CHARS,
     fill_blank,
     flag_to_int,
     phone_digits,
@@ -30,9 +31,9 @@ def stored_fields(emails: DataFrame) -> DataFrame:
     )
 
 
-def vector_table(emails: DataFrame, embedder: Embedder) -> DataFrame:
-    """``(doc_id, vec, embed_error)`` of the subject and the head of the body."""
-    text = with_role(text_to_embed(F.col("subject"), F.col("body_content")), "document")
+def vector_table(emails: DataFrame, embedder: Embedder, embed_chars: int = EMBED_CHARS) -> DataFrame:
+    """``(doc_id, vec, embed_error)`` of the first ``embed_chars`` characters of subject and body."""
+    text = with_role(text_to_embed(F.col("subject"), F.col("body_content"), embed_chars), "document")
     return embed_column(emails.select("doc_id", text.alias("_text")), "_text", embedder).drop("_text")
 
 

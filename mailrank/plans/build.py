@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailrank.functions.text import EMBED_CHARS
 from mailrank.operators import index
 from mailrank.operators.embed import Embedder
 from mailrank.operators.keyword import term_bucket
@@ -55,6 +56,7 @@ def build_search_tables(
     path: str,
     term_buckets: int = TERM_BUCKETS,
     normalise: bool = False,
+    embed_chars: int = EMBED_CHARS,
 ) -> SearchTables:
     """Write the search tables below ``path``, replacing what was there, and open them.
 
@@ -63,7 +65,7 @@ def build_search_tables(
     looked up by term are partitioned by a hash bucket of the term and sorted by term
     inside: a query reads a few buckets, and of those the row groups that can hold its
     words. A rebalancing shuffle splits a bucket with a very frequent term over several
-    tasks and files.
+    tasks and files. ``embed_chars`` is how much of subject and body the vector is made of.
     """
     spark = emails.sparkSession
 
@@ -73,7 +75,8 @@ def build_search_tables(
 
     def by_term(df: DataFrame) -> DataFrame:
         bucketed = df.withColumn("term_bucket", term_bucket(F.col("term"), term_buckets))
-        return bucketed.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "doc_id")
+        order = [c for c in ("term_bucket", "term", "doc_id") if c in bucketed.columns]
+        return bucketed.hint("rebalance", "term_bucket").sortWithinPartitions(*order)
 
     docs = save(index.stored_fields(emails).sortWithinPartitions("doc_id"), "docs")
     exact = save(by_term(index.exact_terms(docs, normalise)), "exact_terms", "term_bucket")
@@ -81,12 +84,12 @@ def build_search_tables(
     sizes = index.corpus_stats(index.posted_lengths(posted)).withColumn("term_buckets", F.lit(term_buckets))
     return SearchTables(
         docs=docs,
-        vectors=save(index.vector_table(docs, embedder), "vectors"),
+        vectors=save(index.vector_table(docs, embedder, embed_chars), "vectors"),
         exact_terms=exact,
-        exact_stats=save(index.term_stats(exact), "exact_stats", "term_bucket"),
+        exact_stats=save(by_term(index.term_stats(exact)), "exact_stats", "term_bucket"),
         field_stats=save(index.field_stats(exact), "field_stats"),
         postings=posted,
-        term_stats=save(index.term_stats(posted), "term_stats", "term_bucket"),
+        term_stats=save(by_term(index.term_stats(posted)), "term_stats", "term_bucket"),
         corpus_stats=save(sizes, "corpus_stats"),
         term_buckets=term_buckets,
     )

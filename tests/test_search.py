@@ -318,3 +318,16 @@ def test_postings(mails, words):
         d: {t: (w.count(t), len(w), [i for i, x in enumerate(w) if x == t]) for t in w} for d, w in words.items() if w
     }
     assert dict(got) == want
+
+
+def test_statistics_are_sorted_and_vectors_see_the_length_asked_for(spark, mails, tmp_path):
+    seen = {}
+    for chars in (12, 10_000):
+        path = str(tmp_path / str(chars))
+        made = build_search_tables(mails, embed.hash_embedder(), path, 2, embed_chars=chars)
+        seen[chars] = {r.doc_id: r.vec for r in made.vectors.collect()}
+    assert seen[12] != seen[10_000]
+    for stats in (made.exact_stats, made.term_stats):
+        for file in stats.inputFiles():
+            found = [r.term for r in spark.read.parquet(file).collect()]
+            assert found == sorted(found)
