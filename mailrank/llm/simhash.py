@@ -33,8 +33,8 @@ VISITORS_AT_ONCE = 1_024
 LEAF_PAIRS = 64
 
 
-def fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
-    """A fingerprint for each text: a bit is 1 if set in over half the hashes of its shingles."""
+def shingle_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of all texts one after the other, and how many each text has."""
     import xxhash
 
     data, off = utf8(column)
@@ -55,11 +55,15 @@ def fingerprints_of(column: pa.Array, shingle: int) -> np.ndarray:
         starts = (ends - sizes)[: n - shingle + 1].tolist()
         hashes += [digest(joined[x:y], SEED) for x, y in zip(starts, ends[shingle - 1 :].tolist())]
         counts.append(n - shingle + 1)
-    counts = np.array(counts, np.int64)
+    return np.array(hashes, np.uint64), np.array(counts, np.int64)
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A fingerprint for each text: a bit is 1 if set in over half the hashes of its shingles."""
     out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         sums = np.add.reduceat(bits, (np.cumsum(counts) - counts)[some], axis=0, dtype=np.int64)
         ones = (2 * sums > counts[some, None]).astype(np.uint8)
         out[some] = np.packbits(ones, axis=1, bitorder="little").view("<u8").ravel()
@@ -75,16 +79,17 @@ def fingerprints(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, at):
-                fps = fingerprints_of(batch.column(at), shingle)
+                fps = majority(*shingle_hashes(batch.column(at), shingle))
                 yield pa.record_batch([*batch.columns[:at], pa.array(fps.view(np.int64))], names=[*kept, "fp"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
     return in_arrow(rows, run, f"{schema}, fp bigint")
 
 
-def pairs_within(a: np.ndarray, b: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def pairs_within(a: np.ndarray, b: np.ndarray, budget: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places in two sorted arrays of 64-bit numbers that differ in at most ``budget`` bits, of which at
-    most a quarter of the budget lies in the first 16."""
+    most ``first`` (a quarter of the budget, if not given) lie in the first 16."""
+    first = budget // 4 if first is None else first
     zero = np.zeros(1, np.int64)
     alo, ahi, blo, bhi, diff = zero, zero + len(a), zero, zero + len(b), zero
     done = []
@@ -101,7 +106,7 @@ def pairs_within(a: np.ndarray, b: np.ndarray, budget: int) -> tuple[np.ndarray,
         alo, ahi = np.concatenate([alo, amid, alo, amid]), np.concatenate([amid, ahi, amid, ahi])
         blo, bhi = np.concatenate([blo, bmid, bmid, blo]), np.concatenate([bmid, bhi, bhi, bmid])
         diff = np.concatenate([diff, diff, diff + 1, diff + 1])
-        good = (alo < ahi) & (blo < bhi) & (diff <= (budget // 4 if bit < 16 else budget))
+        good = (alo < ahi) & (blo < bhi) & (diff <= (first if bit < 16 else budget))
         alo, ahi, blo, bhi, diff = (x[good] for x in (alo, ahi, blo, bhi, diff))
     done.append((alo, ahi, blo, bhi))
     alo, ahi, blo, bhi = (np.concatenate(x) for x in zip(*done))
@@ -139,93 +144,104 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def trie_links(nodes: DataFrame, budget: int) -> DataFrame:
-    """Links ``a, b`` that connect all of the distinct ``nodes.fp`` within ``budget`` bits of each other.
+def dealt(nodes: DataFrame, words: list[str], carried: dict[str, Column], one_apart: bool) -> DataFrame:
+    """``nodes`` (a written table) dealt to the units of all tries: ``r, at, part, visits, x`` and ``carried``.
 
-    ``nodes`` is a written table.
+    Trie ``r`` starts with quarter ``r % 4`` of word ``words[r // 4]``; ``x`` is that word turned so.
     """
-    if not 0 <= budget <= 7:
-        raise ValueError("top nodes are met within one bit, which is whole for budgets of at most 7 bits")
     count = nodes.count()
     top = min(MOST_TOP_BITS, max(0, (count // NODE_ROWS).bit_length()))
 
-    def rotated(r: Column) -> Column:
-        by = (r * 16).cast("int")
-        turned = F.call_function("shiftleft", F.col("fp"), by).bitwiseOR(F.call_function("shiftrightunsigned", F.col("fp"), F.lit(64) - by))
-        return F.when(r == 0, F.col("fp")).otherwise(turned)
+    def rotated(word: str, quarter: int) -> Column:
+        if not quarter:
+            return F.col(word)
+        by = 16 * quarter
+        return F.call_function("shiftleft", F.col(word), F.lit(by)).bitwiseOR(F.call_function("shiftrightunsigned", F.col(word), F.lit(64 - by)))
 
-    rows = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r")).withColumn("x", rotated(F.col("r")))
+    turns = [rotated(word, quarter) for word in words for quarter in range(4)]
+    rows = nodes.select(F.posexplode(F.array(*turns)).alias("r", "x"), *[F.col(w) for w in nodes.columns])
+    rows = rows.select("r", "x", *[c.alias(name) for name, c in carried.items()])
     node = F.shiftrightunsigned("x", 64 - top) if top else F.lit(0).cast("bigint")
-    rows = rows.select("r", "x", node.alias("node"))
-    # At most 4 * 2 ** MOST_TOP_BITS rows, so they can be broadcast at any size of the input.
+    rows = rows.withColumn("node", node)
+    # At most 4 * len(words) * 2 ** MOST_TOP_BITS rows, so they can be broadcast at any size of the input.
     sizes = rows.groupBy("r", "node").agg(F.ceil(F.count(F.lit(1)) / CROWDED_ROWS).alias("n_parts"))
     sizes = F.broadcast(sizes.withColumnRenamed("node", "at"))
     bits = F.filter(F.sequence(F.lit(0), F.lit(max(top - 1, 0))), lambda k: F.getbit(F.col("node"), k) == 1)
     near = F.transform(bits, lambda k: F.col("node") - F.call_function("shiftleft", F.lit(1).cast("bigint"), k))
-    rows = rows.withColumn("at", F.explode(F.concat(F.array("node"), near) if top and budget >= 4 else F.array("node"))).join(sizes, ["r", "at"])
-    own = F.when(F.col("at") == F.col("node"), F.pmod(F.xxhash64("x"), F.col("n_parts"))).otherwise(F.lit(-1).cast("bigint"))
+    rows = rows.withColumn("at", F.explode(F.concat(F.array("node"), near) if top and one_apart else F.array("node"))).join(sizes, ["r", "at"])
+    own = F.when(F.col("at") == F.col("node"), F.pmod(F.xxhash64("x", *carried), F.col("n_parts"))).otherwise(F.lit(-1).cast("bigint"))
     rows = rows.withColumn("own", own)
     rows = rows.withColumn("part", F.explode(F.sequence(F.greatest("own", F.lit(0).cast("bigint")), F.col("n_parts") - 1)))
     visits = (F.col("part") != F.col("own")).cast("int")
     key = ["r", "at", "part"]
-    rows = rows.select(*key, visits.alias("visits"), "x")
-    rows = rows.repartition(parts(nodes.sparkSession), *key).sortWithinPartitions(*key, "visits")
+    rows = rows.select(*key, visits.alias("visits"), "x", *carried)
+    return rows.repartition(parts(nodes.sparkSession), *key).sortWithinPartitions(*key, "visits")
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray] | None]]:
+    """Each unit of dealt rows as its trie and its columns sorted by ``x``: first alone, then with each run of its visitors."""
+    unit, own, guests, home = None, [], [], None
+
+    def joined(runs: list[list[np.ndarray]]) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*runs)]
+        order = np.argsort(columns[0], kind="stable")
+        return [c[order] for c in columns]
+
+    def visit() -> Iterator[tuple[int, list[np.ndarray], list[np.ndarray] | None]]:
+        nonlocal own, guests, home
+        if own:
+            home, own = joined(own), []
+            yield unit[0], home, None
+        if guests and home is not None:
+            yield unit[0], home, joined(guests)
+        guests = []
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        r, at, part, visits, *columns = (c.to_numpy() for c in batch.columns)
+        columns[0] = columns[0].view(np.uint64)
+        cuts = np.flatnonzero((np.diff(r) != 0) | (np.diff(at) != 0) | (np.diff(part) != 0) | (np.diff(visits) != 0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(r)]):
+            now = (int(r[lo]), at[lo], part[lo])
+            if now != unit:
+                yield from visit()
+                unit, home = now, None
+            if not visits[lo]:
+                own.append([c[lo:hi] for c in columns])
+                continue
+            for k in range(lo, hi, VISITORS_AT_ONCE):
+                guests.append([c[k : min(hi, k + VISITORS_AT_ONCE)] for c in columns])
+                if sum(len(g[0]) for g in guests) >= VISITORS_AT_ONCE:
+                    yield from visit()
+    yield from visit()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, turn, home, waiting = None, 0, [], []
 
-        def back(x: np.ndarray) -> np.ndarray:
-            return x if not turn else (x >> np.uint64(16 * turn)) | (x << np.uint64(64 - 16 * turn))
+def trie_links(nodes: DataFrame, budget: int) -> DataFrame:
+    """Links ``a, b`` that connect all of the distinct ``nodes.fp`` within ``budget`` bits of each other.
 
-        def links(a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    ``nodes`` is a written table.
+    """
+    if not 0 <= budget <= 7:
+        raise ValueError("top nodes are met within one bit, which is whole for budgets of at most 7 bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, home, guests in meetings(batches):
+            a, b = home[0], None if guests is None else guests[0]
             i, j = pairs_within(a, a if b is None else b, budget)
             if b is None:
                 i, j = i[i < j], j[i < j]
-            every = a if b is None else np.concatenate([a, b])
             if not len(i):
-                return
+                continue
+            every = a if b is None else np.concatenate([a, b])
             label = spanning(i, j if b is None else j + len(a), len(every))
             moved = np.flatnonzero(label != np.arange(len(every)))
-            x, y = back(every[label[moved]]).view(np.int64), back(every[moved]).view(np.int64)
+            turned = np.uint64(16 * r)
+            back = (every >> turned) | (every << np.uint64(64 - 16 * r)) if r else every
+            x, y = back[label[moved]].view(np.int64), back[moved].view(np.int64)
             yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-        def settle() -> Iterator[pa.RecordBatch]:
-            nonlocal home
-            if isinstance(home, list) and home:
-                home = np.sort(np.concatenate(home))
-                yield from links(home, None)
-
-        def visit() -> Iterator[pa.RecordBatch]:
-            nonlocal waiting
-            if waiting:
-                yield from settle()
-                if len(home):
-                    yield from links(home, np.sort(np.concatenate(waiting)))
-                waiting = []
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            r, at, part, visits, x = (c.to_numpy() for c in batch.columns)
-            x = x.view(np.uint64)
-            cuts = np.flatnonzero((np.diff(r) != 0) | (np.diff(at) != 0) | (np.diff(part) != 0) | (np.diff(visits) != 0)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)]):
-                now = (r[lo], at[lo], part[lo])
-                if now != unit:
-                    yield from visit()
-                    yield from settle()
-                    unit, turn, home = now, int(r[lo]), []
-                if not visits[lo]:
-                    home.append(x[lo:hi])
-                    continue
-                for k in range(lo, hi, VISITORS_AT_ONCE):
-                    waiting.append(x[k : min(hi, k + VISITORS_AT_ONCE)])
-                    if sum(map(len, waiting)) >= VISITORS_AT_ONCE:
-                        yield from visit()
-        yield from visit()
-        yield from settle()
-
-    return in_arrow(rows, run, "a bigint, b bigint")
+    return in_arrow(dealt(nodes, ["fp"], {}, budget >= 4), run, "a bigint, b bigint")
 
 
 def labelled(prints: DataFrame, budget: int) -> DataFrame:
@@ -253,15 +269,119 @@ def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STAGE_SHINGLE = 5
-STAGE_BUDGET = 7
+SIMILAR = (4, 5)  # similarity of shingle sets from which documents are near-duplicates
+# Two fingerprints of 64 bits a text. Texts at the threshold differ in 19 of 128 bits on average.
+PAIR_BUDGET = 28  # of both
+WORD_BUDGET = 18  # of the one a trie holds; one bit at most of its first quarter
+
+
+def mixed_again(hashes: np.ndarray) -> np.ndarray:
+    """A second hash of each shingle."""
+    x = hashes * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def sketches(docs: DataFrame, shingle: int, sets: bool) -> DataFrame:
+    """``docs`` with, in place of ``text``, ``t`` (a hash of all its shingles in order) and the fingerprints
+    ``f0, f1``, or with ``sets`` ``t`` and the distinct shingles ``s``."""
+    kept = [c for c in docs.columns if c != "text"]
+    rows = docs.select(*kept, "text")
+    at = len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for batch in slices(whole, at):
+                hashes, counts = shingle_hashes(batch.column(at), shingle)
+                ends = np.cumsum(counts)
+                each = [hashes[e - n : e] for e, n in zip(ends.tolist(), counts.tolist())]
+                t = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in each], np.uint64).view(np.int64))
+                if sets:
+                    s = pa.array([np.unique(h).view(np.int64) for h in each], pa.list_(pa.int64()))
+                    yield pa.record_batch([*batch.columns[:at], t, s], names=[*kept, "t", "s"])
+                else:
+                    prints = [pa.array(majority(h, counts).view(np.int64)) for h in (hashes, mixed_again(hashes))]
+                    yield pa.record_batch([*batch.columns[:at], t, *prints], names=[*kept, "t", "f0", "f1"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+    return in_arrow(rows, run, schema + ("t bigint, s array<bigint>" if sets else "t bigint, f0 bigint, f1 bigint"))
+
+
+def trie_pairs(nodes: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of ``nodes`` (``t, f0, f1, label``, a written table) of different labels within both budgets.
+
+    ``a, b`` with ``a < b``; with ``nearest`` only each node's nearest partner in each trie, of the
+    smallest ``t`` among equally near ones.
+    """
+    carried = {"y": F.when(F.col("r") < 4, F.col("f1")).otherwise(F.col("f0")), "t": F.col("t"), "label": F.col("label")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, home, guests in meetings(batches):
+            x, y, t, label = home
+            gx, gy, gt, glabel = guests or home
+            i, j = pairs_within(x, gx, WORD_BUDGET, 1)
+            bits = np.bitwise_count(x[i] ^ gx[j]).astype(np.int32) + np.bitwise_count(y[i] ^ gy[j])
+            good = (bits <= PAIR_BUDGET) & (label[i] != glabel[j])
+            if guests is None:
+                good &= i < j
+            a, b, bits = t[i[good]], gt[j[good]], bits[good].astype(np.int32)
+            if not len(a):
+                continue
+            if nearest:
+                a, b, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
+                order = np.lexsort((b, bits, a))
+                a, b, bits = a[order], b[order], bits[order]
+                first = np.append(True, a[1:] != a[:-1])
+                a, b, bits = a[first], b[first], bits[first]
+            else:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            for k in range(0, len(a), 100_000):
+                some = np.s_[k : k + 100_000]
+                yield pa.record_batch([pa.array(np.full(len(a[some]), r, np.int32)), pa.array(a[some]), pa.array(b[some]), pa.array(bits[some])], names=["r", "a", "b", "bits"])
+
+    found = in_arrow(dealt(nodes, ["f0", "f1"], carried, True), run, "r int, a bigint, b bigint, bits int")
+    if nearest:
+        found = found.groupBy("r", "a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return found.select("a", "b").distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` whose shingle sets have at least the similarity ``SIMILAR``."""
+    part, whole = SIMILAR
+    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("s_a")), "a")
+    both = both.join(sets.select(F.col("t").alias("b"), F.col("s").alias("s_b")), "b")
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return both.where(shared * (part + whole) >= part * (F.size("s_a") + F.size("s_b"))).select("a", "b")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id, and of the smallest text hash among
-    equal ids (a null id is the smallest). Texts without words are one group."""
+    equal ids (a null id is the smallest). Texts without words are one group.
+
+    Groups are connected by pairs with a similarity of 0.8 or more of their five-word shingle sets.
+    The tries propose pairs and the sets decide. Each text first meets its nearest partners, which
+    joins most of a large group; then every other proposed pair of different groups is decided.
+    """
     key = {"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "_hash": F.xxhash64("text")}
-    prints = written(fingerprints(docs.withColumns(key).select(*key, "text"), STAGE_SHINGLE), "prints")
-    firsts = prints.groupBy("fp").agg(F.min(F.struct(*key)).alias("first")).join(labelled(prints, STAGE_BUDGET), "fp")
-    firsts = firsts.groupBy("label").agg(F.min("first").alias("first")).select("first.*")
-    kept = docs.withColumns(key).join(written(firsts, "firsts"), list(key), "left_semi")
+    prints = written(sketches(docs.withColumns(key).select(*key, "text"), STAGE_SHINGLE, False), "prints")
+    first = F.min(F.struct(*key)).alias("first")
+    nodes = prints.groupBy("t").agg(F.min("f0").alias("f0"), F.min("f1").alias("f1"), first)
+    nodes = written(nodes.withColumn("label", F.col("t")), "nodes")
+    near = written(trie_pairs(nodes, True), "near-pairs")
+    met = near.select(F.col("a").alias("t")).union(near.select("b")).distinct()
+    met = written(nodes.join(met, "t", "left_semi"), "met")
+    texts = docs.withColumns(key).select(*key, "text").join(met.select("first.*"), list(key), "left_semi").dropDuplicates(list(key))
+    sets = written(sketches(texts, STAGE_SHINGLE, True).select("t", "s"), "sets")
+    links = written(similar(near, sets), "near-links")
+    known = components(links).withColumnRenamed("node", "t")
+    met = written(met.drop("label").join(known, "t", "left").withColumn("label", F.coalesce("label", "t")), "met")
+    rest = trie_pairs(met, False).join(near, ["a", "b"], "left_anti")
+    links = links.union(written(similar(rest, sets), "rest-links"))
+    labels = components(links).withColumnRenamed("node", "t")
+    firsts = nodes.drop("label").join(labels, "t", "left").groupBy(F.coalesce("label", "t").alias("label")).agg(F.min("first").alias("first"))
+    kept = docs.withColumns(key).join(written(firsts.select("first.*"), "firsts"), list(key), "left_semi")
     return kept.dropDuplicates(list(key)).select(*docs.columns)
