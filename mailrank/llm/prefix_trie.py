@@ -360,14 +360,14 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH k AS (SELECT list_transform(range(256), x -> list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
-             (a, b) -> xor(a >> 1, (a & 1) * 3988292384))) AS steps),
+WITH k AS (SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+             lambda a, b: xor(a >> 1, (a & 1) * 3988292384))) AS steps),
 turns AS (SELECT conv_id AS c, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS s,
-                 len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '')) AS w, turn
+                 len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS w, turn
           FROM conversations WHERE conv_id IS NOT NULL),
 own AS (SELECT c, s, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, s) - 1 AS p FROM turns),
-ids AS (SELECT c, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), z -> ord(z)))::BIGINT[],
-                 (a, b) -> xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+ids AS (SELECT c, xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::VARCHAR, ''), lambda z: ord(z)))::BIGINT[],
+                 lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
         FROM (SELECT DISTINCT c FROM turns), k),
 mixed AS (SELECT i.c, t.p, t.s, t.w FROM ids i JOIN own t ON t.c = i.c - i.c % 20 AND t.p < i.h
           UNION ALL SELECT i.c, t.p, t.s, t.w FROM ids i JOIN own t ON t.c = i.c AND t.p >= i.h),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from mailrank.llm import byte_bpe, chat, mixing, prefix_trie, quality, repeats, sharding, simhash, token_files, toxicity, vector_search, warc
+from mailrank.llm import byte_bpe, chat, collocations, mixing, prefix_trie, quality, repeats, sharding, simhash, token_files, toxicity, vector_search, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_warc_index": warc.op9_warc_index,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     "op11_conversation_trie": prefix_trie.op11_conversation_trie,
+    "op12_collocations": collocations.op12_collocations,
     "op13_sharding": sharding.op13_sharding,
     "pipeline": corpus_pipeline.run,
 }
@@ -28,6 +29,7 @@ ORACLE: dict[str, str] = {
     "op8_quality_rules": quality.SQL,
     "op9_warc_index": warc.SQL,
     "op11_conversation_trie": prefix_trie.SQL,
+    "op12_collocations": collocations.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
