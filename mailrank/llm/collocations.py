@@ -6,9 +6,9 @@ candidate (Apriori), so slices are rewritten as numbers of the others, with a br
 word and at the end of every piece. Then, word by word, frequent phrases grow: a double-array trie
 of the frequent phrases so far is broadcast, numpy takes the states of all text positions through
 it level by level, and the phrases that could still be frequent, those that extend an accepted one
-by a word and (where one trie holds all) end in an accepted one, are counted over all tasks. In the end the trie of
-all candidates is sent once more and its accepting states are counted by ``bincount``; the shards'
-sums are the counts that results use.
+by a word and (where one trie holds all) end in an accepted one, are counted over all tasks. In
+the end the trie of all candidates is sent once more and its accepting states are counted by
+``bincount``; the sums over all tasks are the counts that results use.
 
 A trie is cut in two, by a hash of a phrase's first two words, as often as needed to keep it below
 ``TRIE_NODES``; every part is then counted in a pass of its own, so what is broadcast is bounded at
@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import in_arrow, slices, strings, table, utf8, written
+from mailrank.llm.common import in_arrow, parts, slices, strings, table, utf8, written
 from mailrank.sources.emails import with_row_id
 
 LEAST = 100  # occurrences of a candidate
@@ -42,6 +43,7 @@ ABSORBED = (100, 100)  # a longer candidate with this share of the occurrences t
 SLICE = 4 * 1024 * 1024  # bytes of text tokenised at once; longer texts are cut into overlapping blocks
 SENT_WORDS = 1_000_000  # a vocabulary up to this size is broadcast, a larger one is shuffled
 TRIE_NODES = 4_000_000
+STATE_RUN = 4_096  # states whose counts are one row of a task
 AT_ONCE = 2_000_000  # text positions that go through a trie at once
 
 # What ends a piece, and what ends a word besides.
@@ -145,21 +147,47 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 
 def numbered(sliced: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``own, ids`` of every slice with words of ``vocabulary`` (``id, lang, word``); -1 for all else."""
-    known = vocabulary.select("lang", "word", "id")
-    if known.limit(SENT_WORDS + 1).count() <= SENT_WORDS:
-        known = F.broadcast(known)
-    each = sliced.select("row", F.posexplode("words").alias("code", "w")).select("row", "code", "w.lang", "w.word")
-    ids = each.join(known, ["lang", "word"]).groupBy("row").agg(F.collect_list(F.struct("code", F.col("id").cast("int").alias("id"))).alias("ids"))
-    rows = sliced.select("row", "own", "codes").join(ids, "row").select("own", "codes", F.col("ids.code").alias("code"), F.col("ids.id").alias("id"))
+    """``own, ids`` of every slice with words of ``vocabulary`` (``id, lang, word``); -1 for all else.
+
+    A vocabulary of at most ``SENT_WORDS`` is sent to the tasks; a larger one is joined to the
+    dictionaries of the slices.
+    """
+    known = vocabulary.select("lang", "word", F.col("id").cast("int").alias("id"))
+    held = known.limit(SENT_WORDS + 1).toArrow()
+    if held.num_rows > SENT_WORDS:
+        each = sliced.select("row", F.posexplode("words").alias("code", "w")).select("row", "code", "w.lang", "w.word")
+        ids = each.join(known, ["lang", "word"]).groupBy("row").agg(F.collect_list(F.struct("code", "id")).alias("ids"))
+        rows = sliced.select("row", "own", "codes").join(ids, "row").select("own", "codes", F.col("ids.code").alias("code"), F.col("ids.id").alias("id"))
+
+        def ids_of(batch: pa.RecordBatch, i: int, codes: np.ndarray) -> np.ndarray:
+            code, number = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
+            found = np.full(int(codes.max()) + 2, -1, np.int32)
+            found[code] = number
+            return found
+    else:
+        rows = sliced.select("own", "codes", F.col("words.lang").alias("lang"), F.col("words.word").alias("word"))
+        by_lang = {}
+        for lang in pc.unique(held["lang"]).to_pylist():
+            mine = held.filter(pc.equal(held["lang"], lang))
+            by_lang[lang] = (mine["word"].combine_chunks(), mine["id"].to_numpy())
+        sent = sliced.sparkSession.sparkContext.broadcast(by_lang)
+
+        def ids_of(batch: pa.RecordBatch, i: int, codes: np.ndarray) -> np.ndarray:
+            langs, words = (batch.column(c)[i].values for c in (2, 3))
+            found = np.full(len(words) + 1, -1, np.int32)
+            for lang in pc.unique(langs).to_pylist():
+                if lang in sent.value:
+                    known_words, numbers = sent.value[lang]
+                    at = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
+                    place = pc.fill_null(pc.index_in(words.take(pa.array(at)), known_words), -1).to_numpy()
+                    found[at[place >= 0]] = numbers[place[place >= 0]]
+            return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, code, number = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-                id_of = np.full(int(codes.max()) + 2, -1, np.int32)
-                id_of[code] = number
-                ids = id_of[codes]
+                codes = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+                ids = ids_of(batch, i, codes)[codes]
                 # Runs of breaks are one break.
                 keep = np.append(True, (ids[1:] >= 0) | (ids[:-1] >= 0))
                 own = int(np.count_nonzero(keep[: batch.column(0)[i].as_py()]))
@@ -295,7 +323,7 @@ def extended(coded: DataFrame, trie: DoubleArray, depth: int, whole: bool) -> Da
 
 
 def accepted(coded: DataFrame, trie: DoubleArray, depth: int) -> DataFrame:
-    """``state, n``: occurrences of every phrase of two or more words of the trie."""
+    """``state, n``: occurrences of every phrase of two or more words of the trie. Tasks hand on sums of runs of states."""
     sent = coded.sparkSession.sparkContext.broadcast(trie.arrays())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,16 +331,38 @@ def accepted(coded: DataFrame, trie: DoubleArray, depth: int) -> DataFrame:
         for batch in batches:
             for level, at, states, ids, own in through(sent, batch, depth):
                 if total is None:
-                    total = np.zeros(len(sent.value[0]), np.int64)
+                    total = np.zeros(-(-len(sent.value[0]) // STATE_RUN) * STATE_RUN, np.int64)
                 if level > 1:
                     total += np.bincount(states[own[at]], minlength=len(total))
         if total is not None:
-            state = np.flatnonzero(total)
-            for a in range(0, len(state), 200_000):
-                some = state[a : a + 200_000]
-                yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["state", "n"])
+            total = total.reshape(-1, STATE_RUN)
+            some = np.flatnonzero(total.any(axis=1))
+            ends = np.arange(0, len(some) * STATE_RUN + 1, STATE_RUN, dtype=np.int32)
+            sums = pa.ListArray.from_arrays(pa.array(ends), pa.array(total[some].ravel()))
+            yield pa.record_batch([pa.array(some), sums], names=["run", "sums"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
 
-    return in_arrow(coded, run, "state bigint, n bigint").groupBy("state").agg(F.sum("n").alias("n"))
+        def done() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.record_batch([pa.array(now * STATE_RUN + at), pa.array(total[at])], names=["state", "n"])
+
+        for batch in batches:
+            for run_, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums = sums.values.to_numpy(zero_copy_only=False)
+                if run_ == now:
+                    total = total + sums
+                    continue
+                if now is not None:
+                    yield done()
+                now, total = run_, sums
+        if now is not None:
+            yield done()
+
+    runs = in_arrow(coded, run, "run bigint, sums array<bigint>")
+    runs = runs.repartition(parts(coded.sparkSession), "run").sortWithinPartitions("run")
+    return in_arrow(runs, add_up, "state bigint, n bigint")
 
 
 def _edges(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
