@@ -435,6 +435,24 @@ ORACLE.update(
         f"""SELECT qid::BIGINT AS qid, doc_id, score, rank::INTEGER AS rank FROM (SELECT *, {rank('score')} AS rank FROM (
             SELECT qid, doc_id, round(list_cosine_similarity(vec, v), 9) AS score FROM vecs CROSS JOIN centers WHERE doc_id % 5 > 1)) WHERE rank <= 20""",
     ),
+    knn_cells_fixed=sql(
+        "vecs", "centers",
+        """SELECT qid::BIGINT AS qid, doc_id, score, rank::INTEGER AS rank FROM (
+          WITH pts AS (SELECT doc_id, vec::DOUBLE[] AS m FROM vecs),
+          to_coarse AS (SELECT p.doc_id, c.doc_id AS c, row_number() OVER (PARTITION BY p.doc_id
+              ORDER BY round(list_cosine_similarity(p.m, c.m), 9) DESC, c.doc_id) AS r FROM pts p CROSS JOIN pts c WHERE c.doc_id < 4),
+          home AS (SELECT doc_id, c FROM to_coarse WHERE r = 1),
+          fine AS (SELECT p.doc_id AS f, p.m, h.c FROM pts p JOIN home h USING (doc_id) WHERE p.doc_id < 36),
+          own AS (SELECT doc_id, f FROM (SELECT p.doc_id, f, row_number() OVER (PARTITION BY p.doc_id
+              ORDER BY round(list_cosine_similarity(p.m, fine.m), 9) DESC, f) AS r
+              FROM pts p JOIN home h USING (doc_id) JOIN fine ON fine.c = h.c) WHERE r = 1),
+          near_coarse AS (SELECT qid, v, c FROM (SELECT qid, v, c.doc_id AS c, row_number() OVER (PARTITION BY qid
+              ORDER BY round(list_cosine_similarity(v, c.m), 9) DESC, c.doc_id) AS r FROM centers CROSS JOIN pts c WHERE c.doc_id < 4) WHERE r <= 2),
+          near_fine AS (SELECT qid, v, f FROM (SELECT qid, v, f, row_number() OVER (PARTITION BY qid
+              ORDER BY round(list_cosine_similarity(v, m), 9) DESC, f) AS r FROM near_coarse JOIN fine USING (c)) WHERE r <= 9),
+          scored AS (SELECT qid, doc_id, round(list_cosine_similarity(m, v), 9) AS score FROM near_fine JOIN own USING (f) JOIN pts USING (doc_id))
+          SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 20""",
+    ),
     knn_int8=sql("near_codes", "SELECT qid::BIGINT AS qid, doc_id, score, rank::INTEGER AS rank FROM near_codes WHERE rank <= 20"),
     knn_int8_rescored=sql(
         "near_codes",
@@ -483,6 +501,8 @@ ORACLE.update(
             semantic_rank::INTEGER AS semantic_rank, keyword_rank::INTEGER AS keyword_rank FROM fused_top JOIN mails USING (doc_id)""",
     ),
     hybrid_search=sql("hits", "SELECT * FROM hits"),
+    search_neither="SELECT 0::BIGINT AS qid, 0::INTEGER AS rank, 0::BIGINT AS doc_id, 0::DOUBLE AS rrf_score WHERE false",
+    search_mixed_legs=sql("hits", "SELECT * FROM hits WHERE qid % 3 <> 0"),
     semantic_only=sql(
         "semantic",
         "SELECT qid, rank::INTEGER AS rank, doc_id, round(1.0::DOUBLE / (60 + rank), 6) AS rrf_score, rank::INTEGER AS semantic_rank FROM semantic",

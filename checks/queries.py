@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import recipes as r
 from mailrank.functions import mail, text, vectors as vec
-from mailrank.operators import embed, fusion, hits, index, ivf, keyword, knn, match, parse, quantise
+from mailrank.operators import cells, embed, fusion, hits, index, ivf, keyword, knn, match, parse, quantise
 from mailrank.operators.queries import normalise_queries, target_terms
 from mailrank.plans.build import build_search_tables
 from mailrank.plans.search import hybrid_search, keyword_search
@@ -490,12 +490,28 @@ def knn_ivf(spark, sf_dir):
     return knn.knn_ivf(cells, centroids, _label_queries(spark, sf_dir), 20, IVF_CELLS)
 
 
+FEW_RECALL = 0.95
+
+
 @query
 def knn_ivf_few_cells(spark, sf_dir):
-    path = fresh_path(spark, "ivf")
-    ivf.write_ivf(*ivf.build_ivf(r.vectors(spark, sf_dir), IVF_CELLS), path)
-    centroids, cells = ivf.read_ivf(spark, path)
-    return knn.knn_ivf(cells, centroids, _label_queries(spark, sf_dir), 20, 2)
+    """Two levels of cells, as many of them looked into as hold 95 % of the exact neighbours."""
+    asked = _label_queries(spark, sf_dir)
+    made = cells.build_cells(r.vectors(spark, sf_dir), cell_rows=50).write(fresh_path(spark, "cells"))
+    nprobe, coarse_probes, _ = cells.choose_probes(made, asked, 20, FEW_RECALL)
+    return cells.knn_cells(made, asked, 20, nprobe, coarse_probes)
+
+
+@query
+def knn_cells_fixed(spark, sf_dir):
+    """Two levels of cells with given centres: vectors 0 to 3, and 0 to 35 below them."""
+    rows = r.vectors(spark, sf_dir)
+    coarse = rows.where("doc_id < 4").select(F.col("doc_id").cast("int").alias("cell"), F.col("vec").cast("array<double>").alias("center"))
+    below = rows.where("doc_id < 36").select("doc_id", "vec")
+    homes = cells.assign(below, coarse, coarse.select(F.col("cell").alias("doc_id"), F.col("center").alias("vec"), "cell")).vectors
+    fine = homes.select(F.col("doc_id").cast("int").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"), F.col("coarse").alias("cell"))
+    made = cells.assign(rows, coarse, fine).write(fresh_path(spark, "cells"))
+    return cells.knn_cells(made, _label_queries(spark, sf_dir), 20, 9, 2)
 
 
 @query
@@ -635,6 +651,22 @@ def semantic_only(spark, sf_dir):
     return _hybrid(spark, sf_dir, asked).select("qid", "rank", "doc_id", "rrf_score", "semantic_rank")
 
 
+@query
+def search_neither(spark, sf_dir):
+    """Searches with neither a text nor a target have no hits."""
+    asked = r.searches(spark, sf_dir).withColumns({"query_text": F.lit("-"), "target": F.lit(" ")})
+    return _hybrid(spark, sf_dir, asked).select("qid", "rank", "doc_id", "rrf_score")
+
+
+@query
+def search_mixed_legs(spark, sf_dir):
+    """One batch in which every third search has neither a text nor a target."""
+    none = F.pmod("qid", F.lit(3)) == 0
+    asked = r.searches(spark, sf_dir)
+    asked = asked.withColumns({c: F.when(none, F.lit("-")).otherwise(F.col(c)) for c in ("query_text", "target")})
+    return _hybrid(spark, sf_dir, asked)
+
+
 @query
 def keyword_only(spark, sf_dir):
     asked = r.searches(spark, sf_dir).withColumn("query_text", F.lit("-"))

@@ -136,6 +136,9 @@ def _scan(vectors: DataFrame, queries: pa.Table, kernel: Kernel, probes: pa.Tabl
     spark = vectors.sparkSession
     there, units, good = _asked(queries["vec"])
     qids = queries["qid"].to_numpy()[there][good]
+    if not len(qids):
+        # Nothing asks, so no vector is looked at.
+        return spark.createDataFrame([], "qid BIGINT, doc_id BIGINT, score DOUBLE")
     wanted = None
     if probes is not None:
         place = {q: i for i, q in enumerate(qids.tolist())}
@@ -213,6 +216,7 @@ def _grid(
         if vector_rows.num_rows and query_rows.num_rows:
             there, units, good = _asked(query_rows["vec"])
             qids = query_rows["qid"].to_numpy()[there][good]
+        if len(qids):
             fits, matrix = kernel.fitting(vector_rows["vec"], units.shape[1])
             found = kernel.batch(vector_rows["doc_id"].to_numpy()[fits], matrix, units[good])
         query, ids, scores = found

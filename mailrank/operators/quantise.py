@@ -12,15 +12,16 @@ def value_bounds(vectors: DataFrame, confidence: float = 1.0, accuracy: int = 10
     """The value range the codes span.
 
     ``confidence`` 1 takes the exact smallest and largest value; less takes the quantiles
-    that leave out ``1 - confidence`` of the values, half at each end.
+    that leave out ``1 - confidence`` of the values, half at each end. Without any value the
+    range is ``(0, 0)``.
     """
     if confidence >= 1.0:
         row = vectors.agg(F.min(F.array_min("vec")), F.max(F.array_max("vec"))).first()
-        return float(row[0]), float(row[1])
+        return (0.0, 0.0) if row[0] is None else (float(row[0]), float(row[1]))
     tail = (1.0 - confidence) / 2
     values = vectors.select(F.explode("vec").alias("x"))
     found = values.agg(F.percentile_approx("x", [tail, 1.0 - tail], accuracy)).first()[0]
-    return float(found[0]), float(found[1])
+    return (0.0, 0.0) if found is None else (float(found[0]), float(found[1]))
 
 
 def quantise_int8(vectors: DataFrame, bounds: tuple[float, float], keep: tuple[str, ...] = ()) -> DataFrame:

@@ -40,11 +40,10 @@ def build_vector_index(
     path: str,
     n_cells: int | None = None,
     confidence: float = 1.0,
-    train_fraction: float = 1.0,
 ) -> VectorIndex:
     """Quantise and group ``(doc_id, vec)``, write the result below ``path`` and open it."""
     spark = vectors.sparkSession
-    centroids, cells = build_ivf(vectors, n_cells, train_fraction=train_fraction)
+    centroids, cells = build_ivf(vectors, n_cells)
     bounds = value_bounds(vectors, confidence)
     write_ivf(centroids, quantise_int8(cells, bounds, keep=("cell",)), path)
     spark.createDataFrame([bounds], "lo DOUBLE, hi DOUBLE").write.mode("overwrite").parquet(f"{path}/bounds")

@@ -5,7 +5,7 @@ from mailrank import session
 from mailrank.functions.text import phone_digits
 from mailrank.operators.parse import parse_messages
 from mailrank.sources import emails as em
-from mailrank.sources.mail_csv import read_mail_csv, write_mail_csv
+from mailrank.sources.mail_csv import read_mail_csv, split_mail_csv, write_mail_csv
 
 RAW = [("a/1.", 'From: x\n\n"quoted" body, with comma\n\n tail '), ("a/2.", ""), ("", "Subject: s\n\n\tb")]
 
@@ -33,6 +33,47 @@ def test_csv_headers_of_two_orders(spark, tmp_path):
         read_mail_csv(spark, str(tmp_path)).collect()
 
 
+def odd_mails():
+    bodies = ['plain', 'a "quoted" word', 'two\nlines', '"', '""\n"', ',\n,', '\n\n\n', "é" * 30 + "\n", "x" * 700 + '"\n' + "y" * 700]
+    return [(f"f{i}", f"Subject: {i}\n\n" + bodies[i % len(bodies)] * (1 + i % 3)) for i in range(120)]
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    rows = odd_mails()
+    write_mail_csv(spark.createDataFrame(rows, "file STRING, message STRING").coalesce(1), str(tmp_path / "csv"))
+    whole = sorted(map(tuple, read_mail_csv(spark, str(tmp_path / "csv"), split=False).collect()))
+    assert whole == sorted(rows)
+    size = "spark.sql.files.maxPartitionBytes"
+    before, opened = spark.conf.get(size), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for share in ("1500", "211", "64"):
+            spark.conf.set(size, share)
+            assert spark.read.text(str(tmp_path / "csv")).rdd.getNumPartitions() >= 8
+            # Chosen by itself, as the file is larger than a task's share.
+            assert sorted(map(tuple, read_mail_csv(spark, str(tmp_path / "csv")).collect())) == whole
+        late = split_mail_csv(spark, str(tmp_path / "csv"))
+        spark.conf.set(size, "333")
+        with pytest.raises(Exception, match="other blocks"):
+            late.collect()
+    finally:
+        spark.conf.set(size, before)
+        spark.conf.set("spark.sql.files.openCostInBytes", opened)
+
+
+def test_split_csv_headers_and_line_ends(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('\ufeffextra,message,file\r\n1,"Subject: a ""b""\r\n\r\nbody",f1\r\n2,,f2\r\n\r\n3\r\n'.encode() + b'4,\xff,f4')
+    got = {r.file: r.message for r in split_mail_csv(spark, str(tmp_path / "a.csv")).collect()}
+    assert got == {"f1": 'Subject: a "b"\r\n\r\nbody', "f2": "", "": "", "f4": "\ufffd"}
+    (tmp_path / "b.csv").write_text("message,file\nSubject: b,f2\n")
+    with pytest.raises(ValueError, match="header"):
+        split_mail_csv(spark, str(tmp_path))
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "c.csv").write_text("")
+    assert split_mail_csv(spark, str(tmp_path / "none")).count() == 0
+    assert {r.file for r in read_mail_csv(spark, [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")], split=True).collect()} == {"f1", "f2", "", "f4"}
+
+
 def test_emails_table_appends(spark, tmp_path):
     emails = parse_messages(spark.createDataFrame(RAW, "file STRING, message STRING"), 0)
     for times in (1, 2):
