@@ -7,7 +7,8 @@ archive. The sparse directory, a Parquet table, has one row for each block with
 last key. A lookup searches the directory, then by bisection the lines of the blocks that may
 hold a key, and reads only the byte range of the archive it needs. Files carry a name of their
 own for each attempt and count only once the directory lists them, so a task that is lost or
-runs twice leaves no half-written capture behind.
+runs twice leaves no half-written capture behind. Many URLs are looked up as a table: they go to
+their archives by the archives' bounds, and there to blocks and lines by bisection.
 
 Of captures with equal payloads (SHA-1 and length) of at least ``MIN_DEDUP`` bytes, the one of
 the largest id is the response and the others revisit it.
@@ -25,7 +26,7 @@ import bisect
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote, urlparse
 
 import pyarrow as pa
@@ -64,17 +65,25 @@ def url_key(url: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """``key, page_id, url, payload, digest, refers_to``: what is a response and what revisits it."""
+    """``key, page_id, digest, n, url, payload, refers_to``: one row for each page with its payload, and
+    before those that revisit another page a narrow row that says which (``payload`` is null there).
+
+    What is equal is found on narrow rows, so payloads are moved only once, when archives are written.
+    """
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("html", F.lit("")).alias("payload"),
     )
     rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload"), "key": url_key(F.col("url"))})
-    shared = rows.where(F.col("n") >= MIN_DEDUP).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies"))
-    rows = rows.join(shared.where("copies > 1 and keeper is not null").drop("copies"), ["digest", "n"], "left")
-    revisits = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return rows.select("key", "page_id", "url", "payload", "digest", F.when(revisits, F.col("keeper")).alias("refers_to"))
+    narrow = rows.select("key", "page_id", "digest", "n").where(F.col("n") >= MIN_DEDUP)
+    shared = narrow.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies"))
+    shared = shared.where("copies > 1 and refers_to is not null").drop("copies")
+    revisits = narrow.distinct().join(shared, ["digest", "n"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    kept = ["key", "page_id", "digest", "n", "url", "payload"]
+    return revisits.select(*kept[:4], F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "refers_to").unionByName(
+        rows.select(*kept, F.lit(None).cast("bigint").alias("refers_to"))
+    )
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -173,21 +182,25 @@ class _Archive:
 def write_archives(rows: DataFrame, folder: str) -> None:
     """Write ``captures`` rows below ``folder``; the directory is a table in ``folder/directory``."""
     spark = rows.sparkSession
-    order = ["key", "page_id"]
-    rows = rows.select(*order, "url", "payload", "digest", "refers_to")
-    rows = rows.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
+    place = ["key", "page_id", "digest", "n"]
+    # A narrow row, without a payload, comes before the rows it is about.
+    rows = rows.select(*place, "payload", "url", "refers_to")
+    rows = rows.repartitionByRange(parts(spark), *place).sortWithinPartitions(*place, F.col("payload").isNotNull())
     files, root = store(folder)
     files.create_dir(f"{root}/data", recursive=True)
     kinds = {f.name: pa.int32() if f.dataType.simpleString() == "int" else pa.int64() if f.dataType.simpleString() == "bigint" else pa.string() for f in spark.createDataFrame([], DIRECTORY).schema}
     schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive = None
+        archive, told, target = None, None, None
         for batch in batches:
             done = []
-            for key, page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, page_id, digest, n, payload, url, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+                if payload is None:
+                    told, target = (key, page_id, digest, n), refers_to
+                    continue
                 archive = archive or _Archive(f"{folder}/data")
-                row = archive.add(key, record(page_id, url, payload.encode(), digest, refers_to))
+                row = archive.add(key, record(page_id, url, payload.encode(), digest, target if told == (key, page_id, digest, n) else None))
                 if row:
                     done.append(row)
             if done:
@@ -200,57 +213,118 @@ def write_archives(rows: DataFrame, folder: str) -> None:
     in_arrow(rows, run, DIRECTORY).write.parquet(f"{folder}/directory")
 
 
-def read_archives(spark: SparkSession, folder: str, urls: list[str] | None = None) -> DataFrame:
-    """Captures read back through the index: all, or those of a bounded list of URLs.
+def blocks_with(spark: SparkSession, folder: str, urls: DataFrame) -> DataFrame:
+    """The directory's blocks that may hold a URL of ``urls`` (``url``), each with the ``keys`` asked of it.
 
-    ``page_id, payload_bytes, payload_digest, record_type, refers_to, payload`` (null for revisits).
+    Archives cover ranges of keys, so a search of their bounds, of which there are as many as
+    writing tasks, says which archive a key goes to; there it is searched among the archive's blocks.
+    """
+    directory = spark.read.schema(DIRECTORY).parquet(f"{folder}/directory")
+    bounds = directory.groupBy("archive").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).toArrow().to_pylist()
+    bounds = sorted((b["lo"].encode(), b["hi"].encode(), b["archive"]) for b in bounds)
+    los = [b[0] for b in bounds]
+    # Where the last keys of archives before are not below a key, it may be there as well.
+    highest = [max((b[1] for b in bounds[: i + 1]), default=b"") for i in range(len(bounds))]
+    sent = spark.sparkContext.broadcast((los, highest, bounds))
+    keys = urls.select(url_key(F.coalesce("url", F.lit(""))).alias("key")).distinct()
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        los, highest, bounds = sent.value
+        for batch in batches:
+            found, archives = [], []
+            for key in batch.column(0).to_pylist():
+                raw = key.encode()
+                i = bisect.bisect_right(los, raw) - 1
+                while i >= 0 and highest[i] >= raw:
+                    if bounds[i][1] >= raw:
+                        found.append(key)
+                        archives.append(bounds[i][2])
+                    i -= 1
+            yield pa.record_batch([pa.array(found, pa.string()), pa.array(archives, pa.string())], names=["key", "archive"])
+
+    asked = in_arrow(keys, homes, "key string, archive string")
+    columns = [c.split()[0] for c in DIRECTORY.split(", ")]
+
+    def meet(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
+        # Keys of one archive; sorted by bytes, as its blocks are.
+        keys = sorted(x.encode() for x in wanted["key"].to_pylist())
+        rows = []
+        for block in blocks.to_pylist():
+            a = bisect.bisect_left(keys, block["first_key"].encode())
+            b = bisect.bisect_right(keys, block["last_key"].encode())
+            if a < b:
+                rows.append([block[c] for c in columns] + [[k.decode() for k in keys[a:b]]])
+        kinds = [*(blocks.schema.field(c).type for c in columns), pa.list_(pa.string())]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[*columns, "keys"])
+
+    return directory.groupBy("archive").cogroup(asked.groupBy("archive")).applyInArrow(meet, f"{DIRECTORY}, keys array<string>")
+
+
+def reads(lines: list[bytes], keys: list[bytes] | None) -> Iterator[list[tuple[int, int]]]:
+    """Runs of neighbouring captures ``(offset, length)`` that an index block holds of the sorted ``keys``, found by bisection."""
+    if keys is not None:
+        own = [x.split(b"\t", 1)[0] for x in lines]
+        lines = [y for k in keys for y in lines[bisect.bisect_left(own, k) : bisect.bisect_right(own, k)]]
+    run: list[tuple[int, int]] = []
+    for line in lines:
+        at, n = map(int, line.split(b"\t")[1:])
+        if run and at != run[-1][0] + run[-1][1]:
+            yield run
+            run = []
+        run.append((at, n))
+    if run:
+        yield run
+
+
+def read_block(block: dict, read: Callable[[str, int, int], bytes]) -> Iterator[dict]:
+    """Records of one directory row, of its ``keys`` if there are any; ``read`` takes a path, an offset and a length."""
+    lines = zlib.decompress(read(block["index"], block["index_offset"], block["index_length"])).split(b"\n")
+    keys = None if block.get("keys") is None else [k.encode() for k in block["keys"]]
+    for run in reads(lines, keys):
+        start, end = run[0][0], run[-1][0] + run[-1][1]
+        held = read(block["archive"], block["archive_offset"] + start, end - start)
+        for at, n in run:
+            yield parse_record(held[at - start : at - start + n])
+
+
+def read_range(path: str, offset: int, length: int) -> bytes:
+    files, at = store(path)
+    with files.open_input_file(at) as f:
+        return f.read_at(length, offset)
+
+
+def read_archives(spark: SparkSession, folder: str, urls: DataFrame | list[str] | None = None, payloads: bool = True) -> DataFrame:
+    """Captures read back through the index: all, or those of ``urls`` (a list, or a table with ``url``).
+
+    ``page_id, payload_bytes, payload_digest, record_type, refers_to``, and with ``payloads``
+    ``payload`` (null for revisits). Each capture comes once, however often its URL is asked for.
     """
     directory = spark.read.schema(DIRECTORY).parquet(f"{folder}/directory")
-    asked = None
     if urls is not None:
-        found = spark.createDataFrame([(u,) for u in urls], "url string").select(url_key(F.col("url"))).collect()
-        asked = sorted({r[0] for r in found}, key=str.encode)
-        if not asked:
-            directory = directory.limit(0)
-        else:
-            directory = directory.where((F.col("first_key") <= asked[-1]) & (F.col("last_key") >= asked[0]))
-    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        asked = urls if isinstance(urls, DataFrame) else spark.createDataFrame([(u,) for u in urls], "url string")
+        directory = blocks_with(spark, folder, asked)
+    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    if payloads:
+        schema, kinds = f"{schema}, payload binary", [*kinds, pa.binary()]
     fields = pa.schema(list(zip([x.split()[0] for x in schema.split(", ")], kinds)))
-    sorted_keys = None if asked is None else [a.encode() for a in asked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.to_pylist():
-                keys = sorted_keys
-                if keys is not None:
-                    lo = bisect.bisect_left(keys, block["first_key"].encode())
-                    hi = bisect.bisect_right(keys, block["last_key"].encode())
-                    keys = keys[lo:hi]
-                    if not keys:
-                        continue
-                files, path = store(block["index"])
-                with files.open_input_file(path) as f:
-                    lines = zlib.decompress(f.read_at(block["index_length"], block["index_offset"])).split(b"\n")
-                if keys is not None:
-                    own = [x.split(b"\t", 1)[0] for x in lines]
-                    lines = [y for k in keys for y in lines[bisect.bisect_left(own, k) : bisect.bisect_right(own, k)]]
-                    if not lines:
-                        continue
-                spans = [tuple(map(int, x.split(b"\t")[1:])) for x in lines]
-                start, end = spans[0][0], max(a + n for a, n in spans)
-                files, path = store(block["archive"])
-                with files.open_input_file(path) as f:
-                    held = f.read_at(end - start, block["archive_offset"] + start)
-                yield pa.RecordBatch.from_pylist([parse_record(held[a - start : a - start + n]) for a, n in spans], fields)
+                found = list(read_block(block, read_range))
+                if found:
+                    yield pa.RecordBatch.from_pylist([{k: r[k] for k in fields.names} for r in found], fields)
 
     return in_arrow(directory.repartition(parts(spark)), run, schema)
 
 
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
-    write_archives(captures(table(spark, sf_dir, "pages")), folder)
-    return read_archives(spark, folder).drop("payload")
+    pages = table(spark, sf_dir, "pages")
+    write_archives(captures(pages), folder)
+    # Every page's URL is looked up in the index.
+    return read_archives(spark, folder, pages.select("url"), payloads=False)
 
 
 SQL = """

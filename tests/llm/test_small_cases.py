@@ -140,6 +140,28 @@ def test_warc(spark):
     assert warc.read_archives(spark, folder).count() == 0
 
 
+def test_warc_reads_only_what_is_asked(spark):
+    pages = spark.range(3000).select(
+        F.col("id").alias("page_id"), F.format_string("http://h%d.example/p%d", F.col("id") % 40, F.col("id")).alias("url"),
+        F.concat(F.lit("<p>"), F.sha2(F.col("id").cast("string"), 512)).alias("html"), F.lit("x").alias("key"), F.lit(1).alias("refers_to"))
+    folder = fresh_path(spark, "warc")
+    warc.write_archives(warc.captures(pages), folder)
+    asked = [f"http://h{i % 40}.example/p{i}" for i in (7, 1900)] + ["http://h7.example/none"]
+    blocks = warc.blocks_with(spark, folder, spark.createDataFrame([(u,) for u in asked], "url string")).collect()
+    read, size = [], sum(r.archive_length for r in spark.read.parquet(f"{folder}/directory").collect())
+
+    def counted(path, offset, length):
+        read.append((path, length))
+        return warc.read_range(path, offset, length)
+
+    found = [r for b in blocks for r in warc.read_block(b.asDict(), counted)]
+    assert sorted(r["page_id"] for r in found) == [7, 1900] and len(blocks) <= 3
+    assert sum(n for p, n in read if p.endswith(".warc.gz")) < size / 500
+    # A table of URLs: all pages, some twice, each capture once.
+    every = warc.read_archives(spark, folder, pages.select("url").union(pages.select("url").limit(50)), payloads=False)
+    assert sorted(r.page_id for r in every.collect()) == list(range(3000)) and "payload" not in every.columns
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(5)
     f = [np.unique(rng.integers(0, 60, rng.integers(0, 9))) for _ in range(500)]
