@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from mailrank.llm.common import by_arrow, chunks, in_arrow, ranges, slices, table, utf8
+from mailrank.llm.common import by_arrow, chunks, in_arrow, ranges, received, sent, slices, table, utf8
 
 CACHED_MERGES = 200_000  # merged pre-tokens one task keeps
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -223,12 +223,12 @@ class _Encoder:
 
 def encode(docs: DataFrame, bpe: Bpe, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``, the text's token ids (a column of that name is replaced)."""
-    sent = docs.sparkSession.sparkContext.broadcast(bpe)
+    model = sent(docs.sparkSession, bpe)
     kept = docs.drop("ids")
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = sent.value.encoder()
+        encoder = received(model).encoder()
         for whole in batches:
             for batch in slices(whole, at):
                 ids, n = encoder.ids(batch.column(at))
@@ -247,10 +247,10 @@ def decode(ids: np.ndarray, n: np.ndarray, vocabulary: pa.Array) -> tuple[np.nda
 
 def digests(encoded: DataFrame, bpe: Bpe) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded rows; the bytes come from the ids."""
-    sent = encoded.sparkSession.sparkContext.broadcast(bpe.tokens)
+    tokens = encoded.sparkSession.sparkContext.broadcast(bpe.tokens)
 
     def make():
-        vocabulary = pa.array(sent.value, pa.binary())
+        vocabulary = pa.array(tokens.value, pa.binary())
         decimal = pa.array([b"%d," % i for i in range(len(vocabulary))], pa.binary())
 
         def sha(data: np.ndarray, off: np.ndarray, cut: int) -> list[str]:
@@ -288,13 +288,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     bpe = Bpe(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
     encoded = encode(docs, bpe)
-    sent = spark.sparkContext.broadcast(bpe.tokens)
+    tokens = spark.sparkContext.broadcast(bpe.tokens)
     kept = [c for c in encoded.columns if c not in ("n_tokens", "round_trip")]
     rows = encoded.select(*kept)
     at, ids_at = kept.index("text"), kept.index("ids")
 
     def make():
-        vocabulary = pa.array(sent.value, pa.binary())
+        vocabulary = pa.array(tokens.value, pa.binary())
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             lists = batch.column(ids_at)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,34 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent(spark: SparkSession, value):
+    """Broadcast an object with the code of its class, so that tasks need no copy of the package; see :func:`received`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast):
+    return pickle.loads(broadcast.value)
+
+
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carrying(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage on documents with further columns: they ride along as one, so no name can clash with the stage's own."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        more = [c for c in names if c not in DOCUMENT]
+        if not more:
+            return stage(spark, docs, sf_dir)
+        packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(more)])
+        out = stage(spark, docs.select(*[c for c in names if c in DOCUMENT], packed.alias("_carried")), sf_dir)
+        return out.select(*[F.col("_carried")[f"c{more.index(c)}"].alias(c) if c in more else c for c in names])
+
+    return run
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

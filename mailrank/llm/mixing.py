@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import WORD, table, written
+from mailrank.llm.common import carrying, WORD, table, written
 
 LEVELS = ["domain", "lang", "source"]
 SEED = 20
@@ -169,9 +169,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(sizes, sizes).select(*SIZES, "epoch", "take_tokens")
 
 
+@carrying
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once for each epoch that takes tokens of them; a text is never cut, so the last
-    document of a leaf's prefix stays whole."""
+    document of a leaf's prefix stays whole. Columns of any other name come along unchanged."""
     names = docs.columns
     rows = keyed(docs.withColumns({"_lang": F.col("lang"), "_source": F.col("source")}))
     out = mixed(rows, written(rows.select(*SIZES), "sizes"))

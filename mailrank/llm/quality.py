@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailrank.functions.binding import let
-from mailrank.llm.common import table, words, written
+from mailrank.llm.common import carrying, table, words, written
 
 MIN_WORDS = 20
 REPEATED_PERCENT = 30
@@ -114,8 +114,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(rows).select("doc_id", *MEASURES, "base_failed", "kept")
 
 
+@carrying
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are kept, with the columns they came with."""
+    """Documents that are kept, with the columns they came with, of any name."""
     names = docs.columns
     flagged = measured(docs).select(*names, "base_failed")
     # Texts of failed rows are not needed again, the rows count for their hosts.

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import dropped, in_arrow, parts, ranges, slices, strings, table, utf8, written
+from mailrank.llm.common import carrying, dropped, in_arrow, parts, ranges, slices, strings, table, utf8, written
 from mailrank.llm.suffixes import repeated_windows
 
 LENGTH = 100
@@ -332,8 +332,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[first].tolist(), ends[np.append(first[1:], len(starts)) - 1].tolist()))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_bytes``, ``_removed``, ``_spans`` and ``_kept`` (the bytes that stay)."""
+def without_repeats(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
+    """``docs`` with ``_bytes``, ``_removed``, ``_spans`` and ``_kept`` (the bytes that stay).
+
+    With ``whole_characters`` a character that loses one of its bytes loses all.
+    """
     names = docs.columns
     rows = numbered(docs)
     rows = rows.join(repeated_spans(rows), "_rid", "left").select(*names, "spans")
@@ -353,6 +356,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     for a, b in (found := merged(starts[n[i] : n[i + 1]], ends[n[i] : n[i + 1]])):
                         keep[off[i] + a : off[i] + b] = False
                     runs[i] = len(found)
+                if whole_characters and not keep.all():
+                    # Every byte that does not continue a character starts one.
+                    first = np.flatnonzero((data & 0xC0) != 0x80)
+                    if len(first):
+                        keep = np.repeat(np.logical_and.reduceat(keep, first), np.diff(np.append(first, len(data))))
                 upto = np.concatenate([[0], np.cumsum(keep)])[off]
                 size = np.diff(off)
                 columns = [pa.array(size), pa.array(size - np.diff(upto)), pa.array(runs), strings(data[keep], upto, pa.binary())]
@@ -372,13 +380,13 @@ def op5_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@carrying
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated bytes, and ``n_chars`` anew where bytes went; all rows stay.
-    Bytes of a character that was cut apart go too."""
-    out = without_repeats(docs)
-    kept = F.col("_kept").cast("string")
-    kept = F.when(F.is_valid_utf8(kept), kept).otherwise(F.regexp_replace(F.make_valid_utf8(kept), "\ufffd", ""))
-    out = out.withColumn("text", F.when(F.col("_removed") > 0, kept).otherwise(F.col("text")))
+    What is left of a character that was cut apart goes too, and nothing else: a replacement
+    character that the text held itself stays. Columns of any other name come along unchanged."""
+    out = without_repeats(docs, whole_characters=True)
+    out = out.withColumn("text", F.when(F.col("_removed") > 0, F.col("_kept").cast("string")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

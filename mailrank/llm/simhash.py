@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailrank.llm.common import in_arrow, parts, slices, table, utf8, written
+from mailrank.llm.common import carrying, in_arrow, parts, slices, table, utf8, written
 from mailrank.llm.components import components
 
 SEED = 42
@@ -273,6 +274,8 @@ SIMILAR = (4, 5)  # similarity of shingle sets from which documents are near-dup
 # Two fingerprints of 64 bits a text. Texts at the threshold differ in 19 of 128 bits on average.
 PAIR_BUDGET = 28  # of both
 WORD_BUDGET = 18  # of the one a trie holds; one bit at most of its first quarter
+BLOCK_NODES = 1_024  # texts that are compared at once, twice as many where two blocks meet,
+BLOCK_SHINGLES = 500_000  # with as many shingles, or one longer text
 
 
 def mixed_again(hashes: np.ndarray) -> np.ndarray:
@@ -284,8 +287,8 @@ def mixed_again(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, sets: bool) -> DataFrame:
-    """``docs`` with, in place of ``text``, ``t`` (a hash of all its shingles in order) and the fingerprints
-    ``f0, f1``, or with ``sets`` ``t`` and the distinct shingles ``s``."""
+    """``docs`` with, in place of ``text``, ``t`` (a hash of all its shingles in order), and the fingerprints ``f0, f1``
+    and number ``n`` of its distinct shingles, or with ``sets`` the distinct shingles ``s`` themselves."""
     kept = [c for c in docs.columns if c != "text"]
     rows = docs.select(*kept, "text")
     at = len(kept)
@@ -299,54 +302,165 @@ def sketches(docs: DataFrame, shingle: int, sets: bool) -> DataFrame:
                 ends = np.cumsum(counts)
                 each = [hashes[e - n : e] for e, n in zip(ends.tolist(), counts.tolist())]
                 t = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in each], np.uint64).view(np.int64))
+                each = [np.unique(h) for h in each]
                 if sets:
-                    s = pa.array([np.unique(h).view(np.int64) for h in each], pa.list_(pa.int64()))
+                    s = pa.array([h.view(np.int64) for h in each], pa.list_(pa.int64()))
                     yield pa.record_batch([*batch.columns[:at], t, s], names=[*kept, "t", "s"])
                 else:
-                    prints = [pa.array(majority(h, counts).view(np.int64)) for h in (hashes, mixed_again(hashes))]
-                    yield pa.record_batch([*batch.columns[:at], t, *prints], names=[*kept, "t", "f0", "f1"])
+                    # Of sets, as what decides later: a shingle said again changes nothing.
+                    n = np.fromiter(map(len, each), np.int64, len(each))
+                    once = np.concatenate([np.zeros(0, np.uint64), *each])
+                    prints = [pa.array(majority(h, n).view(np.int64)) for h in (once, mixed_again(once))]
+                    yield pa.record_batch([*batch.columns[:at], t, *prints, pa.array(n)], names=[*kept, "t", "f0", "f1", "n"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
-    return in_arrow(rows, run, schema + ("t bigint, s array<bigint>" if sets else "t bigint, f0 bigint, f1 bigint"))
+    return in_arrow(rows, run, schema + ("t bigint, s array<bigint>" if sets else "t bigint, f0 bigint, f1 bigint, n bigint"))
 
 
-def trie_pairs(nodes: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of ``nodes`` (``t, f0, f1, label``, a written table) of different labels within both budgets.
+def _proposed(r: int, home: list[np.ndarray], guests: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of different labels within both budgets that the traversal of two tries finds, and their bits."""
+    x, y, _, label, _ = home
+    gx, gy, _, glabel, _ = guests or home
+    i, j = pairs_within(x, gx, WORD_BUDGET, 1)
+    bits = np.bitwise_count(x[i] ^ gx[j]).astype(np.int32) + np.bitwise_count(y[i] ^ gy[j])
+    good = (bits <= PAIR_BUDGET) & (label[i] != glabel[j])
+    if guests is None:
+        good &= i < j
+    return i[good], j[good], bits[good].astype(np.int32)
+
+
+def _dealt_pairs(nodes: DataFrame) -> DataFrame:
+    carried = {"y": F.when(F.col("r") < 4, F.col("f1")).otherwise(F.col("f0")), "t": F.col("t"), "label": F.col("label"), "n": F.col("n")}
+    return dealt(nodes, ["f0", "f1"], carried, True)
 
-    ``a, b`` with ``a < b``; with ``nearest`` only each node's nearest partner in each trie, of the
-    smallest ``t`` among equally near ones.
-    """
-    carried = {"y": F.when(F.col("r") < 4, F.col("f1")).otherwise(F.col("f0")), "t": F.col("t"), "label": F.col("label")}
+
+def nearest_pairs(nodes: DataFrame) -> DataFrame:
+    """``a, b`` with ``a < b``: each node's nearest partner in each trie, of the smallest ``t`` among equally near
+    ones. ``nodes`` is ``t, f0, f1, n, label``, a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, home, guests in meetings(batches):
-            x, y, t, label = home
-            gx, gy, gt, glabel = guests or home
-            i, j = pairs_within(x, gx, WORD_BUDGET, 1)
-            bits = np.bitwise_count(x[i] ^ gx[j]).astype(np.int32) + np.bitwise_count(y[i] ^ gy[j])
-            good = (bits <= PAIR_BUDGET) & (label[i] != glabel[j])
-            if guests is None:
-                good &= i < j
-            a, b, bits = t[i[good]], gt[j[good]], bits[good].astype(np.int32)
+            i, j, bits = _proposed(r, home, guests)
+            a, b = home[2][i], (guests or home)[2][j]
             if not len(a):
                 continue
-            if nearest:
-                a, b, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
-                order = np.lexsort((b, bits, a))
-                a, b, bits = a[order], b[order], bits[order]
-                first = np.append(True, a[1:] != a[:-1])
-                a, b, bits = a[first], b[first], bits[first]
-            else:
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            for k in range(0, len(a), 100_000):
-                some = np.s_[k : k + 100_000]
-                yield pa.record_batch([pa.array(np.full(len(a[some]), r, np.int32)), pa.array(a[some]), pa.array(b[some]), pa.array(bits[some])], names=["r", "a", "b", "bits"])
-
-    found = in_arrow(dealt(nodes, ["f0", "f1"], carried, True), run, "r int, a bigint, b bigint, bits int")
-    if nearest:
-        found = found.groupBy("r", "a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.select("a", "b").distinct()
+            a, b, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
+            order = np.lexsort((b, bits, a))
+            a, b, bits = a[order], b[order], bits[order]
+            first = np.append(True, a[1:] != a[:-1])
+            a, b, bits = a[first], b[first], bits[first]
+            yield pa.record_batch([pa.array(np.full(len(a), r, np.int32)), pa.array(a), pa.array(b), pa.array(bits)], names=["r", "a", "b", "bits"])
+
+    found = in_arrow(_dealt_pairs(nodes), run, "r int, a bigint, b bigint, bits int")
+    found = found.groupBy("r", "a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _blocks(n: np.ndarray) -> np.ndarray:
+    """A block number for each place: runs of at most ``BLOCK_NODES`` nodes and about ``BLOCK_SHINGLES`` shingles."""
+    by_size = (np.cumsum(n) - n) // BLOCK_SHINGLES
+    by_rows = np.arange(len(n)) // BLOCK_NODES
+    return np.unique(by_size * (len(n) + 1) + by_rows, return_inverse=True)[1]
+
+
+def meeting_blocks(nodes: DataFrame) -> DataFrame:
+    """``block, t``: which nodes have to be looked at together.
+
+    Two nodes that the tries propose and no link joins yet share a block. A pair that several
+    tries find counts in the first only; nodes without such a pair are in no block.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        for r, home, guests in meetings(batches):
+            i, j, _ = _proposed(r, home, guests)
+            x, y, t, _, n = home
+            gx, gy, gt, _, gn = guests or home
+            if r and len(i):
+                # Tries 0 to 3 hold the first fingerprint; x starts with the trie's own quarter.
+                d, e = x[i] ^ gx[j], (y[i] ^ gy[j]).view(np.uint64)
+                turn = np.uint64(16 * (r % 4))
+                d = (d >> turn) | (d << ((np.uint64(64) - turn) % np.uint64(64))) if r % 4 else d
+                f0, f1 = (d, e) if r < 4 else (e, d)
+                seen = np.zeros(len(i), bool)
+                for q in range(r):
+                    f = f0 if q < 4 else f1
+                    quarter = (f >> np.uint64(48 - 16 * (q % 4))) & np.uint64(0xFFFF)
+                    seen |= (np.bitwise_count(f) <= WORD_BUDGET) & (np.bitwise_count(quarter) <= 1)
+                i, j = i[~seen], j[~seen]
+            if not len(i):
+                continue
+            own, other = _blocks(n), _blocks(gn)
+            meet = own[i].astype(np.int64) << 32 | other[j]
+            kinds, kind = np.unique(meet, return_inverse=True)
+            nodes_of = np.unique(np.concatenate([np.stack([kind, t[i]], 1), np.stack([kind, gt[j]], 1)]), axis=0)
+            yield pa.record_batch([pa.array((part << 32) + made + nodes_of[:, 0]), pa.array(nodes_of[:, 1])], names=["block", "t"])
+            made += len(kinds)
+
+    return in_arrow(_dealt_pairs(nodes), run, "block bigint, t bigint")
+
+
+def similar_within(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``i < j`` of sets (of distinct numbers) with at least the similarity ``SIMILAR``."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    m = len(sets)
+    owner = np.repeat(np.arange(m), size)
+    _, column, held = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+    shared = np.zeros((m, m), np.float32)
+    # Shingles of many sets are multiplied as matrices, those of few are counted pair by pair.
+    many = held > max(2, m // 16)
+    wide = np.cumsum(many) - 1
+    mine = many[column]
+    for a in range(0, int(many.sum()), 2_048):
+        some = mine & (wide[column] >= a) & (wide[column] < a + 2_048)
+        matrix = np.zeros((m, min(2_048, int(many.sum()) - a)), np.float32)
+        matrix[owner[some], wide[column[some]] - a] = 1
+        shared += matrix @ matrix.T
+    few = ~mine & (held[column] > 1)
+    order = np.argsort(column[few], kind="stable")
+    who, column = owner[few][order], column[few][order]
+    start = np.flatnonzero(np.append(True, column[1:] != column[:-1])) if len(column) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(column)))
+    for n in np.unique(count):
+        rows = who[start[count == n][:, None] + np.arange(n)]
+        for p in range(int(n) - 1):
+            for q in range(p + 1, int(n)):
+                np.add.at(shared, (rows[:, p], rows[:, q]), 1)
+    # Owners rise within a column, so the pairs lie above the diagonal; so does what is read.
+    part, whole = SIMILAR
+    i, j = np.nonzero(np.triu(shared * (part + whole) >= part * (size[:, None] + size), 1))
+    return i, j
+
+
+def links_within(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: links that connect the similar nodes of every block of ``block, t``; pairs stay in the task."""
+    rows = blocks.join(sets, "t").select("block", "t", "s")
+    rows = rows.repartition(parts(blocks.sparkSession), "block").sortWithinPartitions("block", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ts, held = None, [], []
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(ts) > 1:
+                i, j = similar_within(held)
+                label = spanning(i, j, len(ts))
+                moved = np.flatnonzero(label != np.arange(len(ts)))
+                if len(moved):
+                    t = np.array(ts, np.int64)
+                    a, b = t[label[moved]], t[moved]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(zero_copy_only=False)
+            for k, (block, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if block != now:
+                    yield from links()
+                    now, ts, held = block, [], []
+                ts.append(t)
+                held.append(values[ends[k] : ends[k + 1]].copy())
+        yield from links()
+
+    return in_arrow(rows, run, "a bigint, b bigint")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -358,20 +472,23 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared * (part + whole) >= part * (F.size("s_a") + F.size("s_b"))).select("a", "b")
 
 
+@carrying
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id, and of the smallest text hash among
-    equal ids (a null id is the smallest). Texts without words are one group.
+    equal ids (a null id is the smallest). Texts without words are one group. Columns of any other
+    name come along unchanged.
 
     Groups are connected by pairs with a similarity of 0.8 or more of their five-word shingle sets.
     The tries propose pairs and the sets decide. Each text first meets its nearest partners, which
-    joins most of a large group; then every other proposed pair of different groups is decided.
+    joins most of a large group; then texts that are proposed to each other and not joined yet are
+    brought together in blocks and compared there, and only links that connect what was found leave the task.
     """
     key = {"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "_hash": F.xxhash64("text")}
     prints = written(sketches(docs.withColumns(key).select(*key, "text"), STAGE_SHINGLE, False), "prints")
     first = F.min(F.struct(*key)).alias("first")
-    nodes = prints.groupBy("t").agg(F.min("f0").alias("f0"), F.min("f1").alias("f1"), first)
+    nodes = prints.groupBy("t").agg(*[F.min(c).alias(c) for c in ("f0", "f1", "n")], first)
     nodes = written(nodes.withColumn("label", F.col("t")), "nodes")
-    near = written(trie_pairs(nodes, True), "near-pairs")
+    near = written(nearest_pairs(nodes), "near-pairs")
     met = near.select(F.col("a").alias("t")).union(near.select("b")).distinct()
     met = written(nodes.join(met, "t", "left_semi"), "met")
     texts = docs.withColumns(key).select(*key, "text").join(met.select("first.*"), list(key), "left_semi").dropDuplicates(list(key))
@@ -379,8 +496,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     links = written(similar(near, sets), "near-links")
     known = components(links).withColumnRenamed("node", "t")
     met = written(met.drop("label").join(known, "t", "left").withColumn("label", F.coalesce("label", "t")), "met")
-    rest = trie_pairs(met, False).join(near, ["a", "b"], "left_anti")
-    links = links.union(written(similar(rest, sets), "rest-links"))
+    links = links.union(written(links_within(written(meeting_blocks(met), "blocks"), sets), "rest-links"))
     labels = components(links).withColumnRenamed("node", "t")
     firsts = nodes.drop("label").join(labels, "t", "left").groupBy(F.coalesce("label", "t").alias("label")).agg(F.min("first").alias("first"))
     kept = docs.withColumns(key).join(written(firsts.select("first.*"), "firsts"), list(key), "left_semi")
