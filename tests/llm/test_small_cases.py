@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mailrank.llm import byte_bpe, chat, mixing, quality, toxicity, vector_search, warc
+from mailrank.llm import byte_bpe, chat, mixing, quality, vector_search, warc
 from mailrank.llm.common import written
 from mailrank.session import fresh_path
 
@@ -162,37 +162,6 @@ def test_warc_reads_only_what_is_asked(spark):
     assert sorted(r.page_id for r in every.collect()) == list(range(3000)) and "payload" not in every.columns
 
 
-def test_block_max_is_exact():
-    rng = np.random.default_rng(5)
-    f = [np.unique(rng.integers(0, 60, rng.integers(0, 9))) for _ in range(500)]
-    tf = [rng.integers(1, 4, len(x)) for x in f]
-    index = toxicity.BlockMax(f, tf, rng.integers(0, 2, 500).astype(float), np.ones(500), np.arange(500), np.linspace(1, 3, 60))
-    where = {int(i): n for n, i in enumerate(index.ids)}
-    for q in range(0, 500, 11):
-        if len(f[q]):
-            mine = index.unit(f[q], tf[q])
-            full = np.zeros(len(index.ids))
-            for i in where:
-                x = dict(zip(f[i].tolist(), index.unit(f[i], tf[i])))
-                full[where[i]] = sum(w * x.get(int(t), 0.0) for t, w in zip(f[q], mine))
-            _, cosines = index.nearest(f[q], mine, 10)
-            assert np.allclose(cosines, np.sort(full[full > 0])[::-1][: len(cosines)])
-            assert len(cosines) == min(10, int((full > 0).sum()))
-
-
-def test_toxicity(spark):
-    rng = np.random.default_rng(2)
-    rows = [(i, " ".join(f"w{rng.integers(0, 500)}" for _ in range(30)).replace("w1", "v") + (" vile" if i % 5 == 0 else "")) for i in range(300)]
-    docs = spark.createDataFrame([*rows, (None, None), (900, ""), (901, "vile")], "doc_id bigint, text string")
-    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)] + [(3, None), (None, 1)], "doc_id bigint, toxic int")
-    index, every = toxicity.fit(docs, labels, lambda d: d)
-    got = {r.doc_id: r.score for r in toxicity.scored(every, index).collect()}
-    assert all((got[i] >= 0.3) == (i % 5 == 0) for i in range(200, 300))
-    assert got[901] > 0.5 > got[900] and got[None] == got[900] and all(0 <= s <= 1 for s in got.values())
-    index, every = toxicity.fit(docs.limit(0), labels.limit(0), lambda d: d)
-    assert toxicity.scored(every, index).count() == 0
-
-
 def test_pipeline_stages_on_odd_rows(spark):
     docs = odd_docs(spark)
     for _, stage in corpus_pipeline.STAGES[:-1]:
