@@ -419,13 +419,10 @@ def similar_within(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     few = ~mine & (held[column] > 1)
     order = np.argsort(column[few], kind="stable")
     who, column = owner[few][order], column[few][order]
-    start = np.flatnonzero(np.append(True, column[1:] != column[:-1])) if len(column) else np.zeros(0, np.int64)
-    count = np.diff(np.append(start, len(column)))
-    for n in np.unique(count):
-        rows = who[start[count == n][:, None] + np.arange(n)]
-        for p in range(int(n) - 1):
-            for q in range(p + 1, int(n)):
-                np.add.at(shared, (rows[:, p], rows[:, q]), 1)
+    apart = 1
+    while apart < len(who) and (same := column[apart:] == column[:-apart]).any():
+        np.add.at(shared, (who[:-apart][same], who[apart:][same]), 1)
+        apart += 1
     # Owners rise within a column, so the pairs lie above the diagonal; so does what is read.
     part, whole = SIMILAR
     i, j = np.nonzero(np.triu(shared * (part + whole) >= part * (size[:, None] + size), 1))
