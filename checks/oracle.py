@@ -139,6 +139,33 @@ BLOCKS = {
         (),
         f"""SELECT qid, term, count(*) AS n FROM (SELECT item_id AS qid, unnest({words('text')}) AS term FROM benchmark) GROUP BY ALL""",
     ),
+    "asked_words": (
+        ("text_wanted",),
+        "SELECT qid, arg_min(term, md5(qid || term)) AS word FROM text_wanted WHERE regexp_full_match(term, '[a-z]{5,}') GROUP BY qid",
+    ),
+    "text_scores": (
+        ("posted", "dfs", "corpus", "text_wanted"),
+        """SELECT w.qid, p.doc_id, sum(w.n * ln(1 + (c.n_docs - d.df + 0.5) / (d.df + 0.5))
+              * p.tf / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / c.avgdl))) AS score
+           FROM posted p JOIN text_wanted w USING (term) JOIN dfs d USING (term) CROSS JOIN corpus c GROUP BY ALL""",
+    ),
+    "pattern_docs": (
+        ("posted", "dfs", "asked_words"),
+        """SELECT DISTINCT qid, doc_id, 1.0::DOUBLE AS score FROM (SELECT qid, term FROM asked_words, dfs WHERE CASE qid % 3
+              WHEN 0 THEN starts_with(term, word[1:3])
+              WHEN 1 THEN regexp_full_match(term, word[1] || '.' || word[3] || '.*' || word[-1])
+              ELSE regexp_full_match(term, word[1:2] || '[a-m]{2,}') END) JOIN posted USING (term)""",
+    ),
+    "misspelt": (("asked_words",), "SELECT qid, word[1:2] || word[4] || word[3] || word[5:] AS word FROM asked_words"),
+    # DuckDB counts edits in bytes. The asked words are plain letters, so any other letter of a
+    # word differs from all of theirs, and one byte may stand for it.
+    "letters": (("dfs",), "SELECT term, regexp_replace(term, '[^\\x00-\\x7F]', '~', 'g') AS letters FROM dfs"),
+    "fuzzy_docs": (
+        ("posted", "letters", "misspelt"),
+        """SELECT qid, doc_id, max(round(greatest(1 - edits / least(length(word), length(term)), 0), 8)) AS score FROM
+              (SELECT qid, word, term, levenshtein(word, letters) AS edits FROM misspelt, letters
+               WHERE levenshtein(word, letters) <= qid % 2 + 1) JOIN posted USING (term) GROUP BY ALL""",
+    ),
     "exact_part": (
         ("exact", "wanted"),
         """SELECT w.qid, e.doc_id, ln(1 + (f.n_docs - d.df + 0.5) / (d.df + 0.5)) / 2.2 AS score
@@ -469,6 +496,11 @@ ORACLE.update(
               * p.tf / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / c.avgdl))), 8) AS score
            FROM posted p JOIN text_wanted w USING (term) JOIN dfs d USING (term) CROSS JOIN corpus c GROUP BY ALL""",
     ),
+    bm25_top=sql(
+        "text_scores",
+        f"""SELECT qid, doc_id, rank::INTEGER AS rank, round(score, 8) AS score
+            FROM (SELECT *, {rank('score')} AS rank FROM text_scores) WHERE rank <= 20""",
+    ),
     bm25_byte_length=sql(
         "posted", "dfs", "corpus", "text_wanted",
         """SELECT w.qid, p.doc_id, round(sum(w.n * ln(1 + (c.n_docs - d.df + 0.5) / (d.df + 0.5))
@@ -559,6 +591,28 @@ ORACLE.update(
         "SELECT doc_id, min(damerau_levenshtein(term, 'aihc'))::INTEGER AS edits FROM posted WHERE damerau_levenshtein(term, 'aihc') <= 1 GROUP BY doc_id",
     ),
     match_range=sql("posted", "SELECT DISTINCT doc_id FROM posted WHERE term BETWEEN 'zed' AND 'zz'"),
+    match_patterns=sql("pattern_docs", "SELECT * FROM pattern_docs"),
+    match_fuzzy_words=sql("fuzzy_docs", "SELECT * FROM fuzzy_docs"),
+    match_fuzzy_swapped=sql(
+        "posted", "letters", "misspelt",
+        """SELECT qid, doc_id, max(round(greatest(1 - edits / least(length(word), length(term)), 0), 8)) AS score FROM
+              (SELECT qid, word, term, damerau_levenshtein(word, letters) AS edits FROM misspelt, letters
+               WHERE damerau_levenshtein(word, letters) <= 1) JOIN posted USING (term) GROUP BY ALL""",
+    ),
+    match_ranges=sql(
+        "posted", "dfs", "asked_words",
+        """SELECT DISTINCT qid, doc_id, 1.0::DOUBLE AS score FROM (SELECT qid, term FROM asked_words, dfs WHERE
+              CASE WHEN qid % 10 = 0 THEN term >= 'zo'
+                   WHEN qid % 2 = 0 THEN term BETWEEN word AND word[1:4] || 'z'
+                   ELSE term > word AND term <= word[1:4] || 'z' END) JOIN posted USING (term)""",
+    ),
+    match_clause_sum=sql(
+        "text_scores", "pattern_docs", "fuzzy_docs",
+        f"""SELECT qid, doc_id, rank::INTEGER AS rank, round(score, 8) AS score FROM (SELECT *, {rank('score')} AS rank FROM
+            (SELECT qid, doc_id, sum(score) AS score FROM (SELECT * FROM text_scores
+               UNION ALL SELECT qid, doc_id, score * 2 FROM pattern_docs
+               UNION ALL SELECT qid, doc_id, score * 0.5 FROM fuzzy_docs) GROUP BY ALL)) WHERE rank <= 20""",
+    ),
     match_boost=sql(
         "exact_part", "body_part",
         f"""SELECT qid, doc_id, rank::INTEGER AS rank, round(score, 8) AS score FROM (SELECT *, {rank('score')} AS rank FROM (

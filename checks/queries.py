@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from checks import recipes as r
 from mailrank.functions import mail, text, vectors as vec
-from mailrank.operators import cells, embed, fusion, hits, index, ivf, keyword, knn, match, parse, quantise
+from mailrank.operators import (
+    cells, dictionary, embed, fusion, hits, index, ivf, keyword, knn, match, parse, quantise, sharded,
+)
 from mailrank.operators.queries import normalise_queries, target_terms
 from mailrank.plans.build import build_search_tables
 from mailrank.plans.search import hybrid_search, keyword_search
@@ -570,6 +572,15 @@ def bm25_any(spark, sf_dir):
     return _bm25(spark, sf_dir).withColumn("score", F.round("score", 8))
 
 
+@query
+def bm25_top(spark, sf_dir):
+    """The 20 best of every benchmark text, shards that cannot hold any of them left out."""
+    tables = r.search_tables(spark, sf_dir)
+    terms = target_terms(normalise_queries(r.text_searches(spark, sf_dir))).where("field = 'body_text'")
+    shards = r.sharded_postings(spark, sf_dir)
+    return _ranked(sharded.bm25_top(shards, tables.term_stats, terms, 20, buckets=tables.term_buckets))
+
+
 @query
 def bm25_byte_length(spark, sf_dir):
     return _bm25(spark, sf_dir, lossy_length=True).withColumn("score", F.round("score", 8))
@@ -748,6 +759,49 @@ def match_range(spark, sf_dir):
     return match.match_range(r.search_tables(spark, sf_dir).postings, "zed", "zz")
 
 
+@query
+def match_patterns(spark, sf_dir):
+    """A pattern for every benchmark text, by the grams of the index's words."""
+    t = r.search_tables(spark, sf_dir)
+    terms = dictionary.pattern_terms(r.dictionary(spark, sf_dir), r.asked_patterns(spark, sf_dir))
+    return dictionary.matching_docs(t.postings, terms, t.term_buckets)
+
+
+def _fuzzy_batch(spark, sf_dir, asked, swaps):
+    t = r.search_tables(spark, sf_dir)
+    terms = dictionary.fuzzy_words(r.dictionary(spark, sf_dir), asked, swaps)
+    found = dictionary.matching_docs(t.postings, terms, t.term_buckets)
+    return found.withColumn("score", F.round("score", 8))
+
+
+@query
+def match_fuzzy_words(spark, sf_dir):
+    """A misspelt word for every benchmark text, one or two edits allowed."""
+    return _fuzzy_batch(spark, sf_dir, r.misspelt_words(spark, sf_dir), False)
+
+
+@query
+def match_fuzzy_swapped(spark, sf_dir):
+    """The same with one edit, two neighbouring letters changing places being one."""
+    return _fuzzy_batch(spark, sf_dir, r.misspelt_words(spark, sf_dir).withColumn("distance", F.lit(1)), True)
+
+
+@query
+def match_ranges(spark, sf_dir):
+    """A word range for every benchmark text."""
+    t = r.search_tables(spark, sf_dir)
+    terms = dictionary.range_terms(r.dictionary(spark, sf_dir), r.asked_ranges(spark, sf_dir))
+    return dictionary.matching_docs(t.postings, terms, t.term_buckets)
+
+
+@query
+def match_clause_sum(spark, sf_dir):
+    """Words, a pattern and a misspelt word of every benchmark text in one score."""
+    words = _bm25(spark, sf_dir)
+    clauses = [words, match_patterns(spark, sf_dir), match_fuzzy_words(spark, sf_dir)]
+    return _ranked(knn.top_k(keyword.sum_clauses(clauses, [1.0, 2.0, 0.5]), 20))
+
+
 @query
 def match_boost(spark, sf_dir):
     """Exact fields count three times as much as body words."""

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailrank.functions.text import word_tokens
+from mailrank.operators.dictionary import Dictionary, build_dictionary
 from mailrank.operators.embed import hash_embedder
 from mailrank.operators.parse import parse_messages
+from mailrank.operators.sharded import ShardedPostings, build_sharded
 from mailrank.plans.build import SearchTables, build_search_tables
 from mailrank.session import fresh_path
 
@@ -14,7 +17,12 @@ FIRST_MAIL = "2001-05-14 16:39:00"
 MINUTES = 5_000_000  # dates start over after that many documents
 BUILD_BUCKETS = 16
 
+SHARDS = 16
+PIECES = 16
+
 _built: dict[tuple[str, str], SearchTables] = {}
+_dictionaries: dict[tuple[str, str], Dictionary] = {}
+_sharded: dict[tuple[str, str], ShardedPostings] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,3 +117,63 @@ def search_tables(spark: SparkSession, sf_dir: str) -> SearchTables:
             mails(spark, sf_dir), hash_embedder(), fresh_path(spark, "tables"), BUILD_BUCKETS
         )
     return _built[key]
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
+    """The words of all mails, written once per application and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _dictionaries:
+        stats = search_tables(spark, sf_dir).term_stats
+        _dictionaries[key] = build_dictionary(stats, fresh_path(spark, "dictionary"), PIECES)
+    return _dictionaries[key]
+
+
+def sharded_postings(spark: SparkSession, sf_dir: str) -> ShardedPostings:
+    """The postings of all mails in shards, written once per application and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _sharded:
+        tables = search_tables(spark, sf_dir)
+        _sharded[key] = build_sharded(tables.postings, tables.corpus_stats, fresh_path(spark, "sharded"), SHARDS)
+    return _sharded[key]
+
+
+def asked_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(qid, word)``: of every benchmark text one word of five or more plain letters."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
+        F.col("item_id").alias("qid"), F.explode(word_tokens(F.col("text"))).alias("word")
+    )
+    mixed = F.md5(F.concat(F.col("qid").cast("string"), "word"))
+    return words.where(F.col("word").rlike("^[a-z]{5,}$")).groupBy("qid").agg(F.min_by("word", mixed).alias("word"))
+
+
+def asked_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(qid, kind, pattern)``: a prefix, a wildcard or a regex made of each asked word."""
+    word, kind = F.col("word"), F.pmod(F.col("qid"), F.lit(3))
+    wildcard = F.concat(word.substr(1, 1), F.lit("?"), word.substr(3, 1), F.lit("*"), F.right(word, F.lit(1)))
+    return asked_words(spark, sf_dir).select(
+        "qid",
+        F.when(kind == 0, "prefix").when(kind == 1, "wildcard").otherwise("regex").alias("kind"),
+        F.when(kind == 0, word.substr(1, 3)).when(kind == 1, wildcard)
+        .otherwise(F.concat(word.substr(1, 2), F.lit("[a-m]{2,}"))).alias("pattern"),
+    )
+
+
+def misspelt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(qid, word, distance)``: each asked word, its third and fourth letter swapped."""
+    word = F.col("word")
+    swapped = F.concat(word.substr(1, 2), word.substr(4, 1), word.substr(3, 1), F.substring(word, 5, 1000))
+    return asked_words(spark, sf_dir).select(
+        "qid", swapped.alias("word"), (F.pmod(F.col("qid"), F.lit(2)) + 1).cast("int").alias("distance")
+    )
+
+
+def asked_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(qid, lo, hi, lo_closed, hi_closed)``: the words from each asked word on; every tenth has an open end."""
+    tenth, even = F.pmod(F.col("qid"), F.lit(10)) == 0, F.pmod(F.col("qid"), F.lit(2)) == 0
+    return asked_words(spark, sf_dir).select(
+        "qid",
+        F.when(tenth, "zo").otherwise(F.col("word")).alias("lo"),
+        F.when(~tenth, F.concat(F.substring("word", 1, 4), F.lit("z"))).alias("hi"),
+        even.alias("lo_closed"),
+        F.lit(True).alias("hi_closed"),
+    )
