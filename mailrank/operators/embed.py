@@ -24,6 +24,8 @@ UNKNOWN_ID = 1
 # Larger vocabularies are joined, not sent to every worker.
 VOCAB_ROWS = 2_000_000
 VOCAB_BYTES = 64 * 1024 * 1024
+TOKENS_AT_ONCE = 65_536  # ids a model sees in one call, padding counted,
+RUN_BLOCKS = 16  # and as many times that in one output batch
 
 TOKENIZER_JSON = (
     "model STRUCT<vocab: MAP<STRING, BIGINT>>, added_tokens ARRAY<STRUCT<content: STRING, id: BIGINT>>"
@@ -137,17 +139,19 @@ def encode_tokens(
     are put back in word order per row. Rows are numbered in a written copy for that, so
     equal rows stay apart. A token listed twice has its smallest id.
     """
-    vocab = vocab.groupBy("token").agg(F.min(F.col("id").cast("bigint")).alias("id"))
+    vocab = vocab.groupBy("token").agg(F.min(F.col("id").cast("bigint")).alias("id")).persist()
     n, held, *marks = vocab.agg(
         F.count(F.lit(1)),
         F.coalesce(F.sum(F.octet_length("token") + 12), F.lit(0)),
         *[F.min(F.when(F.col("token") == m, F.col("id"))) for m in (BOS, EOS)],
     ).first()
     if None in marks:
+        vocab.unpersist()
         raise ValueError(f"the vocabulary lacks {BOS} or {EOS}")
     bos, eos = (F.array(F.lit(m).cast("bigint")) for m in marks)
     if n <= vocab_rows and held <= vocab_bytes:
         sent = df.sparkSession.sparkContext.broadcast(vocab.toArrow().combine_chunks())
+        vocab.unpersist()
         ids = _lookup_udf(sent, unk)(_words(F.col(text_col)))
         return df.withColumn(out, F.concat(bos, ids, eos))
     spark, path, key = df.sparkSession, fresh_path(df.sparkSession, "numbered"), "_row"
@@ -187,67 +191,113 @@ def model_embed(
     model_factory: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]],
     out: str = "vec",
     pool: bool = True,
+    tokens_at_once: int = TOKENS_AT_ONCE,
 ) -> DataFrame:
     """Run a model over token ids; one row in, one row out.
 
-    ``model_factory()`` runs once per Python worker. The model takes ids and an all-ones
-    mask, both ``(rows, length)``, and returns ``(rows, length, size)``; ``(length, size)``
-    is taken too, from models that know one row only. Rows of equal length of an
-    Arrow batch run together, so no padding can reach the result. With ``pool`` the mean
-    over tokens is returned, scaled to unit length, else the token vectors.
+    ``model_factory()`` runs once per Python worker. The model takes ids and a mask, both
+    ``(rows, length)``, and returns ``(rows, length, size)``; ``(length, size)`` is taken too,
+    from models that know one row only. The mask is 1 at a row's own ids and 0 behind them,
+    where ids are 0; what the model gives there is left out. Rows of an Arrow batch are
+    sorted by length and run in blocks of at most ``tokens_at_once`` ids, padding counted
+    (one longer row is a block). With ``pool`` the mean over tokens is returned, scaled to
+    unit length, else the token vectors. A row of null ids gives null; without ids it gives
+    null when pooled, else an empty list.
     """
     result = "array<float>" if pool else "array<array<float>>"
 
     @F.arrow_udf(result)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = model_factory()
-        for ids in batches:
-            sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-            vectors: list = [None] * len(ids)
-            rows = ids.to_pylist()
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                block = np.asarray([rows[i] for i in at], dtype=np.int64)
-                for i, tokens in zip(at, _run_block(model, block)):
-                    vectors[i] = tokens.mean(axis=0) if pool else list(tokens)
-            kind = pa.list_(pa.float32())
-            yield pa.array(vectors, kind if pool else pa.list_(kind))
+        for batch in batches:
+            for ids in _runs_of_tokens(batch, RUN_BLOCKS * tokens_at_once):
+                yield (_pooled if pool else _per_token)(model, ids, tokens_at_once)
 
     embedded = df.withColumn(out, run(F.col(ids_col)))
     return embedded.withColumn(out, l2_normalise(F.col(out))) if pool else embedded
 
 
-def _run_block(model, block: np.ndarray) -> list[np.ndarray]:
-    found = np.asarray(model(block, np.ones_like(block)), dtype=np.float32)
+def _lengths(ids: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _runs_of_tokens(ids: pa.Array, at_most: int) -> Iterator[pa.Array]:
+    """A column cut into runs of rows with at most so many ids, or one longer row."""
+    ends = np.cumsum(_lengths(ids))
+    start = 0
+    while start < len(ids):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + at_most, side="right")))
+        yield ids.slice(start, end - start)
+        start = end
+    if not len(ids):
+        yield ids
+
+
+def _blocks(ids: pa.Array, tokens_at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows, block, mask, places)`` of rows of like length; ``places`` is where their ids stand in the column."""
+    sizes = _lengths(ids)
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    at = len(order)
+    while at:  # from the longest down: the first row of a block sets its width
+        width = int(sizes[order[at - 1]])
+        rows = order[max(0, at - max(1, tokens_at_once // width)) : at]
+        at -= len(rows)
+        real = np.arange(width) < sizes[rows, None]
+        places = (starts[rows, None] + np.arange(width))[real]
+        block = np.zeros(real.shape, np.int64)
+        block[real] = flat[places]
+        yield rows, block, real, places
+
+
+def _token_vectors(model, block: np.ndarray, real: np.ndarray) -> np.ndarray:
+    """``(rows, length, size)``, zero behind each row's own ids."""
+    mask = real.astype(np.int64)
+    found = np.asarray(model(block, mask), dtype=np.float32)
     if found.ndim == 3 and len(found) == len(block):
-        return list(found)
-    # A model for single rows: 2-D output, or a batch of one.
-    one_by_one = []
-    for row in block:
-        tokens = np.asarray(model(row[None, :], np.ones_like(row[None, :])), dtype=np.float32)
-        one_by_one.append(tokens[0] if tokens.ndim == 3 else tokens)
-    return one_by_one
-
-
-def onnx_model_factory(path: str, ids: str = "input_ids", mask: str = "attention_mask"):
-    """Factory for :func:`model_embed` over an ONNX file every worker can read."""
-
-    def load():
-        import onnxruntime
-
-        options = onnxruntime.SessionOptions()
-        options.graph_optimization_level = onnxruntime.GraphOptimizationLevel.ORT_ENABLE_ALL
-        options.intra_op_num_threads = 1  # a task has one core
-        session = onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
-        wanted = {i.name for i in session.get_inputs()}
-
-        def model(input_ids, attention_mask):
-            feed = {ids: input_ids, mask: attention_mask}
-            return session.run(None, {k: v for k, v in feed.items() if k in wanted})[0]
-
-        return model
-
-    return load
+        return np.where(real[:, :, None], found, np.float32(0))
+    # A model for single rows, 2-D output or a batch of one, sees each row without padding.
+    whole = None
+    for i, n in enumerate(mask.sum(axis=1)):
+        row = np.asarray(model(block[i : i + 1, :n], mask[i : i + 1, :n]), dtype=np.float32)
+        row = row[0] if row.ndim == 3 else row
+        if whole is None:
+            whole = np.zeros((*block.shape, row.shape[1]), np.float32)
+        whole[i, :n] = row
+    return whole
+
+
+def _lists(ends: np.ndarray, values: pa.Array, missing: np.ndarray) -> pa.ListArray:
+    """Lists that end at ``ends``, null where ``missing``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(missing, False)), values)
+
+
+def _pooled(model, ids: pa.Array, tokens_at_once: int) -> pa.Array:
+    sizes, means = _lengths(ids), None
+    for rows, block, real, _ in _blocks(ids, tokens_at_once):
+        found = _token_vectors(model, block, real).sum(axis=1, dtype=np.float64) / sizes[rows, None]
+        if means is None:
+            means = np.zeros((len(ids), found.shape[1]), np.float32)
+        means[rows] = found
+    if means is None:
+        return pa.nulls(len(ids), pa.list_(pa.float32()))
+    held = sizes > 0
+    return _lists(np.cumsum(held * means.shape[1]), pa.array(means[held].ravel()), ~held)
+
+
+def _per_token(model, ids: pa.Array, tokens_at_once: int) -> pa.Array:
+    sizes, vectors = _lengths(ids), np.zeros((0, 0), np.float32)
+    for _, block, real, places in _blocks(ids, tokens_at_once):
+        found = _token_vectors(model, block, real)
+        if not len(vectors):
+            vectors = np.zeros((int(sizes.sum()), found.shape[2]), np.float32)
+        vectors[places] = found[real]
+    inner = _lists(np.arange(1, len(vectors) + 1) * vectors.shape[1], pa.array(vectors.ravel()), np.zeros(len(vectors), bool))
+    return _lists(np.cumsum(sizes), inner, ids.is_null().to_numpy(zero_copy_only=False))
 
 
 def mean_pool(df: DataFrame, id_cols: list[str], vec_col: str = "vec", out: str = "vec") -> DataFrame:

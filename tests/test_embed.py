@@ -1,9 +1,9 @@
 import hashlib
 import json
-import struct
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -102,45 +102,52 @@ def test_token_vectors_and_in_row_mean(spark):
     assert spark.range(1).select(embed.mean_pool_tokens(empty, 3)).first()[0] == [0.0] * 3
 
 
-def _onnx_lookup(table: np.ndarray) -> bytes:
-    """A model file with one table lookup, written by the public wire format."""
+def _mixing_model():
+    """Each token sees the sum of its row's real ids, and garbage stands behind them."""
 
-    def varint(n):
-        out = b""
-        while n > 127:
-            out, n = out + bytes([n & 127 | 128]), n >> 7
-        return out + bytes([n])
+    def run(ids, mask):
+        assert ids.shape == mask.shape and not ids[mask == 0].any()
+        total = (ids * mask).sum(axis=1, keepdims=True)
+        seen.append(ids.shape)
+        return np.where(mask[:, :, None] > 0, np.stack([ids, total + 0 * ids, mask], axis=-1), np.nan)
 
-    def num(field, n):
-        return varint(field << 3) + varint(n)
-
-    def sub(field, data):
-        data = data.encode() if isinstance(data, str) else data
-        return varint(field << 3 | 2) + varint(len(data)) + data
-
-    def value(name, kind, dims):
-        shape = b"".join(sub(1, sub(2, d) if isinstance(d, str) else num(1, d)) for d in dims)
-        return sub(1, name) + sub(2, sub(1, num(1, kind) + sub(2, shape)))
-
-    raw = struct.pack(f"<{table.size}f", *table.ravel())
-    weights = b"".join(num(1, d) for d in table.shape) + num(2, 1) + sub(8, "table") + sub(9, raw)
-    node = sub(1, "table") + sub(1, "input_ids") + sub(2, "out") + sub(4, "Gather")
-    graph = (
-        sub(1, node) + sub(2, "g") + sub(5, weights) + sub(11, value("input_ids", 7, ["n", "t"]))
-        + sub(12, value("out", 1, ["n", "t", table.shape[1]]))
-    )
-    return num(1, 8) + sub(7, graph) + sub(8, num(2, 13))
+    seen = []
+    run.seen = seen
+    return run
 
 
-def test_onnx_model(spark, tmp_path):
-    pytest.importorskip("onnxruntime")
-    table = np.arange(40, dtype=np.float32).reshape(10, 4)
-    (tmp_path / "model.onnx").write_bytes(_onnx_lookup(table))
-    df = spark.createDataFrame([(0, [1, 2]), (1, [7])], "doc_id BIGINT, ids ARRAY<BIGINT>")
-    rows = embed.model_embed(df, "ids", embed.onnx_model_factory(str(tmp_path / "model.onnx"))).orderBy("doc_id").collect()
-    for row, ids in zip(rows, [[1, 2], [7]]):
-        want = table[ids].mean(axis=0)
-        assert np.allclose(row.vec, want / np.linalg.norm(want), atol=1e-6)
+@pytest.mark.parametrize("budget", [1, 7, 64, 100_000])
+def test_padded_blocks(spark, budget):
+    rng = np.random.default_rng(budget)
+    given = [(i, rng.integers(1, 50, n).tolist()) for i, n in enumerate(rng.integers(1, 30, 200))]
+    given += [(900, []), (901, None), (902, rng.integers(1, 50, 3000).tolist())]
+    df = spark.createDataFrame(given, "doc_id BIGINT, ids ARRAY<BIGINT>").coalesce(1)
+    each = {r.doc_id: r.vec for r in embed.model_embed(df, "ids", _mixing_model, pool=False, tokens_at_once=budget).collect()}
+    assert each == {d: None if ids is None else [[i, sum(ids), 1] for i in ids] for d, ids in given}
+    pooled = {r.doc_id: r.vec for r in embed.model_embed(df, "ids", _mixing_model, tokens_at_once=budget).collect()}
+    for d, ids in given:
+        if not ids:
+            assert pooled[d] is None
+            continue
+        want = np.array([np.mean(ids), sum(ids), 1.0])
+        assert np.allclose(pooled[d], want / np.linalg.norm(want), atol=1e-6)
+
+
+def test_blocks_keep_to_the_budget():
+    ids = pa.array([[1] * n for n in [5, 1, 9, 2, 2, 30, 4, 4]], pa.list_(pa.int64()))
+    model = _mixing_model()
+    embed._pooled(model, ids, 20)
+    assert sum(n for n, _ in model.seen) == len(ids) and len(model.seen) == 3
+    assert all(rows * width <= 20 or rows == 1 for rows, width in model.seen)
+    part = embed._per_token(model, ids.slice(2, 3), 20)
+    assert [len(v) for v in part.to_pylist()] == [9, 2, 2]
+
+
+def test_nothing_to_run(spark):
+    df = spark.createDataFrame([(0, None), (1, [])], "doc_id BIGINT, ids ARRAY<BIGINT>")
+    for rows in (df, df.limit(0)):
+        assert all(r.vec is None for r in embed.model_embed(rows, "ids", _toy_model).collect())
+        assert [r.vec for r in embed.model_embed(rows, "ids", _toy_model, pool=False).orderBy("doc_id").collect()] in ([None, []], [])
 
 
 def _fails_on_x():
