@@ -623,3 +623,5 @@ ORACLE.update(
 # Probing every cell, and the exact search, give one and the same list.
 ORACLE["knn_ivf"] = ORACLE["knn_exact"]
 ORACLE["knn_cells_int8"] = ORACLE["knn_int8_rescored"]
+# So do codes of every cell, ranked again by full vectors, as far as four times as many as asked hold them.
+ORACLE["hybrid_search_cells"] = ORACLE["hybrid_search"]

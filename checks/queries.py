@@ -104,7 +104,7 @@ def search_tables_build(spark, sf_dir):
 @query
 def hit_report(spark, sf_dir):
     searches = r.searches(spark, sf_dir)
-    found = hybrid_search(r.search_tables(spark, sf_dir), searches, embed.hash_embedder())
+    found = hybrid_search(r.search_tables(spark, sf_dir), searches, embed.hash_embedder(), **options)
     return hits.format_hits(found, searches)
 
 
@@ -429,7 +429,7 @@ def doc_lengths(spark, sf_dir):
 
 @query
 def term_stats(spark, sf_dir):
-    return index.term_stats(index.postings(r.mails(spark, sf_dir)))
+    return index.text_term_stats(r.mails(spark, sf_dir))
 
 
 @query
@@ -645,8 +645,8 @@ def hydrate_hits(spark, sf_dir):
     return hits.project_hits(hits.hydrate(ranked, r.search_tables(spark, sf_dir).docs))
 
 
-def _hybrid(spark, sf_dir, searches):
-    return hybrid_search(r.search_tables(spark, sf_dir), searches, embed.hash_embedder())
+def _hybrid(spark, sf_dir, searches, **options):
+    return hybrid_search(r.search_tables(spark, sf_dir), searches, embed.hash_embedder(), **options)
 
 
 def _hybrid_search(spark, sf_dir):
@@ -656,6 +656,13 @@ def _hybrid_search(spark, sf_dir):
 QUERIES["hybrid_search"] = _hybrid_search
 
 
+@query
+def hybrid_search_cells(spark, sf_dir):
+    """The vector leg over the compact index: every cell's codes, the best ranked again by full vectors."""
+    leg = r.vector_index(spark, sf_dir).leg(r.CELLS, r.search_tables(spark, sf_dir).vectors)
+    return _hybrid(spark, sf_dir, r.searches(spark, sf_dir), leg=leg)
+
+
 @query
 def semantic_only(spark, sf_dir):
     asked = r.searches(spark, sf_dir).withColumn("target", F.lit("-"))
@@ -729,17 +736,20 @@ def match_phrase_slop_repeats(spark, sf_dir):
 
 @query
 def match_prefix(spark, sf_dir):
-    return match.match_prefix(r.search_tables(spark, sf_dir).postings, "aich")
+    t = r.search_tables(spark, sf_dir)
+    return match.match_prefix(t.postings, "aich", t.term_stats, t.term_buckets)
 
 
 @query
 def match_wildcard(spark, sf_dir):
-    return match.match_wildcard(r.search_tables(spark, sf_dir).postings, "a?ch*en")
+    t = r.search_tables(spark, sf_dir)
+    return match.match_wildcard(t.postings, "a?ch*en", t.term_stats, t.term_buckets)
 
 
 @query
 def match_regex(spark, sf_dir):
-    return match.match_regex(r.search_tables(spark, sf_dir).postings, "(un|die)[a-m]{2,4}")
+    t = r.search_tables(spark, sf_dir)
+    return match.match_regex(t.postings, "(un|die)[a-m]{2,4}", t.term_stats, t.term_buckets)
 
 
 @query
@@ -756,7 +766,8 @@ def match_fuzzy_swaps(spark, sf_dir):
 
 @query
 def match_range(spark, sf_dir):
-    return match.match_range(r.search_tables(spark, sf_dir).postings, "zed", "zz")
+    t = r.search_tables(spark, sf_dir)
+    return match.match_range(t.postings, "zed", "zz", stats=t.term_stats, buckets=t.term_buckets)
 
 
 @query

@@ -11,16 +11,19 @@ from mailrank.operators.embed import hash_embedder
 from mailrank.operators.parse import parse_messages
 from mailrank.operators.sharded import ShardedPostings, build_sharded
 from mailrank.plans.build import SearchTables, build_search_tables
+from mailrank.plans.vector_index import VectorIndex, build_vector_index
 from mailrank.session import fresh_path
 
 FIRST_MAIL = "2001-05-14 16:39:00"
 MINUTES = 5_000_000  # dates start over after that many documents
 BUILD_BUCKETS = 16
 
+CELLS = 8
 SHARDS = 16
 PIECES = 16
 
 _built: dict[tuple[str, str], SearchTables] = {}
+_indexes: dict[tuple[str, str], VectorIndex] = {}
 _dictionaries: dict[tuple[str, str], Dictionary] = {}
 _sharded: dict[tuple[str, str], ShardedPostings] = {}
 
@@ -119,6 +122,15 @@ def search_tables(spark: SparkSession, sf_dir: str) -> SearchTables:
     return _built[key]
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The compact vector index of all mails, written once per application and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        vectors = search_tables(spark, sf_dir).vectors.select("doc_id", "vec")
+        _indexes[key] = build_vector_index(vectors, fresh_path(spark, "vectors"), CELLS)
+    return _indexes[key]
+
+
 def dictionary(spark: SparkSession, sf_dir: str) -> Dictionary:
     """The words of all mails, written once per application and scale."""
     key = (spark.sparkContext.applicationId, sf_dir)

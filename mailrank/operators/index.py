@@ -133,6 +133,12 @@ def term_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
 
 
+def text_term_stats(docs: DataFrame, text_col: str = "body_content") -> DataFrame:
+    """``(term, df)`` straight from texts: each word once per text, no positions."""
+    words = F.explode_outer(F.array_distinct(word_tokens(F.col(text_col)))).alias("term")
+    return term_stats(docs.select(words).where(F.col("term").isNotNull()))
+
+
 def field_stats(exact: DataFrame) -> DataFrame:
     """``(field, n_docs)``: documents that have an exact field."""
     return exact.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"))

@@ -6,10 +6,10 @@ Each takes and returns DataFrames, so they combine with joins and with
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailrank.operators.dictionary import swap_distance
 from mailrank.operators.keyword import ask, with_terms
 from mailrank.session import Settled, settle
 
@@ -106,9 +106,22 @@ def match_phrase(
     return per_doc.select("qid", "doc_id", F.size(places).alias("n_places")).where("n_places > 0")
 
 
-def match_prefix(postings: DataFrame, prefix: str) -> DataFrame:
+def _holding(postings: DataFrame, stats: DataFrame | None, test: Column, buckets: int | None) -> DataFrame:
+    """``(doc_id)`` of documents with a word that passes ``test``.
+
+    With the term ``stats`` given, words are tested there, once each, and only postings of
+    those that pass are read.
+    """
+    if stats is None:
+        return postings.where(test).select("doc_id").distinct()
+    return with_terms(postings, ask(stats.where(test).select("term"), buckets), buckets=buckets).select("doc_id").distinct()
+
+
+def match_prefix(
+    postings: DataFrame, prefix: str, stats: DataFrame | None = None, buckets: int | None = None
+) -> DataFrame:
     """``(doc_id)`` of documents with a word that starts with ``prefix``; the scan filters."""
-    return postings.where(F.col("term").startswith(prefix)).select("doc_id").distinct()
+    return _holding(postings, stats, F.col("term").startswith(prefix), buckets)
 
 
 def wildcard_to_regex(pattern: str) -> tuple[str, str]:
@@ -121,44 +134,37 @@ def wildcard_to_regex(pattern: str) -> tuple[str, str]:
     return f"^{regex}$", literal
 
 
-def match_wildcard(postings: DataFrame, pattern: str) -> DataFrame:
+def match_wildcard(
+    postings: DataFrame, pattern: str, stats: DataFrame | None = None, buckets: int | None = None
+) -> DataFrame:
     """``(doc_id)`` of documents with a word of that ``*``/``?`` shape."""
     regex, literal = wildcard_to_regex(pattern)
-    rows = postings.where(F.col("term").startswith(literal)) if literal else postings
-    return rows.where(F.col("term").rlike(regex)).select("doc_id").distinct()
+    test = F.col("term").rlike(regex)
+    return _holding(postings, stats, F.col("term").startswith(literal) & test if literal else test, buckets)
 
 
-def match_regex(postings: DataFrame, pattern: str) -> DataFrame:
+def match_regex(
+    postings: DataFrame, pattern: str, stats: DataFrame | None = None, buckets: int | None = None
+) -> DataFrame:
     """``(doc_id)`` of documents with a word the whole pattern matches."""
-    return postings.where(F.col("term").rlike(f"^(?:{pattern})$")).select("doc_id").distinct()
+    return _holding(postings, stats, F.col("term").rlike(f"^(?:{pattern})$"), buckets)
 
 
-def match_range(postings: DataFrame, lo: str | None, hi: str | None, inclusive: bool = True) -> DataFrame:
+def match_range(
+    postings: DataFrame,
+    lo: str | None,
+    hi: str | None,
+    inclusive: bool = True,
+    stats: DataFrame | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
     """``(doc_id)`` of documents with a word between ``lo`` and ``hi``; None leaves an end open."""
-    term, rows = F.col("term"), postings
+    term, test = F.col("term"), F.lit(True)
     if lo is not None:
-        rows = rows.where(term >= lo if inclusive else term > lo)
+        test = test & (term >= lo if inclusive else term > lo)
     if hi is not None:
-        rows = rows.where(term <= hi if inclusive else term < hi)
-    return rows.select("doc_id").distinct()
-
-
-def _swap_distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_osa(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-def _osa(a: str, b: str) -> int:
-    """Edits between two words, a swap of neighbours being one edit."""
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            best = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            new.append(best)
-        before, row = row, new
-    return row[-1]
+        test = test & (term <= hi if inclusive else term < hi)
+    return _holding(postings, stats, test, buckets)
 
 
 def fuzzy_terms(stats: DataFrame, term: str, distance: int = 2, swaps: bool = False) -> DataFrame:
@@ -174,7 +180,6 @@ def fuzzy_terms(stats: DataFrame, term: str, distance: int = 2, swaps: bool = Fa
     plain = F.levenshtein(F.col("term"), wanted, reach)
     near = close.select("term", plain.alias("edits")).where("edits >= 0")
     if swaps:
-        swap_distance = F.pandas_udf(_swap_distances, "int")
         near = near.select("term", swap_distance(F.col("term"), wanted).alias("edits"))
         near = near.where(F.col("edits") <= distance)
     return near

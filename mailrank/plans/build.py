@@ -45,7 +45,7 @@ def derive_search_tables(emails: DataFrame, embedder: Embedder, normalise: bool
         exact_stats=index.term_stats(exact),
         field_stats=index.field_stats(exact),
         postings=posted,
-        term_stats=index.term_stats(posted),
+        term_stats=index.text_term_stats(docs),
         corpus_stats=index.corpus_stats(index.posted_lengths(posted)),
     )
 
