@@ -90,7 +90,7 @@ def emails_sample(spark, sf_dir):
 @query
 def search_tables_build(spark, sf_dir):
     path = fresh_path(spark, "tables")
-    tables = build_search_tables(r.mails(spark, sf_dir), embed.hash_embedder(), path, r.BUILD_BUCKETS)
+    tables = build_search_tables(r.mails(spark, sf_dir), embed.hash_embedder(), path, r.BUILD_FILES)
     counts = [
         getattr(tables, name).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
         for name in ("docs", "vectors", "exact_terms", "postings", "term_stats", "corpus_stats")
@@ -543,7 +543,7 @@ def knn_int8_rescored(spark, sf_dir):
 def match_sender(spark, sf_dir):
     tables = r.search_tables(spark, sf_dir)
     terms = target_terms(normalise_queries(r.searches(spark, sf_dir)))
-    return keyword.match_exact(tables.exact_terms, terms, "sender_email", tables.term_buckets).select("qid", "doc_id")
+    return keyword.match_exact(tables.exact_terms, terms, "sender_email", tables.directory).select("qid", "doc_id")
 
 
 @query
@@ -555,7 +555,7 @@ def match_phone(spark, sf_dir):
         "qid", F.lit("").alias("query_text"), F.regexp_replace("phone", "^(...)", "($1) ").alias("target"),
         F.lit(20).alias("max_results"),
     )
-    found = keyword.match_exact(tables.exact_terms, target_terms(asked), "phone_num", tables.term_buckets)
+    found = keyword.match_exact(tables.exact_terms, target_terms(asked), "phone_num", tables.directory)
     return found.select("qid", "doc_id")
 
 
@@ -563,7 +563,7 @@ def _bm25(spark, sf_dir, **options):
     tables = r.search_tables(spark, sf_dir)
     terms = target_terms(normalise_queries(r.text_searches(spark, sf_dir))).where("field = 'body_text'")
     return keyword.bm25(
-        tables.postings, tables.term_stats, tables.corpus_stats, terms, buckets=tables.term_buckets, **options
+        tables.postings, tables.term_stats, tables.corpus_stats, terms, directory=tables.directory, **options
     )
 
 
@@ -578,7 +578,7 @@ def bm25_top(spark, sf_dir):
     tables = r.search_tables(spark, sf_dir)
     terms = target_terms(normalise_queries(r.text_searches(spark, sf_dir))).where("field = 'body_text'")
     shards = r.sharded_postings(spark, sf_dir)
-    return _ranked(sharded.bm25_top(shards, tables.term_stats, terms, 20, buckets=tables.term_buckets))
+    return _ranked(sharded.bm25_top(shards, tables.term_stats, terms, 20, directory=tables.directory))
 
 
 @query
@@ -594,7 +594,7 @@ def match_raw_term(spark, sf_dir):
         F.col("item_id").alias("qid"), F.lit("").alias("query_text"), F.substring_index("text", " ", 1).alias("target"), F.lit(20).alias("max_results")
     )
     found = keyword.match_raw_term(
-        tables.postings, tables.term_stats, tables.corpus_stats, asked, buckets=tables.term_buckets
+        tables.postings, tables.term_stats, tables.corpus_stats, asked, directory=tables.directory
     )
     return found.withColumn("score", F.round("score", 8))
 
@@ -704,70 +704,70 @@ def _benchmark_words(spark, sf_dir):
 @query
 def match_all(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_all(t.postings, match.query_words(spark, WORDS), t.term_buckets)
+    return match.match_all(t.postings, match.query_words(spark, WORDS), t.directory)
 
 
 @query
 def match_none(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    every = match.match_any(t.postings, match.query_words(spark, WORDS), t.term_buckets)
+    every = match.match_any(t.postings, match.query_words(spark, WORDS), t.directory)
     unwanted = match.query_words(spark, {1: ["en"], 2: ["les", "un"], 3: ["die"]})
-    return match.match_none(every, t.postings, unwanted, t.term_buckets)
+    return match.match_none(every, t.postings, unwanted, t.directory)
 
 
 @query
 def match_phrase(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_phrase(t.postings, _benchmark_words(spark, sf_dir), buckets=t.term_buckets, stats=t.term_stats)
+    return match.match_phrase(t.postings, _benchmark_words(spark, sf_dir), directory=t.directory, stats=t.term_stats)
 
 
 @query
 def match_phrase_slop(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_phrase(t.postings, match.query_words(spark, WORDS), 3, t.term_buckets, t.term_stats)
+    return match.match_phrase(t.postings, match.query_words(spark, WORDS), 3, t.directory, t.term_stats)
 
 
 @query
 def match_phrase_slop_repeats(spark, sf_dir):
     """Phrases that hold a word twice."""
     t = r.search_tables(spark, sf_dir)
-    return match.match_phrase(t.postings, match.query_words(spark, DOUBLE_WORDS), 3, t.term_buckets, t.term_stats)
+    return match.match_phrase(t.postings, match.query_words(spark, DOUBLE_WORDS), 3, t.directory, t.term_stats)
 
 
 @query
 def match_prefix(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_prefix(t.postings, "aich", t.term_stats, t.term_buckets)
+    return match.match_prefix(t.postings, "aich", t.term_stats, t.directory)
 
 
 @query
 def match_wildcard(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_wildcard(t.postings, "a?ch*en", t.term_stats, t.term_buckets)
+    return match.match_wildcard(t.postings, "a?ch*en", t.term_stats, t.directory)
 
 
 @query
 def match_regex(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_regex(t.postings, "(un|die)[a-m]{2,4}", t.term_stats, t.term_buckets)
+    return match.match_regex(t.postings, "(un|die)[a-m]{2,4}", t.term_stats, t.directory)
 
 
 @query
 def match_fuzzy(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_fuzzy(t.postings, t.term_stats, "another", 2, buckets=t.term_buckets)
+    return match.match_fuzzy(t.postings, t.term_stats, "another", 2, directory=t.directory)
 
 
 @query
 def match_fuzzy_swaps(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_fuzzy(t.postings, t.term_stats, "aihc", 1, swaps=True, buckets=t.term_buckets)
+    return match.match_fuzzy(t.postings, t.term_stats, "aihc", 1, swaps=True, directory=t.directory)
 
 
 @query
 def match_range(spark, sf_dir):
     t = r.search_tables(spark, sf_dir)
-    return match.match_range(t.postings, "zed", "zz", stats=t.term_stats, buckets=t.term_buckets)
+    return match.match_range(t.postings, "zed", "zz", stats=t.term_stats, directory=t.directory)
 
 
 @query
@@ -775,13 +775,13 @@ def match_patterns(spark, sf_dir):
     """A pattern for every benchmark text, by the grams of the index's words."""
     t = r.search_tables(spark, sf_dir)
     terms = dictionary.pattern_terms(r.dictionary(spark, sf_dir), r.asked_patterns(spark, sf_dir))
-    return dictionary.matching_docs(t.postings, terms, t.term_buckets)
+    return dictionary.matching_docs(t.postings, terms, t.directory)
 
 
 def _fuzzy_batch(spark, sf_dir, asked, swaps):
     t = r.search_tables(spark, sf_dir)
     terms = dictionary.fuzzy_words(r.dictionary(spark, sf_dir), asked, swaps)
-    found = dictionary.matching_docs(t.postings, terms, t.term_buckets)
+    found = dictionary.matching_docs(t.postings, terms, t.directory)
     return found.withColumn("score", F.round("score", 8))
 
 
@@ -802,7 +802,7 @@ def match_ranges(spark, sf_dir):
     """A word range for every benchmark text."""
     t = r.search_tables(spark, sf_dir)
     terms = dictionary.range_terms(r.dictionary(spark, sf_dir), r.asked_ranges(spark, sf_dir))
-    return dictionary.matching_docs(t.postings, terms, t.term_buckets)
+    return dictionary.matching_docs(t.postings, terms, t.directory)
 
 
 @query

@@ -16,7 +16,7 @@ from mailrank.session import fresh_path
 
 FIRST_MAIL = "2001-05-14 16:39:00"
 MINUTES = 5_000_000  # dates start over after that many documents
-BUILD_BUCKETS = 16
+BUILD_FILES = 16
 
 CELLS = 8
 SHARDS = 16
@@ -117,7 +117,7 @@ def search_tables(spark: SparkSession, sf_dir: str) -> SearchTables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         _built[key] = build_search_tables(
-            mails(spark, sf_dir), hash_embedder(), fresh_path(spark, "tables"), BUILD_BUCKETS
+            mails(spark, sf_dir), hash_embedder(), fresh_path(spark, "tables"), BUILD_FILES
         )
     return _built[key]
 

@@ -187,11 +187,11 @@ def probed(cells: Cells, query_vectors: DataFrame, nprobe: int, coarse_probes: i
 
 def knn_cells(
     cells: Cells, query_vectors: DataFrame, k: int, nprobe: int, coarse_probes: int,
-    limits: DataFrame | None = None, query_floats: int = QUERY_FLOATS, **grid,
+    limits: DataFrame | None = None, query_floats: int = QUERY_FLOATS, **blocks,
 ) -> DataFrame:
     """Top-k among the vectors of each query's ``nprobe`` nearest cells; like ``knn`` once they are all cells."""
     probes = probed(cells, query_vectors, nprobe, coarse_probes)
-    found = _candidates(cells.vectors, query_vectors, Kernel(k), probes, query_floats, **grid)
+    found = _candidates(cells.vectors, query_vectors, Kernel(k), probes, query_floats, **blocks)
     return top_k(found, k, limits=limits)
 
 

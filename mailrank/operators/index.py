@@ -129,7 +129,7 @@ def posted_lengths(postings: DataFrame) -> DataFrame:
 
 def term_stats(rows: DataFrame) -> DataFrame:
     """``(term, df)`` of postings, ``(field, term, df)`` of exact terms: documents per term."""
-    keys = [c for c in ("term_bucket", "field", "term") if c in rows.columns]
+    keys = [c for c in ("field", "term") if c in rows.columns]
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrank.operators.queries import target_terms
-from mailrank.session import SEPARATE_VALUES, Settled, one_of, settle
+from mailrank.session import PUSHED_VALUES, SEPARATE_VALUES, Settled, one_of, settle, sift
 
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
@@ -16,11 +19,6 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def term_bucket(term: Column, buckets: int) -> Column:
-    """The partition of the written postings a term lives in."""
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
 def length_norm(dl: Column, lossy: bool) -> Column:
     """Document length as scoring sees it.
 
@@ -34,42 +32,76 @@ def length_norm(dl: Column, lossy: bool) -> Column:
     return F.when(dl < 24, dl.cast("double")).otherwise(24 + F.floor(over / step) * step)
 
 
-def ask(terms: DataFrame, buckets: int | None = None) -> Settled:
-    """Settle the rows that ask for terms, with the bucket of each term noted."""
-    return settle(terms.withColumn("_bucket", term_bucket(F.col("term"), buckets or 1)))
+@dataclass(frozen=True)
+class Asked:
+    """Rows that ask for terms, settled. ``files`` are those of ranged tables that can hold
+    one of the terms, or None where that is not known or they are too many."""
 
+    settled: Settled
+    files: list[str] | None
 
-def with_terms(
-    rows: DataFrame, asked: Settled, joined: DataFrame | None = None, buckets: int | None = None
-) -> DataFrame:
+    @property
+    def df(self) -> DataFrame:
+        return self.settled.df
+
+
+def term_directory(rows: DataFrame) -> DataFrame:
+    """``(file, first_term, last_term, n_rows)`` of a table written in ranges of terms."""
+    return rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+def files_holding(directory: Settled, terms: list[str]) -> list[str] | None:
+    """The files whose span of terms has one of ``terms`` (sorted), if they are few."""
+    if directory.small:
+        spans = zip(*(directory.rows[c].to_pylist() for c in ("file", "first_term", "last_term")))
+        files = [file for file, first, last in spans if bisect_left(terms, first) < bisect_right(terms, last)]
+    else:
+        spans = F.exists(F.lit(terms), lambda t: t.between(F.col("first_term"), F.col("last_term")))
+        files = directory.df.where(spans).select("file").limit(PUSHED_VALUES + 1).toArrow()["file"].to_pylist()
+    return sorted(files) if len(files) <= PUSHED_VALUES else None
+
+
+def ask(terms: DataFrame, directory: Settled | None = None) -> Asked:
+    """Settle the rows that ask for terms, and look up which files can hold those."""
+    settled = settle(terms)
+    wanted = settled.values("term") if directory is not None else None
+    if wanted is None:
+        return Asked(settled, None)
+    return Asked(settled, files_holding(directory, [t for t in wanted if t is not None]))
+
+
+def with_terms(rows: DataFrame, asked: Asked, joined: DataFrame | None = None) -> DataFrame:
     """Rows of an index table whose term is asked for, joined to the asking rows.
 
     ``asked`` comes from :func:`ask`; it has ``term``, and ``field`` where the index table
-    has one. A small ask is broadcast, so the index never moves, and its terms (with the
-    partitions they live in, for tables written by bucket) are filtered in the scan. A
-    large ask is an ordinary join. ``joined`` is joined in place of ``asked``; it has at
-    most its rows.
+    has one. A small ask is broadcast, so the index never moves; the files that can hold its
+    terms are picked from their names before any is opened, and the terms are filtered in the
+    scan. For a large ask the index is sifted where it is read, then shuffled. ``joined`` is
+    joined in place of ``asked``; it has at most its rows.
     """
-    joined = asked.df.drop("_bucket") if joined is None else joined
+    joined = asked.df if joined is None else joined
     keys = [c for c in ("field", "term") if c in rows.columns and c in joined.columns]
-    homes = asked.values("_bucket") if buckets else None
-    if homes is not None and len(homes) < buckets:
-        rows = rows.where(F.col("term_bucket").isin(homes))
+    if not asked.settled.small:
+        return sift(rows, asked.df, keys).join(joined, keys)
+    if asked.files is not None:
+        rows = rows.where(F.col("_metadata.file_name").isin(asked.files))
     # More words than these are in most row groups anyway, and the join drops the rest.
-    terms = asked.values("term", SEPARATE_VALUES)
+    terms = asked.settled.values("term", SEPARATE_VALUES)
     if terms is not None:
         rows = rows.where(one_of(F.col("term"), terms))
-    return rows.join(F.broadcast(joined) if asked.small else joined, keys)
+    return rows.join(F.broadcast(joined), keys)
 
 
 def match_exact(
-    exact: DataFrame, query_terms: DataFrame, field: str | None = None, buckets: int | None = None
+    exact: DataFrame, query_terms: DataFrame, field: str | None = None, directory: Settled | None = None
 ) -> DataFrame:
     """``(qid, doc_id, field, term)`` of documents whose exact field equals a query's key."""
     asked = query_terms.select("qid", "field", "term").where("field != 'body_text'")
     if field:
         asked, exact = (d.where(F.col("field") == field) for d in (asked, exact))
-    return with_terms(exact, ask(asked, buckets), buckets=buckets).select("qid", "doc_id", "field", "term")
+    return with_terms(exact, ask(asked, directory)).select("qid", "doc_id", "field", "term")
 
 
 def exact_scores(
@@ -78,19 +110,19 @@ def exact_scores(
     fields: DataFrame,
     query_terms: DataFrame,
     k1: float = K1,
-    buckets: int | None = None,
+    directory: Settled | None = None,
 ) -> DataFrame:
     """``(qid, doc_id, score)`` of exact matches: ``idf / (1 + k1)`` per matching field.
 
     ``stats`` is ``(field, term, df)``, ``fields`` one row per field with its documents.
     """
-    asked = ask(query_terms.where("field != 'body_text'").select("qid", "field", "term"), buckets)
+    asked = ask(query_terms.where("field != 'body_text'").select("qid", "field", "term"), directory)
     weighted = (
-        with_terms(stats, asked, buckets=buckets)
+        with_terms(stats, asked)
         .join(F.broadcast(fields), "field")  # as many rows as there are exact fields
         .select("qid", "field", "term", (idf(F.col("n_docs"), F.col("df")) / (1 + k1)).alias("score"))
     )
-    return with_terms(exact, asked, weighted, buckets).select("qid", "doc_id", "score")
+    return with_terms(exact, asked, weighted).select("qid", "doc_id", "score")
 
 
 def bm25(
@@ -101,7 +133,7 @@ def bm25(
     k1: float = K1,
     b: float = B,
     lossy_length: bool = False,
-    buckets: int | None = None,
+    directory: Settled | None = None,
 ) -> DataFrame:
     """``(qid, doc_id, score)`` of documents with any of a query's words.
 
@@ -109,14 +141,14 @@ def bm25(
     Term weights are one row per asked word, so the large side is one filtered scan of
     the postings and a pre-aggregated sum.
     """
-    asked = ask(query_terms.select("qid", "term", "n"), buckets)
+    asked = ask(query_terms.select("qid", "term", "n"), directory)
     n_docs, avgdl = (corpus.select(c).scalar() for c in ("n_docs", "avgdl"))
     weight = F.col("n") * idf(n_docs, F.col("df"))
-    weights = with_terms(stats, asked, buckets=buckets).select("qid", "term", weight.alias("weight"))
+    weights = with_terms(stats, asked).select("qid", "term", weight.alias("weight"))
     dl = length_norm(F.col("dl"), lossy_length)
     pull = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / avgdl))
     return (
-        with_terms(postings, asked, weights, buckets)
+        with_terms(postings, asked, weights)
         .select("qid", "doc_id", (F.col("weight") * pull).alias("part"))
         .groupBy("qid", "doc_id")
         .agg(F.sum("part").alias("score"))
@@ -154,11 +186,11 @@ def keyword_scores(tables, queries: DataFrame, mode: str = "words", weights=None
     return sum_clauses(
         [
             exact_scores(
-                tables.exact_terms, tables.exact_stats, tables.field_stats, terms, buckets=tables.term_buckets
+                tables.exact_terms, tables.exact_stats, tables.field_stats, terms, directory=tables.directory
             ),
             bm25(
                 tables.postings, tables.term_stats, tables.corpus_stats, words,
-                buckets=tables.term_buckets, **options,
+                directory=tables.directory, **options,
             ),
         ],
         weights,

@@ -8,25 +8,26 @@ gives the final list.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailrank.functions.vectors import cosine
 from mailrank.operators.quantise import LEVELS
-from mailrank.session import fetch, settle
+from mailrank.session import fetch, fresh_path, settle
 
 SCORE_DIGITS = 9  # scores are ranked after rounding, so the order of summing cannot show
 QUERY_ROWS = 20_000  # query vectors sent to every worker,
 QUERY_FLOATS = 16_000_000  # and numbers in them: 128 MB as doubles
-CHUNK_ROWS = 32_768  # vectors and queries per cell of the shuffled way
-BLOCK_QUERIES = 4_096
+CHUNK_ROWS = 8_192  # vectors a task holds while queries too many to send stream past,
+BLOCK_QUERIES = 4_096  # and queries of a block
 SCORES_AT_ONCE = 4_000_000
 
 
@@ -183,54 +184,71 @@ def _scan(vectors: DataFrame, queries: pa.Table, kernel: Kernel, probes: pa.Tabl
     return vectors.select(*columns).mapInArrow(run, "qid BIGINT, doc_id BIGINT, score DOUBLE")
 
 
-def _grid(
-    vectors: DataFrame, queries: DataFrame, kernel: Kernel, chunk_rows: int, block_queries: int
-) -> DataFrame:
-    """Score two sides that are both large.
+def _blocks(vectors: DataFrame, queries: DataFrame, kernel: Kernel, chunk_rows: int, block_queries: int) -> DataFrame:
+    """Score two sides that are both large; only queries are copied.
 
-    Vectors fall into chunks and queries into blocks, both by a hash of their id; each
-    chunk meets each block in one group of known size. ``cell`` pairs only what has to
-    meet. Used when the query matrix is too large to send to every worker.
+    Queries are written to the shared folder, by ``cell`` where there are cells. A task reads
+    its vectors once, in chunks, and lets the query files of a chunk's cells stream past each,
+    a block at a time; it holds one chunk, one block and the best of that block. Vectors stay
+    where they are, or with cells are shuffled once so that a task has few cells.
     """
-    n_vectors = vectors.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
-    n_queries = queries.groupBy("cell").count().agg(F.max("count")).first()[0] or 0
-    chunks = max(1, math.ceil(n_vectors / chunk_rows))
-    blocks = max(1, math.ceil(n_queries / block_queries))
+    spark = vectors.sparkSession
+    path = fresh_path(spark, "queries")
+    celled = "cell" in vectors.columns
+    if celled:
+        queries.select("qid", "vec", "cell").hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+        vectors = vectors.select("doc_id", "vec", "cell").hint("rebalance", "cell").sortWithinPartitions("cell")
+    else:
+        queries.select("qid", "vec").write.parquet(path)
+        vectors = vectors.select("doc_id", "vec")
+
+    def blocks(folder: str) -> Iterator[pa.Table]:
+        system, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if info.is_file and info.path.endswith(".parquet"):
+                with system.open_input_file(info.path) as file:
+                    for batch in pq.ParquetFile(file).iter_batches(block_queries, columns=["qid", "vec"]):
+                        yield pa.Table.from_batches([batch])
+
+    def meet(chunk: pa.Table, folder: str) -> Iterator[pa.RecordBatch]:
+        fitted = None
+        for block in blocks(folder):
+            there, units, good = _asked(block["vec"])
+            if not good.any():
+                continue
+            if fitted is None or fitted[0] != units.shape[1]:
+                fitted = units.shape[1], *kernel.fitting(chunk["vec"], units.shape[1])
+            _, fits, matrix = fitted
+            ids = chunk["doc_id"].to_numpy()[fits]
+            query, hit, score = kernel.prune(*kernel.batch(ids, matrix, units[good]))
+            if len(query):
+                qids = block["qid"].to_numpy()[there][good]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qids[query].astype(np.int64)), pa.array(hit.astype(np.int64)), pa.array(score)],
+                    names=["qid", "doc_id", "score"],
+                )
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk_rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held)
 
-    def numbers(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            if not celled:
+                yield from meet(chunk, path)
+                continue
+            cells = chunk["cell"].to_numpy()
+            for cell in np.unique(cells):
+                yield from meet(chunk.filter(pa.array(cells == cell)), f"{path}/cell={int(cell)}")
 
-    left = vectors.select(
-        "doc_id", "vec", "cell", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"),
-        numbers(blocks).alias("block"),
-    )
-    right = queries.select(
-        "qid", "vec", "cell", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("block"),
-        numbers(chunks).alias("chunk"),
-    )
-    keys = ("cell", "chunk", "block")
-
-    def meet(vector_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        found = _stack([])
-        qids = np.zeros(0, np.int64)
-        if vector_rows.num_rows and query_rows.num_rows:
-            there, units, good = _asked(query_rows["vec"])
-            qids = query_rows["qid"].to_numpy()[there][good]
-        if len(qids):
-            fits, matrix = kernel.fitting(vector_rows["vec"], units.shape[1])
-            found = kernel.batch(vector_rows["doc_id"].to_numpy()[fits], matrix, units[good])
-        query, ids, scores = found
-        return pa.table(
-            {
-                "qid": pa.array(qids[query.astype(np.int64)].astype(np.int64)),
-                "doc_id": pa.array(ids.astype(np.int64)),
-                "score": pa.array(scores.astype(np.float64)),
-            }
-        )
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        meet, "qid BIGINT, doc_id BIGINT, score DOUBLE"
-    )
+    return vectors.mapInArrow(run, "qid BIGINT, doc_id BIGINT, score DOUBLE")
 
 
 def _small_queries(queries: DataFrame, query_floats: int) -> pa.Table | None:
@@ -241,7 +259,7 @@ def _small_queries(queries: DataFrame, query_floats: int) -> pa.Table | None:
     return head if head.num_rows <= rows and held <= query_floats else None
 
 
-def _candidates(vectors, queries, kernel, probes=None, query_floats=QUERY_FLOATS, **grid):
+def _candidates(vectors, queries, kernel, probes=None, query_floats=QUERY_FLOATS, **blocks):
     near = _small_queries(queries, query_floats)
     asked = None
     if near is not None and probes is not None:
@@ -251,11 +269,11 @@ def _candidates(vectors, queries, kernel, probes=None, query_floats=QUERY_FLOATS
         return _scan(vectors, near, kernel, asked)
     queries = queries.select(F.col("qid").cast("bigint").alias("qid"), "vec")
     if probes is None:
-        vectors, queries = (d.withColumn("cell", F.lit(0)) for d in (vectors, queries))
+        vectors = vectors.select("doc_id", "vec")
     else:
         queries = queries.join(probes.select(F.col("qid").cast("bigint").alias("qid"), "cell"), "qid")
-    return _grid(
-        vectors, queries, kernel, grid.get("chunk_rows", CHUNK_ROWS), grid.get("block_queries", BLOCK_QUERIES)
+    return _blocks(
+        vectors, queries, kernel, blocks.get("chunk_rows", CHUNK_ROWS), blocks.get("block_queries", BLOCK_QUERIES)
     )
 
 
@@ -266,7 +284,7 @@ def knn(
     limits: DataFrame | None = None,
     query_floats: int = QUERY_FLOATS,
     drop_odd: bool = False,
-    **grid,
+    **blocks,
 ) -> DataFrame:
     """Exact cosine top-k: ``(qid, doc_id, score, rank)``.
 
@@ -274,9 +292,9 @@ def knn(
     its ``k`` nearest vectors however far they are; vectors of no length have no angle and
     are left out, and so are null ones. A vector of another length than the queries' ends
     the job, or with ``drop_odd`` is left out. ``query_floats`` bounds what is sent to every
-    worker; more queries are matched by a shuffle instead, with the same result.
+    worker; more queries are read from the shared folder block by block, with the same result.
     """
-    found = _candidates(vectors, query_vectors, Kernel(k, drop_odd=drop_odd), None, query_floats, **grid)
+    found = _candidates(vectors, query_vectors, Kernel(k, drop_odd=drop_odd), None, query_floats, **blocks)
     return top_k(found, k, limits=limits)
 
 
@@ -295,7 +313,7 @@ def knn_ivf(
     limits: DataFrame | None = None,
     query_floats: int = QUERY_FLOATS,
     drop_odd: bool = False,
-    **grid,
+    **blocks,
 ) -> DataFrame:
     """Top-k among the vectors of each query's ``nprobe`` nearest cells.
 
@@ -303,7 +321,7 @@ def knn_ivf(
     :func:`knn`, whose rules for null and odd vectors hold here too.
     """
     probes = probe_cells(centroids, query_vectors, nprobe)
-    found = _candidates(vectors, query_vectors, Kernel(k, drop_odd=drop_odd), probes, query_floats, **grid)
+    found = _candidates(vectors, query_vectors, Kernel(k, drop_odd=drop_odd), probes, query_floats, **blocks)
     return top_k(found, k, limits=limits)
 
 
@@ -318,7 +336,7 @@ def knn_int8(
     centroids: DataFrame | None = None,
     nprobe: int = 1,
     query_floats: int = QUERY_FLOATS,
-    **grid,
+    **blocks,
 ) -> DataFrame:
     """Top-k over int8 codes ``(doc_id, codes)``.
 
@@ -332,7 +350,7 @@ def knn_int8(
     cell = ["cell"] if centroids is not None else []
     coded = codes.select("doc_id", F.col("codes").alias("vec"), *cell)
     probes = probe_cells(centroids, query_vectors, nprobe) if cell else None
-    found = top_k(_candidates(coded, query_vectors, kernel, probes, query_floats, **grid), take)
+    found = top_k(_candidates(coded, query_vectors, kernel, probes, query_floats, **blocks), take)
     if vectors is not None:
         asked = query_vectors.select(F.col("qid").cast("bigint").alias("qid"), F.col("vec").alias("_q"))
         queries = settle(asked, query_floats // 1_024).df

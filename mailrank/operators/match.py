@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrank.operators.dictionary import swap_distance
-from mailrank.operators.keyword import ask, with_terms
+from mailrank.operators.keyword import Asked, ask, with_terms
 from mailrank.session import Settled, settle
 
 
@@ -20,38 +20,38 @@ def query_words(spark, terms: dict[int, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "qid BIGINT, term STRING, place INT")
 
 
-def _sizes(asked: Settled) -> DataFrame:
+def _sizes(asked: Asked) -> DataFrame:
     """``(qid, n_terms)``, at most one row per asked term."""
     sizes = asked.df.groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
-    return F.broadcast(sizes) if asked.small else sizes
+    return F.broadcast(sizes) if asked.settled.small else sizes
 
 
-def match_all(postings: DataFrame, query_terms: DataFrame, buckets: int | None = None) -> DataFrame:
+def match_all(postings: DataFrame, query_terms: DataFrame, directory: Settled | None = None) -> DataFrame:
     """``(qid, doc_id)`` of documents that hold every word of a query."""
-    asked = ask(query_terms.select("qid", "term").distinct(), buckets)
+    asked = ask(query_terms.select("qid", "term").distinct(), directory)
     sizes = _sizes(asked)
-    found = with_terms(postings, asked, buckets=buckets)
+    found = with_terms(postings, asked)
     matched = found.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n_found"))
     return matched.join(sizes, "qid").where("n_found = n_terms").select("qid", "doc_id")
 
 
-def match_any(postings: DataFrame, query_terms: DataFrame, buckets: int | None = None) -> DataFrame:
+def match_any(postings: DataFrame, query_terms: DataFrame, directory: Settled | None = None) -> DataFrame:
     """``(qid, doc_id)`` of documents that hold at least one word of a query."""
-    asked = ask(query_terms.select("qid", "term").distinct(), buckets)
-    return with_terms(postings, asked, buckets=buckets).select("qid", "doc_id").distinct()
+    asked = ask(query_terms.select("qid", "term").distinct(), directory)
+    return with_terms(postings, asked).select("qid", "doc_id").distinct()
 
 
-def match_none(ranked: DataFrame, postings: DataFrame, query_terms: DataFrame, buckets: int | None = None) -> DataFrame:
+def match_none(ranked: DataFrame, postings: DataFrame, query_terms: DataFrame, directory: Settled | None = None) -> DataFrame:
     """Rows of ``ranked`` whose document holds none of the query's words."""
-    asked = ask(query_terms.select("qid", "term").distinct(), buckets)
-    held = with_terms(postings, asked, buckets=buckets).select("qid", "doc_id")
+    asked = ask(query_terms.select("qid", "term").distinct(), directory)
+    held = with_terms(postings, asked).select("qid", "doc_id")
     return ranked.join(held, ["qid", "doc_id"], "left_anti")
 
 
-def _may_hold(postings: DataFrame, stats: DataFrame, asked: Settled, buckets: int | None) -> DataFrame:
+def _may_hold(postings: DataFrame, stats: DataFrame, asked: Asked, directory: Settled | None) -> DataFrame:
     """``(qid, doc_id)`` of documents with a query's rarest word: no others can hold them all."""
-    rarest = with_terms(stats, asked, buckets=buckets).groupBy("qid").agg(F.min_by("term", "df").alias("term"))
-    found = with_terms(postings, ask(rarest, buckets), buckets=buckets).select("qid", "doc_id")
+    rarest = with_terms(stats, asked).groupBy("qid").agg(F.min_by("term", "df").alias("term"))
+    found = with_terms(postings, ask(rarest, directory)).select("qid", "doc_id")
     return settle(found).df
 
 
@@ -59,7 +59,7 @@ def match_phrase(
     postings: DataFrame,
     query_terms: DataFrame,
     slop: int = 0,
-    buckets: int | None = None,
+    directory: Settled | None = None,
     stats: DataFrame | None = None,
 ) -> DataFrame:
     """``(qid, doc_id, n_places)`` of documents that hold a query's words one after another.
@@ -71,10 +71,10 @@ def match_phrase(
     position of its own: a word the phrase holds twice must be there twice.
     With the term ``stats`` given, only documents with a phrase's rarest word are looked at.
     """
-    asked = ask(query_terms.select("qid", "term", "place"), buckets)
-    rows = with_terms(postings, asked, buckets=buckets).select("qid", "doc_id", "term", "place", "positions")
+    asked = ask(query_terms.select("qid", "term", "place"), directory)
+    rows = with_terms(postings, asked).select("qid", "doc_id", "term", "place", "positions")
     if stats is not None:
-        rows = rows.join(_may_hold(postings, stats, asked, buckets), ["qid", "doc_id"], "left_semi")
+        rows = rows.join(_may_hold(postings, stats, asked, directory), ["qid", "doc_id"], "left_semi")
     starts = F.transform("positions", lambda p: p - F.col("place"))
     word = F.struct("term", "place", starts.alias("starts"))
     per_doc = (
@@ -106,7 +106,7 @@ def match_phrase(
     return per_doc.select("qid", "doc_id", F.size(places).alias("n_places")).where("n_places > 0")
 
 
-def _holding(postings: DataFrame, stats: DataFrame | None, test: Column, buckets: int | None) -> DataFrame:
+def _holding(postings: DataFrame, stats: DataFrame | None, test: Column, directory: Settled | None) -> DataFrame:
     """``(doc_id)`` of documents with a word that passes ``test``.
 
     With the term ``stats`` given, words are tested there, once each, and only postings of
@@ -114,14 +114,14 @@ def _holding(postings: DataFrame, stats: DataFrame | None, test: Column, buckets
     """
     if stats is None:
         return postings.where(test).select("doc_id").distinct()
-    return with_terms(postings, ask(stats.where(test).select("term"), buckets), buckets=buckets).select("doc_id").distinct()
+    return with_terms(postings, ask(stats.where(test).select("term"), directory)).select("doc_id").distinct()
 
 
 def match_prefix(
-    postings: DataFrame, prefix: str, stats: DataFrame | None = None, buckets: int | None = None
+    postings: DataFrame, prefix: str, stats: DataFrame | None = None, directory: Settled | None = None
 ) -> DataFrame:
     """``(doc_id)`` of documents with a word that starts with ``prefix``; the scan filters."""
-    return _holding(postings, stats, F.col("term").startswith(prefix), buckets)
+    return _holding(postings, stats, F.col("term").startswith(prefix), directory)
 
 
 def wildcard_to_regex(pattern: str) -> tuple[str, str]:
@@ -135,19 +135,19 @@ def wildcard_to_regex(pattern: str) -> tuple[str, str]:
 
 
 def match_wildcard(
-    postings: DataFrame, pattern: str, stats: DataFrame | None = None, buckets: int | None = None
+    postings: DataFrame, pattern: str, stats: DataFrame | None = None, directory: Settled | None = None
 ) -> DataFrame:
     """``(doc_id)`` of documents with a word of that ``*``/``?`` shape."""
     regex, literal = wildcard_to_regex(pattern)
     test = F.col("term").rlike(regex)
-    return _holding(postings, stats, F.col("term").startswith(literal) & test if literal else test, buckets)
+    return _holding(postings, stats, F.col("term").startswith(literal) & test if literal else test, directory)
 
 
 def match_regex(
-    postings: DataFrame, pattern: str, stats: DataFrame | None = None, buckets: int | None = None
+    postings: DataFrame, pattern: str, stats: DataFrame | None = None, directory: Settled | None = None
 ) -> DataFrame:
     """``(doc_id)`` of documents with a word the whole pattern matches."""
-    return _holding(postings, stats, F.col("term").rlike(f"^(?:{pattern})$"), buckets)
+    return _holding(postings, stats, F.col("term").rlike(f"^(?:{pattern})$"), directory)
 
 
 def match_range(
@@ -156,7 +156,7 @@ def match_range(
     hi: str | None,
     inclusive: bool = True,
     stats: DataFrame | None = None,
-    buckets: int | None = None,
+    directory: Settled | None = None,
 ) -> DataFrame:
     """``(doc_id)`` of documents with a word between ``lo`` and ``hi``; None leaves an end open."""
     term, test = F.col("term"), F.lit(True)
@@ -164,7 +164,7 @@ def match_range(
         test = test & (term >= lo if inclusive else term > lo)
     if hi is not None:
         test = test & (term <= hi if inclusive else term < hi)
-    return _holding(postings, stats, test, buckets)
+    return _holding(postings, stats, test, directory)
 
 
 def fuzzy_terms(stats: DataFrame, term: str, distance: int = 2, swaps: bool = False) -> DataFrame:
@@ -187,8 +187,8 @@ def fuzzy_terms(stats: DataFrame, term: str, distance: int = 2, swaps: bool = Fa
 
 def match_fuzzy(
     postings: DataFrame, stats: DataFrame, term: str, distance: int = 2, swaps: bool = False,
-    buckets: int | None = None,
+    directory: Settled | None = None,
 ) -> DataFrame:
     """``(doc_id, edits)``: documents with a word close to ``term`` and the fewest edits it takes."""
-    near = ask(fuzzy_terms(stats, term, distance, swaps), buckets)
-    return with_terms(postings, near, buckets=buckets).groupBy("doc_id").agg(F.min("edits").alias("edits"))
+    near = ask(fuzzy_terms(stats, term, distance, swaps), directory)
+    return with_terms(postings, near).groupBy("doc_id").agg(F.min("edits").alias("edits"))

@@ -95,17 +95,17 @@ def bm25_top(
     query_terms: DataFrame,
     k: int,
     limits: DataFrame | None = None,
-    buckets: int | None = None,
+    directory: Settled | None = None,
 ) -> DataFrame:
     """``(qid, doc_id, score, rank)``: the ``k`` best of :func:`mailrank.operators.keyword.bm25`.
 
     The shard with a query's highest bound is read first; its ``k``-th score is what the bound
     of any other shard has to reach to be read at all. A shard without ``k`` documents sets
-    no floor. ``stats`` is ``(term, df)``, ``buckets`` the count it is written by.
+    no floor. ``stats`` is ``(term, df)``, ``directory`` that of its files.
     """
-    asked = ask(query_terms.select("qid", "term", "n"), buckets)
+    asked = ask(query_terms.select("qid", "term", "n"), directory)
     weight = F.col("n") * idf(F.lit(sharded.n_docs), F.col("df"))
-    weighted = with_terms(stats, asked, buckets=buckets).groupBy("qid", "term").agg(F.sum(weight).alias("weight"))
+    weighted = with_terms(stats, asked).groupBy("qid", "term").agg(F.sum(weight).alias("weight"))
     weights = settle(weighted)
     bounds = sharded.bounds
     terms = weights.values("term", SEPARATE_VALUES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,14 +11,13 @@ from pyspark.sql import functions as F
 from mailrank.functions.text import EMBED_CHARS
 from mailrank.operators import index
 from mailrank.operators.embed import Embedder
-from mailrank.operators.keyword import term_bucket
-
-TERM_BUCKETS = 64
+from mailrank.operators.keyword import term_directory
+from mailrank.session import Settled, settle
 
 
 @dataclass(frozen=True)
 class SearchTables:
-    """The tables a search reads. ``term_buckets`` is set where postings are written by bucket."""
+    """The tables a search reads. ``directory`` is set where they are written: the span of terms of each file."""
 
     docs: DataFrame
     vectors: DataFrame
@@ -27,7 +27,7 @@ class SearchTables:
     postings: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
-    term_buckets: int | None = None
+    directory: Settled | None = None
 
 
 TABLES = ("docs", "vectors", "exact_terms", "exact_stats", "field_stats", "postings", "term_stats", "corpus_stats")
@@ -54,7 +54,7 @@ def build_search_tables(
     emails: DataFrame,
     embedder: Embedder,
     path: str,
-    term_buckets: int = TERM_BUCKETS,
+    files: int | None = None,
     normalise: bool = False,
     embed_chars: int = EMBED_CHARS,
 ) -> SearchTables:
@@ -62,39 +62,47 @@ def build_search_tables(
 
     The stored fields are written first, sorted by ``doc_id`` within their files, and
     everything else is read from them, so the messages are parsed once. Tables that are
-    looked up by term are partitioned by a hash bucket of the term and sorted by term
-    inside: a query reads a few buckets, and of those the row groups that can hold its
-    words. A rebalancing shuffle splits a bucket with a very frequent term over several
-    tasks and files. ``embed_chars`` is how much of subject and body the vector is made of.
+    looked up by term are sorted by term over all their files, and the postings of one term
+    by document: a frequent term fills files of its own, a rare one shares a file, however
+    many there are. A directory of the first and last term of each file tells a search which
+    files to open, and inside them row groups are skipped by the term. ``files`` is how many
+    each such table has at most; if not given, the session's shuffle partitions, merged where
+    they are small. Ranges are found by sampling, which analyses the texts a second time
+    instead of writing and shuffling them twice. ``embed_chars`` is how much of subject and
+    body the vector is made of.
     """
     spark = emails.sparkSession
 
-    def save(df: DataFrame, name: str, *by: str) -> DataFrame:
-        df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
     def by_term(df: DataFrame) -> DataFrame:
-        bucketed = df.withColumn("term_bucket", term_bucket(F.col("term"), term_buckets))
-        order = [c for c in ("term_bucket", "term", "doc_id") if c in bucketed.columns]
-        return bucketed.hint("rebalance", "term_bucket").sortWithinPartitions(*order)
+        order = [c for c in ("field", "term", "doc_id") if c in df.columns]
+        ranged = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+        return ranged.sortWithinPartitions(*order)
 
     docs = save(index.stored_fields(emails).sortWithinPartitions("doc_id"), "docs")
-    exact = save(by_term(index.exact_terms(docs, normalise)), "exact_terms", "term_bucket")
-    posted = save(by_term(index.postings(docs)), "postings", "term_bucket")
-    sizes = index.corpus_stats(index.posted_lengths(posted)).withColumn("term_buckets", F.lit(term_buckets))
+    exact = save(by_term(index.exact_terms(docs, normalise)), "exact_terms")
+    posted = save(by_term(index.postings(docs)), "postings")
+    looked_up = {
+        "exact_terms": exact,
+        "postings": posted,
+        "exact_stats": save(by_term(index.term_stats(exact)), "exact_stats"),
+        "term_stats": save(by_term(index.term_stats(posted)), "term_stats"),
+    }
+    # File names are unique, so one directory serves all tables.
+    spans = reduce(DataFrame.unionByName, map(term_directory, looked_up.values()))
     return SearchTables(
         docs=docs,
         vectors=save(index.vector_table(docs, embedder, embed_chars), "vectors"),
-        exact_terms=exact,
-        exact_stats=save(by_term(index.term_stats(exact)), "exact_stats", "term_bucket"),
         field_stats=save(index.field_stats(exact), "field_stats"),
-        postings=posted,
-        term_stats=save(by_term(index.term_stats(posted)), "term_stats", "term_bucket"),
-        corpus_stats=save(sizes, "corpus_stats"),
-        term_buckets=term_buckets,
+        corpus_stats=save(index.corpus_stats(index.posted_lengths(posted)), "corpus_stats"),
+        directory=settle(save(spans.sort("first_term", "file"), "directory")),
+        **looked_up,
     )
 
 
 def open_search_tables(spark: SparkSession, path: str) -> SearchTables:
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-    return SearchTables(**tables, term_buckets=tables["corpus_stats"].first().term_buckets)
+    return SearchTables(**tables, directory=settle(spark.read.parquet(f"{path}/directory")))

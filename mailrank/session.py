@@ -18,6 +18,8 @@ SMALL_ROWS = 50_000
 SMALL_BYTES = 64 * 1024 * 1024
 PUSHED_VALUES = 1_000  # as many literal values go into a scan filter,
 SEPARATE_VALUES = 60  # and as many go there one by one
+FILTER_WORDS = 1 << 21  # 64-bit words in a filter of keys, at most; some 64 MB once hashed for a join
+BITS_PER_KEY = 16
 VALUES_PER_LIST = 10  # longer IN lists reach a Parquet scan only as their smallest and largest value
 
 
@@ -67,13 +69,16 @@ class Settled:
 def settle(df: DataFrame, max_rows: int | None = None) -> Settled:
     """Replace ``df`` by a local, broadcast-hinted copy if it has at most ``max_rows`` rows.
 
-    Above that bound ``df`` comes back untouched, so its joins are shuffled joins.
-    For rows of numbers and words; rows with texts go through :func:`settle_texts`.
+    Above that bound it is written to the shared folder, so that what made it does not run
+    again with each reader, and its joins are shuffled joins. For rows of numbers and words;
+    rows with texts go through :func:`settle_texts`.
     """
     max_rows = SMALL_ROWS if max_rows is None else max_rows
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows:
-        return Settled(df, None)
+        path = fresh_path(df.sparkSession, "asked")
+        df.write.parquet(path)
+        return Settled(df.sparkSession.read.schema(df.schema).parquet(path), None)
     return Settled(F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema)), head)
 
 
@@ -101,11 +106,36 @@ def one_of(c: Column, values: list) -> Column:
     return reduce(or_, [c.isin(part) for part in lists])
 
 
+def sift(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without most of those whose keys nobody asks for, dropped where they are read.
+
+    A Bloom filter of one hash, kept as 64-bit words by their number, so probing it is an
+    equi-join with a broadcast side of at most ``FILTER_WORDS`` rows however many ask. At
+    ``BITS_PER_KEY`` one row in sixteen that nobody asks for passes; a join has to follow.
+    """
+    kinds = dict(rows.dtypes)
+    words = max(1, min(FILTER_WORDS, asked.count() * BITS_PER_KEY // 64))
+
+    def place(cast: bool) -> Column:
+        values = [F.col(k).cast(kinds[k]) if cast else F.col(k) for k in keys]
+        return F.pmod(F.xxhash64(*values), F.lit(words * 64))
+
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_place") % 64).cast("int"))
+    filled = asked.select(place(True).alias("_place")).groupBy(F.shiftright("_place", 6).alias("_word"))
+    held = filled.agg(F.bit_or(bit).alias("_bits"))
+    placed = rows.withColumn("_place", place(False)).withColumn("_word", F.shiftright("_place", 6))
+    found = placed.join(F.broadcast(held), "_word").where(F.getbit("_bits", (F.col("_place") % 64).cast("int")) == 1)
+    return found.drop("_place", "_word", "_bits")
+
+
 def fetch(rows: DataFrame, asked: Settled, key: str = "doc_id") -> DataFrame:
     """``rows`` joined to the asking rows by ``key``, of which a bounded number is filtered in the scan.
 
-    Of a large table sorted by ``key`` only the pages with those keys are read.
+    Of a large table sorted by ``key`` only the pages with those keys are read. Beyond the
+    bound of :func:`settle` the table is sifted before it is shuffled.
     """
+    if not asked.small:
+        return sift(rows, asked.df, [key]).join(asked.df, key)
     keys = asked.values(key)
     if keys is not None:
         rows = rows.where(one_of(F.col(key), keys))

@@ -50,18 +50,18 @@ def test_no_python_in_parsing_and_index(raw):
 
 def test_only_used_columns_are_read(tables):
     asked = match.query_words(tables.docs.sparkSession, {1: ["the"]})
-    found = plan(match.match_all(tables.postings, asked, tables.term_buckets))
+    found = plan(match.match_all(tables.postings, asked, tables.directory))
     assert "ReadSchema: struct<term:string,doc_id:bigint>" in found
 
 
-def test_terms_prune_buckets_and_row_groups(spark, tables):
+def test_terms_prune_files_and_row_groups(spark, tables):
     asked = spark.createDataFrame([(1, t, 1) for t in ("the", "aich")], "qid BIGINT, term STRING, n BIGINT")
     found = plan(
         keyword.bm25(
-            tables.postings, tables.term_stats, tables.corpus_stats, asked, buckets=tables.term_buckets
+            tables.postings, tables.term_stats, tables.corpus_stats, asked, directory=tables.directory
         )
     )
-    assert "PartitionFilters: [term_bucket" in found or "PartitionFilters: [isnotnull(term_bucket" in found
+    assert "DataFilters: [file_name" in found
     assert "In(term, [aich,the])" in found
     assert "BroadcastHashJoin" in found and "SortMergeJoin" not in found
 
@@ -85,9 +85,76 @@ def test_large_asks_are_not_broadcast(spark, tables, monkeypatch):
     monkeypatch.setattr(session, "SMALL_ROWS", 1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     asked = match.query_words(spark, {1: ["the", "of"]})
-    found = plan(match.match_any(tables.postings, asked, tables.term_buckets))
+    found = plan(match.match_any(tables.postings, asked, tables.directory))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in found and "BroadcastHashJoin" not in found
+    assert "SortMergeJoin" in found
+    # What is shuffled of the postings has passed the filter of asked words, which is broadcast.
+    scan = found.index("FileScan parquet", found.index("getbit"))
+    assert "Exchange hashpartitioning" not in found[found.index("getbit"):scan].split("BroadcastExchange")[0]
+
+
+def files_read(df):
+    """How many files the one scan of a plan opens."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    assert leaves.size() == 1
+    return leaves.apply(0).metrics().apply("numFiles").value()
+
+
+def test_a_term_meets_few_files(spark, tables):
+    files = tables.directory.rows.to_pylist()
+    at = {f["file"]: f for f in files}
+    posted = tables.postings.groupBy("term", F.col("_metadata.file_name").alias("file")).count().collect()
+    homes = {}
+    for r in posted:
+        homes.setdefault(r.term, []).append(r.file)
+        assert at[r.file]["first_term"] <= r.term <= at[r.file]["last_term"]
+    # Ranges: a term that is in a third file fills the one between.
+    for term, held in homes.items():
+        filled = [f for f in held if at[f]["first_term"] == term == at[f]["last_term"]]
+        assert len(held) - len(filled) <= 2
+    rare = min((t for t, held in homes.items() if len(held) == 1), key=len)
+    asked = keyword.ask(match.query_words(spark, {1: [rare]}), tables.directory)
+    assert files_read(tables.postings.where(F.col("_metadata.file_name").isin(asked.files))) == 1
+
+
+def test_a_frequent_term_is_split_by_document(spark, tmp_path):
+    from mailrank.plans.build import build_search_tables
+
+    columns = "message_id STRING, from_email STRING, from_name STRING, all_recipients STRING, subject STRING, body_content STRING, labels STRING"
+    mails = spark.range(4000).select(
+        F.col("id").alias("doc_id"),
+        *[F.lit("").alias(c.split()[0]) for c in columns.split(", ") if "body" not in c],
+        F.concat(F.lit("often word"), (F.col("id") % 7).cast("string")).alias("body_content"),
+        F.lit(0).cast("bigint").alias("timestamp_ms"), F.lit(False).alias("has_attachments"),
+    )
+    made = build_search_tables(mails, embed.hash_embedder(), str(tmp_path), 8)
+    spans = made.postings.where("term = 'often'").groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")
+    ).orderBy("lo").collect()
+    assert len(spans) >= 3 and max(s.n for s in spans) < 2000
+    assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
+
+
+def test_directory_too_large_to_hold_gives_the_same_files(spark, tables):
+    from mailrank.session import Settled
+
+    spread = Settled(tables.directory.df, None)
+    for terms in (["the"], ["aich", "the", "zz"], [], ["0", "~"]):
+        assert keyword.files_holding(spread, terms) == keyword.files_holding(tables.directory, terms)
+
+
+def test_sifting_keeps_all_that_is_asked(spark):
+    from mailrank.session import sift
+
+    rows = spark.range(20_000).select((F.col("id") % 5000).cast("int").alias("doc_id"), F.col("id").alias("n"))
+    asked = spark.range(0, 5000, 50).select(F.col("id").alias("doc_id"))
+    left = sift(rows, asked, ["doc_id"])
+    assert left.columns == rows.columns
+    assert left.join(asked, "doc_id").count() == 400
+    assert left.count() < 4000
+    assert sift(rows, asked.where("doc_id < 0"), ["doc_id"]).count() == 0
+    assert sift(rows.where("n < 0"), asked, ["doc_id"]).count() == 0
 
 
 def test_stream_equals_batch(spark, raw, tmp_path):

@@ -187,7 +187,7 @@ def test_mixed_case_sender_needs_a_normalised_index(mails, spark):
 def test_raw_target(tables, queries, spark):
     asked = spark.createDataFrame([(1, "", "Example.COM", 5), (2, "", "the plan", 5)], queries.schema)
     args = (tables.postings, tables.term_stats, tables.corpus_stats, asked)
-    assert [(r.qid, r.doc_id) for r in keyword.match_raw_term(*args, buckets=4).collect()] == [(1, 1)]
+    assert [(r.qid, r.doc_id) for r in keyword.match_raw_term(*args).collect()] == [(1, 1)]
 
 
 def test_tables_open_again(spark, mails, queries):
@@ -196,7 +196,7 @@ def test_tables_open_again(spark, mails, queries):
     opened = open_search_tables(spark, path)
     for name in ("docs", "exact_terms", "postings", "term_stats"):
         assert sorted(getattr(built, name).collect()) == sorted(getattr(opened, name).collect())
-    assert opened.term_buckets == 4
+    assert opened.directory.rows.sort_by("file") == built.directory.rows.sort_by("file")
     # A second build replaces the first.
     build_search_tables(mails, embed.hash_embedder(), path, 4)
     assert spark.read.parquet(f"{path}/docs").count() == len(MAILS)
@@ -254,7 +254,7 @@ def test_phrase(monkeypatch, spark, tables, words, slop, rarest, small_rows):
     monkeypatch.setattr(session, "SMALL_ROWS", small_rows)
     phrases = {1: ["the", "budget"], 2: ["the", "plan"], 3: ["budget", "the", "budget"], 4: ["plan", "the"], 5: ["the", "the"]}
     stats = tables.term_stats if rarest else None
-    found = match.match_phrase(tables.postings, match.query_words(spark, phrases), slop, 4, stats)
+    found = match.match_phrase(tables.postings, match.query_words(spark, phrases), slop, tables.directory, stats)
     got = defaultdict(dict)
     for r in found.collect():
         got[r.qid][r.doc_id] = r.n_places
@@ -280,11 +280,11 @@ def ids(df):
 
 def test_all_any_none(spark, tables, words):
     asked = match.query_words(spark, {1: ["the", "budget", "the"]})
-    every = match.match_all(tables.postings, asked, 4)
+    every = match.match_all(tables.postings, asked, tables.directory)
     assert ids(every) == {d for d, w in words.items() if {"the", "budget"} <= set(w)}
-    some = match.match_any(tables.postings, asked, 4)
+    some = match.match_any(tables.postings, asked, tables.directory)
     assert ids(some) == {d for d, w in words.items() if {"the", "budget"} & set(w)}
-    left = match.match_none(some, tables.postings, match.query_words(spark, {1: ["plan"]}), 4)
+    left = match.match_none(some, tables.postings, match.query_words(spark, {1: ["plan"]}), tables.directory)
     assert ids(left) == {d for d, w in words.items() if {"the", "budget"} & set(w) and "plan" not in w}
 
 
@@ -304,9 +304,9 @@ def test_patterns(tables, words):
 
 def test_fuzzy(tables):
     args = (tables.postings, tables.term_stats)
-    assert {r.edits for r in match.match_fuzzy(*args, "budgte", 2, buckets=4).collect()} == {2}
-    assert match.match_fuzzy(*args, "budgte", 1, buckets=4).count() == 0
-    swapped = match.match_fuzzy(*args, "budgte", 1, swaps=True, buckets=4)
+    assert {r.edits for r in match.match_fuzzy(*args, "budgte", 2).collect()} == {2}
+    assert match.match_fuzzy(*args, "budgte", 1).count() == 0
+    swapped = match.match_fuzzy(*args, "budgte", 1, swaps=True)
     assert ids(swapped) == {0, 1, 3} and {r.edits for r in swapped.collect()} == {1}
 
 
