@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailrank.operators.queries import target_terms
-from mailrank.session import PUSHED_VALUES, SEPARATE_VALUES, Settled, one_of, settle, sift
+from mailrank.session import PUSHED_VALUES, SEPARATE_VALUES, SMALL_ROWS, Settled, one_of, settle, sift
 
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
@@ -66,7 +66,10 @@ def files_holding(directory: Settled, terms: list[str]) -> list[str] | None:
 def ask(terms: DataFrame, directory: Settled | None = None) -> Asked:
     """Settle the rows that ask for terms, and look up which files can hold those."""
     settled = settle(terms)
-    wanted = settled.values("term") if directory is not None else None
+    if directory is None:
+        return Asked(settled, None)
+    # A directory held here is looked up for any settled ask; else the terms go into a filter.
+    wanted = settled.values("term", SMALL_ROWS if directory.small else PUSHED_VALUES)
     if wanted is None:
         return Asked(settled, None)
     return Asked(settled, files_holding(directory, [t for t in wanted if t is not None]))

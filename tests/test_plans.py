@@ -144,6 +144,17 @@ def test_directory_too_large_to_hold_gives_the_same_files(spark, tables):
         assert keyword.files_holding(spread, terms) == keyword.files_holding(tables.directory, terms)
 
 
+def test_many_terms_still_pick_files(spark, tables):
+    words = [r.term for r in tables.term_stats.where("term < 'c'").select("term").collect()]
+    many = words + [f"a{i}" for i in range(1500)]
+    asked = keyword.ask(match.query_words(spark, {1: many}).select("qid", "term").distinct(), tables.directory)
+    spans = {f["file"]: f for f in tables.directory.rows.to_pylist()}
+    assert asked.files and all(spans[f]["first_term"] < "c" for f in asked.files) and len(asked.files) < len(spans)
+    assert match.match_any(tables.postings, match.query_words(spark, {1: many}), tables.directory).count() == (
+        tables.postings.where("term < 'c'").select("doc_id").distinct().count()
+    )
+
+
 def test_sifting_keeps_all_that_is_asked(spark):
     from mailrank.session import sift
 
