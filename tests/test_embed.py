@@ -170,3 +170,15 @@ def test_dim_report(spark):
     df = spark.createDataFrame([([1.0],), ([1.0, 2.0],), ([3.0],)], "vec ARRAY<FLOAT>")
     rows = {r.dim: (r.n_vectors, r.mismatch) for r in embed.dim_report(df, 1).collect()}
     assert rows == {1: (2, False), 2: (1, True)}
+
+
+def test_a_joined_vocabulary_leaves_texts_where_they_are(spark, vocab, monkeypatch):
+    monkeypatch.setattr(embed, "RUN_BITS", 1)
+    texts = ["hello new", "zzz", "", None, "new x hello", "hello", "new"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, t STRING").coalesce(2)
+    coded = embed.encode_tokens(docs, "t", vocab, vocab_rows=1)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    known = {"hello": 10, "new": 11}
+    got = {r.doc_id: r.ids for r in coded.collect()}
+    assert got == {i: [2, *(known.get(w, 1) for w in (t or "").split()), 3] for i, t in enumerate(texts)}
