@@ -47,8 +47,10 @@ class Asked:
 
 def term_directory(rows: DataFrame) -> DataFrame:
     """``(file, first_term, last_term, n_rows)`` of a table written in ranges of terms."""
-    return rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(
-        F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.count(F.lit(1)).alias("n_rows")
+    # The smallest of strings is found by sorting them, so each word of a file is counted first.
+    words = rows.groupBy(F.col("_metadata.file_name").alias("file"), "term").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy("file").agg(
+        F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.sum("n").alias("n_rows")
     )
 
 

@@ -30,6 +30,8 @@ class SearchTables:
     directory: Settled | None = None
 
 
+TEXT_PER_FILE = 8 * 1024 * 1024  # bytes of text whose postings make a file, about: a task sorts them
+
 TABLES = ("docs", "vectors", "exact_terms", "exact_stats", "field_stats", "postings", "term_stats", "corpus_stats")
 
 
@@ -50,6 +52,11 @@ def derive_search_tables(emails: DataFrame, embedder: Embedder, normalise: bool
     )
 
 
+def _posting_files(docs: DataFrame) -> int:
+    held = docs.agg(F.sum(F.octet_length("body_content"))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-held // TEXT_PER_FILE))
+
+
 def build_search_tables(
     emails: DataFrame,
     embedder: Embedder,
@@ -66,8 +73,9 @@ def build_search_tables(
     by document: a frequent term fills files of its own, a rare one shares a file, however
     many there are. A directory of the first and last term of each file tells a search which
     files to open, and inside them row groups are skipped by the term. ``files`` is how many
-    each such table has at most; if not given, the session's shuffle partitions, merged where
-    they are small. Ranges are found by sampling, which analyses the texts a second time
+    each such table has at most; if not given, postings have one for each ``TEXT_PER_FILE`` bytes
+    of text, one a core at least, so that what a task sorts does not grow with the mails, and the
+    smaller tables the session's shuffle partitions, merged where they are small. Ranges are found by sampling, which analyses the texts a second time
     instead of writing and shuffling them twice. ``embed_chars`` is how much of subject and
     body the vector is made of.
     """
@@ -77,14 +85,14 @@ def build_search_tables(
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    def by_term(df: DataFrame) -> DataFrame:
+    def by_term(df: DataFrame, n: int | None = files) -> DataFrame:
         order = [c for c in ("field", "term", "doc_id") if c in df.columns]
-        ranged = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+        ranged = df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
         return ranged.sortWithinPartitions(*order)
 
     docs = save(index.stored_fields(emails).sortWithinPartitions("doc_id"), "docs")
     exact = save(by_term(index.exact_terms(docs, normalise)), "exact_terms")
-    posted = save(by_term(index.postings(docs)), "postings")
+    posted = save(by_term(index.postings(docs), files or _posting_files(docs)), "postings")
     looked_up = {
         "exact_terms": exact,
         "postings": posted,

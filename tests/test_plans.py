@@ -136,6 +136,32 @@ def test_a_frequent_term_is_split_by_document(spark, tmp_path):
     assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
 
 
+def test_posting_files_grow_with_the_text(spark, tmp_path, monkeypatch):
+    from mailrank.plans import build
+
+    texts = ("message_id", "from_email", "from_name", "all_recipients", "subject", "labels")
+    mails = spark.range(600).select(
+        F.col("id").alias("doc_id"), *[F.lit("").alias(c) for c in texts],
+        F.concat(F.lit("often word"), F.col("id").cast("string")).alias("body_content"),
+        F.lit(0).cast("bigint").alias("timestamp_ms"), F.lit(False).alias("has_attachments"),
+    )
+    monkeypatch.setattr(build, "TEXT_PER_FILE", 300)
+    made = build.build_search_tables(mails, embed.hash_embedder(), str(tmp_path))
+    sizes = made.postings.groupBy(F.col("_metadata.file_name").alias("file")).count().collect()
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) < 200
+    assert sum(r["count"] for r in sizes) == 1200 and made.corpus_stats.first().n_docs == 600
+
+
+def test_the_directory_sorts_words_not_postings(tables):
+    found = keyword.term_directory(tables.postings)
+    whole = plan(found)
+    assert whole.count("HashAggregate(key") >= 2 and whole.rindex("HashAggregate") > whole.rindex("SortAggregate")
+    want = tables.postings.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.min("term").alias("first_term"), F.max("term").alias("last_term"), F.count("*").alias("n_rows")
+    )
+    assert sorted(found.collect()) == sorted(want.collect())
+
+
 def test_directory_too_large_to_hold_gives_the_same_files(spark, tables):
     from mailrank.session import Settled
 
