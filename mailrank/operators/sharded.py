@@ -17,7 +17,8 @@ from mailrank.operators.keyword import B, K1, ask, idf, length_norm, with_terms
 from mailrank.operators.knn import top_k
 from mailrank.session import SEPARATE_VALUES, Settled, one_of, settle
 
-SHARDS = 64
+SHARD_ROWS = 4_000_000  # postings of a shard, about: a task sorts them, and holds a sum for each query and document
+CHOSEN_ROWS = 500_000  # pairs of numbers, a query's shards, that are held here at most
 SLACK = 1e-6  # sums of the same numbers in another order differ by far less
 
 
@@ -37,14 +38,17 @@ def shard_of(doc_id: Column, shards: int) -> Column:
 
 
 def build_sharded(
-    postings: DataFrame, corpus: DataFrame, path: str, shards: int = SHARDS, k1: float = K1, b: float = B
+    postings: DataFrame, corpus: DataFrame, path: str, shards: int | None = None, k1: float = K1, b: float = B
 ) -> ShardedPostings:
     """Write the tables below ``path`` and open them.
 
     ``pull`` is the part of a word's score that does not depend on the query. A shard is one
-    file sorted by word, its number in the footer, so shards and words are both skipped.
+    file sorted by word, its number in the footer, so shards and words are both skipped. There are
+    as many as ``SHARD_ROWS`` needs, one a core at least, unless their number is given.
     """
     spark = postings.sparkSession
+    if shards is None:
+        shards = max(spark.sparkContext.defaultParallelism, -(-postings.count() // SHARD_ROWS))
     n_docs, avgdl = (corpus.select(c).scalar() for c in ("n_docs", "avgdl"))
     dl = length_norm(F.col("dl"), False)
     pull = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / avgdl))
@@ -114,9 +118,9 @@ def bm25_top(
     reach = bounds.join(weights.df, "term").groupBy("qid", "shard").agg(
         F.sum(F.col("weight") * F.col("best")).alias("bound")
     )
-    reach = settle(reach).df
+    reach = settle(reach, CHOSEN_ROWS).df
     first = reach.groupBy("qid").agg(F.max_by("shard", F.struct("bound", "shard")).alias("shard"))
     opening = top_k(_scores(sharded.postings, weights, settle(first)), k)
     floors = settle(opening.where(F.col("rank") == k).select("qid", F.col("score").alias("floor"))).df
     worth = reach.join(floors, "qid", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
-    return top_k(_scores(sharded.postings, weights, settle(worth.select("qid", "shard"))), k, limits=limits)
+    return top_k(_scores(sharded.postings, weights, settle(worth.select("qid", "shard"), CHOSEN_ROWS)), k, limits=limits)

@@ -83,3 +83,12 @@ def test_shards_out_of_reach_are_not_read(spark, tables):
     home = made.bounds.where("term = 'rare'").first().shard
     assert f"In(shard, [{home}])" in found._jdf.queryExecution().toString() or f"EqualTo(shard,{home})" in found._jdf.queryExecution().toString()
     assert [r.doc_id for r in found.collect()] == [500]
+
+
+def test_shards_grow_with_the_postings(spark, tables, asked, tmp_path, monkeypatch):
+    posted, stats, corpus, _, _ = tables
+    monkeypatch.setattr(sharded, "SHARD_ROWS", posted.count() // 20)
+    made = sharded.build_sharded(posted, corpus, str(tmp_path))
+    files = made.postings.select(F.input_file_name().alias("file"), "shard").groupBy("file").agg(F.collect_set("shard").alias("shards")).collect()
+    assert len(files) >= 20 and all(len(r.shards) == 1 for r in files)
+    assert rows(sharded.bm25_top(made, stats, asked, 20)) == rows(top_k(bm25(posted, stats, corpus, asked), 20))
