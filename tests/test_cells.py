@@ -1,5 +1,7 @@
 """Two-level cells against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from test_knn import brute, lists
@@ -74,3 +76,12 @@ def test_no_vectors_and_equal_vectors(spark):
     same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(30)] + [(40, None), (41, [0.0, 0.0])], "doc_id BIGINT, vec ARRAY<FLOAT>")
     made = ce.build_cells(same, n_coarse=1, cell_rows=5)
     assert lists(ce.knn_cells(made, asked, 3, 1, 1)) == {0: [0, 1, 2]} == lists(knn.knn(same, asked, 3))
+
+
+def test_fitting_holds_a_bounded_number_of_scores():
+    units = knn._unit(np.random.default_rng(5).normal(size=(20_000, 8)))[0]
+    tracemalloc.start()
+    centres = ce._lloyd(units, 1_500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(centres) == 1_500 and peak < 100_000_000  # all scores at once are 240 MB
