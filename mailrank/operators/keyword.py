@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from dataclasses import dataclass
-
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +19,8 @@ from mailrank.session import PUSHED_VALUES, SEPARATE_VALUES, SMALL_ROWS, Settled
 
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
+PARTS_AT_ONCE = 1_000_000  # parts of scores a task sums at a time, about
+CELLS_PER_PART = 8  # sums may take a matrix of queries and documents that is as many times as large
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -109,15 +117,112 @@ def match_exact(
     return with_terms(exact, ask(asked, directory)).select("qid", "doc_id", "field", "term")
 
 
-def exact_scores(
+@dataclass(frozen=True)
+class Clause:
+    """What sums are made of: ``rows`` of an index table, those who ask for their terms, and the
+    ``weights`` ``(qid, [field], term, weight)`` of these. A row counts ``weight * pull``."""
+
+    rows: DataFrame
+    asked: Asked
+    weights: DataFrame
+    pull: Column
+
+
+def _sums(parts: DataFrame, asking: pa.Table, qid_kind: str) -> DataFrame:
+    """``(qid, doc_id, score)`` of ``(doc_id, number, pull)``: what each row counts for every query that asks for it.
+
+    ``asking`` is ``(number, qid, weight)``. Rows meet by document, each once however many ask; what
+    they count is made and summed behind that shuffle, a bounded number of parts at a time.
+    """
+    order = np.argsort(asking["number"].to_numpy(), kind="stable")
+    numbers, weights = asking["number"].to_numpy()[order], asking["weight"].to_numpy()[order]
+    coded = asking["qid"].combine_chunks().dictionary_encode(null_encoding="encode")
+    qids, places = coded.dictionary, coded.indices.to_numpy()[order]
+    starts = np.searchsorted(numbers, np.arange(len(np.unique(numbers)) + 1))
+    sent = parts.sparkSession.sparkContext.broadcast((starts, places.astype(np.int64), weights, qids))
+
+    def add(ids, doc, number, pull):
+        starts, places, weights, qids = sent.value
+        times = starts[number + 1] - starts[number]
+        row = np.repeat(np.arange(len(number)), times)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + starts[number][row]
+        key, part = (doc[row] - doc[0]) * len(qids) + places[at], weights[at] * pull[row]
+        cells = int(doc[-1] - doc[0] + 1) * len(qids)
+        if cells <= CELLS_PER_PART * len(key):
+            found = np.flatnonzero(np.bincount(key, minlength=cells))
+            score = np.bincount(key, part, cells)[found]
+        else:
+            found, key = np.unique(key, return_inverse=True)
+            score = np.bincount(key, part, len(found))
+        docs, asked = np.divmod(found, len(qids))
+        columns = [qids.take(pa.array(asked)), ids.take(pa.array(docs + doc[0])), pa.array(score)]
+        return pa.RecordBatch.from_arrays(columns, names=["qid", "doc_id", "score"])
+
+    def whole(block: pa.Table) -> tuple[pa.Array, np.ndarray]:
+        """The documents of sorted rows, and the place among them of each row's."""
+        runs = pc.run_end_encode(block["doc_id"].combine_chunks())
+        return runs.values, np.repeat(np.arange(len(runs.values)), np.diff(runs.run_ends.to_numpy(), prepend=0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = sent.value[0]
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                batch = pa.Table.from_batches([batch])
+                held = batch if held is None else pa.concat_tables([held, batch])
+            if held is None:
+                break
+            ids, doc = whole(held)
+            # The last document may go on in the next batch.
+            ready = len(doc) if batch is None else int(np.searchsorted(doc, doc[-1]))
+            number, pull = (held[c].to_numpy()[:ready] for c in ("number", "pull"))
+            made = np.cumsum(starts[number + 1] - starts[number])
+            a = 0
+            while a < ready:
+                most = (made[a - 1] if a else 0) + PARTS_AT_ONCE
+                # Up to the end of the document in which the bound is met.
+                b = int(np.searchsorted(doc[:ready], doc[min(np.searchsorted(made, most), ready - 1)], side="right"))
+                yield add(ids, doc[a:b], number[a:b], pull[a:b])
+                a = b
+            held = held.slice(ready)
+
+    near = parts.select("doc_id", "number", "pull").repartition("doc_id").sortWithinPartitions("doc_id")
+    return near.mapInArrow(run, f"qid {qid_kind}, doc_id {dict(near.dtypes)['doc_id']}, score double")
+
+
+def clause_scores(clauses: list[Clause]) -> DataFrame:
+    """``(qid, doc_id, score)``: a document scores the sum of what its rows count in all clauses."""
+    if not all(c.asked.settled.small for c in clauses):
+        return sum_clauses([
+            with_terms(c.rows, c.asked, c.weights).select("qid", "doc_id", (F.col("weight") * c.pull).alias("score"))
+            for c in clauses
+        ])
+    parts, asking, n = [], [], 0
+    for c in clauses:
+        spark, keys = c.rows.sparkSession, [k for k in ("field", "term") if k in c.weights.columns]
+        # At most as many rows as were settled.
+        held = c.weights.select(*keys, "qid", "weight").toArrow()
+        terms = list(zip(*(held[k].to_pylist() for k in keys)))
+        number = {term: n + i for i, term in enumerate(dict.fromkeys(terms))}
+        n += len(number)
+        asking.append(held.select(["qid", "weight"]).append_column("number", pa.array([number[t] for t in terms], pa.int64())))
+        numbered = spark.createDataFrame([(*t, i) for t, i in number.items()], ", ".join(f"{k} STRING" for k in keys) + ", number INT")
+        found = with_terms(c.rows, c.asked, numbered)
+        parts.append(found.select("doc_id", "number", c.pull.alias("pull")))
+    return _sums(reduce(DataFrame.unionByName, parts), pa.concat_tables(asking), dict(clauses[0].weights.dtypes)["qid"])
+
+
+def exact_clause(
     exact: DataFrame,
     stats: DataFrame,
     fields: DataFrame,
     query_terms: DataFrame,
     k1: float = K1,
     directory: Settled | None = None,
-) -> DataFrame:
-    """``(qid, doc_id, score)`` of exact matches: ``idf / (1 + k1)`` per matching field.
+) -> Clause:
+    """Exact matches count ``idf / (1 + k1)`` per matching field.
 
     ``stats`` is ``(field, term, df)``, ``fields`` one row per field with its documents.
     """
@@ -125,12 +230,18 @@ def exact_scores(
     weighted = (
         with_terms(stats, asked)
         .join(F.broadcast(fields), "field")  # as many rows as there are exact fields
-        .select("qid", "field", "term", (idf(F.col("n_docs"), F.col("df")) / (1 + k1)).alias("score"))
+        .select("qid", "field", "term", (idf(F.col("n_docs"), F.col("df")) / (1 + k1)).alias("weight"))
     )
-    return with_terms(exact, asked, weighted).select("qid", "doc_id", "score")
+    return Clause(exact, asked, weighted, F.lit(1.0))
+
 
+def exact_scores(exact: DataFrame, stats: DataFrame, fields: DataFrame, query_terms: DataFrame, **options) -> DataFrame:
+    """``(qid, doc_id, score)`` of exact matches, a row per matching field; see :func:`exact_clause`."""
+    c = exact_clause(exact, stats, fields, query_terms, **options)
+    return with_terms(c.rows, c.asked, c.weights).select("qid", "doc_id", F.col("weight").alias("score"))
 
-def bm25(
+
+def bm25_clause(
     postings: DataFrame,
     stats: DataFrame,
     corpus: DataFrame,
@@ -139,12 +250,10 @@ def bm25(
     b: float = B,
     lossy_length: bool = False,
     directory: Settled | None = None,
-) -> DataFrame:
-    """``(qid, doc_id, score)`` of documents with any of a query's words.
+) -> Clause:
+    """Words count by BM25.
 
     ``query_terms`` is ``(qid, term, n)``; a word asked ``n`` times counts ``n`` times.
-    Term weights are one row per asked word, so the large side is one filtered scan of
-    the postings and a pre-aggregated sum.
     """
     asked = ask(query_terms.select("qid", "term", "n"), directory)
     n_docs, avgdl = (corpus.select(c).scalar() for c in ("n_docs", "avgdl"))
@@ -152,12 +261,16 @@ def bm25(
     weights = with_terms(stats, asked).select("qid", "term", weight.alias("weight"))
     dl = length_norm(F.col("dl"), lossy_length)
     pull = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * dl / avgdl))
-    return (
-        with_terms(postings, asked, weights)
-        .select("qid", "doc_id", (F.col("weight") * pull).alias("part"))
-        .groupBy("qid", "doc_id")
-        .agg(F.sum("part").alias("score"))
-    )
+    return Clause(postings, asked, weights, pull)
+
+
+def bm25(postings: DataFrame, stats: DataFrame, corpus: DataFrame, query_terms: DataFrame, **options) -> DataFrame:
+    """``(qid, doc_id, score)`` of documents with any of a query's words; see :func:`bm25_clause`.
+
+    The large side is one filtered scan of the postings; those that are asked for are shuffled
+    once by document and weighed behind that, so what moves does not grow with the queries.
+    """
+    return clause_scores([bm25_clause(postings, stats, corpus, query_terms, **options)])
 
 
 def match_raw_term(
@@ -188,15 +301,13 @@ def keyword_scores(tables, queries: DataFrame, mode: str = "words", weights=None
     """Scores of every document that matches a query's target in any field."""
     terms = settle(target_terms(queries, mode)).df
     words = terms.where("field = 'body_text'")
-    return sum_clauses(
-        [
-            exact_scores(
-                tables.exact_terms, tables.exact_stats, tables.field_stats, terms, directory=tables.directory
-            ),
-            bm25(
-                tables.postings, tables.term_stats, tables.corpus_stats, words,
-                directory=tables.directory, **options,
-            ),
-        ],
-        weights,
+    exact = exact_clause(
+        tables.exact_terms, tables.exact_stats, tables.field_stats, terms, directory=tables.directory
+    )
+    body = bm25_clause(
+        tables.postings, tables.term_stats, tables.corpus_stats, words, directory=tables.directory, **options
+    )
+    boosts = weights or [1.0, 1.0]
+    return clause_scores(
+        [replace(c, weights=c.weights.withColumn("weight", F.col("weight") * w)) for c, w in zip((exact, body), boosts)]
     )

@@ -331,3 +331,34 @@ def test_statistics_are_sorted_and_vectors_see_the_length_asked_for(spark, mails
         for file in stats.inputFiles():
             found = [r.term for r in spark.read.parquet(file).collect()]
             assert found == sorted(found)
+
+
+def test_postings_move_once_however_many_ask(spark, tables):
+    """Queries that ask for the same words add no shuffled rows, and blocks of any size give the same sums."""
+    asked = spark.createDataFrame([(q, t, 1 + q % 2) for q in range(50) for t in ("the", "budget", "plan")], "qid BIGINT, term STRING, n BIGINT")
+    found = keyword.bm25(tables.postings, tables.term_stats, tables.corpus_stats, asked, directory=tables.directory)
+    steps = found._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in steps.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffled) == 1 and "hashpartitioning(doc_id" in shuffled[0] and "qid" not in shuffled[0]
+    scores = {(r.qid, r.doc_id): r.score for r in found.collect()}
+    assert len(scores) == 50 * len({d for _, d in scores}) > 0
+    assert all(math.isclose(scores[q, d], scores[q % 2, d]) for q, d in scores)
+
+
+@pytest.mark.parametrize("at_once, share", [(1, 8), (7, 0), (1_000, 8)])
+def test_sums_of_unknown_and_repeated_documents(spark, monkeypatch, at_once, share):
+    monkeypatch.setattr(keyword, "PARTS_AT_ONCE", at_once)
+    monkeypatch.setattr(keyword, "CELLS_PER_PART", share)
+    posted = [("a", 1, 2, 4), ("b", 1, 1, 4), ("a", 1, 1, 3), ("a", None, 1, 2), ("b", None, 1, 2), ("c", 3, 1, 1)]
+    postings = spark.createDataFrame(posted, "term STRING, doc_id BIGINT, tf INT, dl INT")
+    stats = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "term STRING, df BIGINT")
+    corpus = spark.createDataFrame([(4, 2.5)], "n_docs BIGINT, avgdl DOUBLE")
+    asked = [(7, "a", 1), (7, "b", 2), (8, "b", 1), (None, "a", 1), (9, "x", 1)]
+    terms = spark.createDataFrame(asked, "qid BIGINT, term STRING, n BIGINT")
+    wanted = defaultdict(float)
+    for q, t, n in asked:
+        for term, d, tf, dl in posted:
+            if term == t:
+                wanted[q, d] += n * idf(4, {"a": 3, "b": 2}[t]) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / 2.5))
+    found = {(r.qid, r.doc_id): r.score for r in keyword.bm25(postings, stats, corpus, terms).collect()}
+    assert found.keys() == wanted.keys() and all(math.isclose(found[k], wanted[k]) for k in wanted)
