@@ -362,3 +362,17 @@ def test_sums_of_unknown_and_repeated_documents(spark, monkeypatch, at_once, sha
                 wanted[q, d] += n * idf(4, {"a": 3, "b": 2}[t]) * tf / (tf + 1.2 * (0.25 + 0.75 * dl / 2.5))
     found = {(r.qid, r.doc_id): r.score for r in keyword.bm25(postings, stats, corpus, terms).collect()}
     assert found.keys() == wanted.keys() and all(math.isclose(found[k], wanted[k]) for k in wanted)
+
+
+def test_texts_are_analysed_once(monkeypatch, spark, mails):
+    """The sampling pass of the ranges reads postings that are there, not texts."""
+    plans, ranged = [], type(mails).repartitionByRange
+
+    def seen(df, *args):
+        if "positions" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return ranged(df, *args)
+
+    monkeypatch.setattr(type(mails), "repartitionByRange", seen)
+    build_search_tables(mails, embed.hash_embedder(), session.fresh_path(spark, "tables"), 4)
+    assert len(plans) == 1 and "regexp" not in plans[0] and "FileScan parquet" in plans[0]
