@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailrank.functions.binding import let
 from mailrank.operators.dictionary import swap_distance
 from mailrank.operators.keyword import Asked, ask, with_terms
 from mailrank.session import Settled, settle
@@ -87,22 +88,46 @@ def match_phrase(
     if slop == 0:
         places = F.aggregate("words.starts", F.get("words.starts", F.lit(0)), lambda acc, s: F.array_intersect(acc, s))
     else:
+        # All starts of a document in order: those from x to x + slop stand together, at most
+        # slop + 1 of each word, so every start looks at a bounded slice of them.
+        def ordered(word, j):
+            return F.transform(word["starts"], lambda s: F.struct(s.alias("start"), j.alias("word")))
+
+        merged = F.sort_array(F.flatten(F.transform("words", ordered)))
+        shape = F.transform("words", lambda w, j: F.struct(j.alias("word"), w["term"].alias("term"), w["place"].alias("place")))
+
         # Places of one word are taken from left to right, each the first that is free: their
         # windows move to the right with the place, so this finds a way whenever there is one.
         none = F.struct(F.lit("").alias("term"), F.lit(-1).alias("last"), F.lit(True).alias("found"))
 
-        def fill(x):
+        def fill(x, near, shape):
             def step(acc, word):
                 low = F.when(acc["term"] == word["term"], acc["last"] - word["place"]).otherwise(x - 1)
-                at = F.array_min(F.filter(word["starts"], lambda s: s.between(x, x + slop) & (s > low)))
+                free = F.filter(near, lambda e: (e["word"] == word["word"]) & (e["start"] > low))
+                at = F.get(free, F.lit(0))["start"]
                 found = acc["found"] & at.isNotNull()
                 return F.struct(
                     word["term"].alias("term"), F.coalesce(at + word["place"], F.lit(-1)).alias("last"), found.alias("found")
                 )
 
-            return F.aggregate("words", none, step, lambda acc: acc["found"])
+            return F.when(F.size(near) < F.size(shape), F.lit(False)).otherwise(
+                F.aggregate(shape, none, step, lambda acc: acc["found"])
+            )
+
+        def starting(starts, shape):
+            def holds(e, i):
+                x = e["start"]
+                # By place, as a slice of an array looks at the whole array.
+                last = F.least(i + F.size(shape) * (slop + 1), F.size(starts)) - 1
+                window = F.transform(F.sequence(i, last), lambda at: F.get(starts, at))
+                near = F.filter(window, lambda o: o["start"] <= x + slop)
+                first = (i == 0) | (F.get(starts, i - 1)["start"] != x)
+                return F.when(first, let(near, lambda n: fill(x, n, shape))).otherwise(F.lit(False))
+
+            return F.filter(starts, holds)
 
-        places = F.filter(F.array_distinct(F.flatten("words.starts")), fill)
+        # Bound once: within a function over elements an expression is made anew for each of them.
+        places = let(merged, lambda m: let(shape, lambda s: starting(m, s)))
     return per_doc.select("qid", "doc_id", F.size(places).alias("n_places")).where("n_places > 0")
 
 
