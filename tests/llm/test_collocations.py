@@ -109,3 +109,29 @@ def test_double_array_holds_its_edges():
     _, good = co.advance(base, check, every[:, 0], every[:, 1])
     assert {tuple(x) for x in every[good].tolist()} == held
     assert not co.advance(base, check, edges[:3, 0], np.full(3, -1))[1].any()
+
+
+def test_slots_stay_about_as_many_as_edges():
+    """States that many spread words follow share slots instead of taking a stretch of all words each."""
+    rng = np.random.default_rng(1)
+    n_words = 100_000
+    trie = co.DoubleArray(n_words)
+    edges = np.unique(np.stack([np.repeat(np.arange(40) * 2_000, 1_000), rng.integers(0, n_words, 40_000)], axis=1), axis=0)
+    new = trie.add(edges[:, 0], edges[:, 1], 2)
+    base, check = trie.arrays()
+    assert trie.nodes == len(edges) and len(base) - n_words < 2 * len(edges)
+    to, good = co.advance(base, check, edges[:, 0], edges[:, 1])
+    assert good.all() and (to == new).all()
+    others = np.stack([rng.integers(0, n_words, 50_000), rng.integers(0, n_words, 50_000)], axis=1)
+    held = set(map(tuple, edges.tolist()))
+    assert co.advance(base, check, others[:, 0], others[:, 1])[1].tolist() == [tuple(x) in held for x in others.tolist()]
+
+
+def test_counts_of_many_states_are_handed_on_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(co, "STATE_RUN", 2)
+    monkeypatch.setattr(co, "RUNS_AT_ONCE", 3)
+    trie = co.DoubleArray(30)
+    states = trie.add(np.arange(29), np.arange(1, 30), 2)
+    coded = spark.createDataFrame([(30, list(range(30))), (2, [4, 5, -1, 7, 8])], "own int, ids array<int>")
+    counts = {r.state: r.n for r in co.accepted(coded, trie, 2).collect()}
+    assert counts == {int(s): 2 if i == 4 else 1 for i, s in enumerate(states)}
